@@ -109,7 +109,6 @@ AMBIGUOUS_WORDS = (
     "note", "warning", "important", "remember", "example", "story", "exercise", "introduction",
     "abstract", "results", "discussion", "index", "references", "principle", "scene",
 )
-SELF_HELP_LABELS = ("observance of the law", "action steps", "final thoughts", "key takeaways")
 
 # --- near-duplicate clean-up ---------------------------------------------
 REPEAT_OPENER = rf"(?:ye|yeh){S}+(?:ais(?:e|a)|esa|esi){S}+hai{S}+jaise"

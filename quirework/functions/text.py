@@ -85,6 +85,10 @@ def line(c: Text) -> Line:
     return c if isinstance(c, Line) else Line(c)
 
 
+def normalized(c: Column) -> Column:
+    return squash(F.lower(blankless(c)))
+
+
 def words_of(c: Column) -> Column:
     return F.filter(F.split(squash(c), " "), lambda w: w != "")
 

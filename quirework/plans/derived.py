@@ -1,19 +1,57 @@
 """Block tables with book-like structure, derived from the document lines.
 
 The source texts hold prose only, so every line is re-labelled by position: some
-become chapter headings, contents rows, imprints, page furniture and so on. The
-rule is stated twice, once for Spark and once for the SQL check.
+become chapter headings, contents rows, imprints, page furniture and so on. A line
+keeps its words; the template of its style decides which of them are shown and how.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.plans.duck import LINES, squash
+from quirework.functions import text as T
+from quirework.plans.duck import LINES, q, squash
 from quirework.sources import corpus, tables
 
-_STYLES = 24
+# style -> (block type, level, template); {1} {2} {3} {5} are that many leading words,
+# {U} the first three in capitals, {p} the position, {n} a part number, {t} the text
+_STYLES: tuple[tuple[str, int, str], ...] = (
+    ("heading", 1, "Chapter {p}: {3}"),
+    ("heading", 2, "{3}"),
+    ("heading", 2, "{U}"),
+    ("paragraph", 1, "{3} ........ {p}"),
+    ("heading", 1, "Contents"),
+    ("heading", 2, "Notes"),
+    ("paragraph", 1, "Printed in {2}"),
+    ("heading", 3, "Index"),
+    ("paragraph", 1, "page {p}"),
+    ("list", 1, "1. {2}\n2. {3}"),
+    ("heading", 1, "Part {n}. {2}"),
+    ("paragraph", 1, "{n}.1 {1} {n}.2 {1} {n}.3 {2}"),
+    ("heading", 3, "{2}"),
+    ("paragraph", 1, "“{t}"),
+    ("paragraph", 1, "Contents Preface {5}"),
+    ("paragraph", 1, "© 2001 {2}"),
+    ("paragraph", 1, "Chapter 1: {2} Chapter 2: {2} Chapter 3: {2} Chapter 4: {2} Chapter 5: {2} Notes"),
+    ("paragraph", 1, "{5}"),
+    ("heading", 2, "Summary"),
+    ("heading", 2, "{5}, {5}"),
+    ("heading", 2, "{U}!"),
+    ("paragraph", 1, "Notes Index Preface {t}"),
+    ("paragraph", 1, "{t}"),
+    ("paragraph", 1, "{t}"),
+    ("heading", 2, "Introduction"),
+    ("paragraph", 1, "{U} .......... {p}"),
+    ("paragraph", 1, "{3} .......... {p}"),
+    ("paragraph", 1, "{t}"),
+    ("paragraph", 1, "{5} -"),
+    ("paragraph", 1, "{3}"),  # opening line
+    ("paragraph", 1, "by {2}"),  # second line
+)
+_CYCLE = len(_STYLES) - 2
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,64 +59,32 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirework.functions.text import squash as squash_col
+    pos = F.col("pos")
+    style = F.when(pos < 2, pos + _CYCLE).otherwise((F.col("doc_id") * 31 + pos) % _CYCLE)
+    src = lines(spark, sf_dir).withColumns(
+        {"_w": F.split(T.squash(F.col("text")), " "), "_style": style.cast("int")}
+    )
 
-    src = lines(spark, sf_dir).withColumn("_w", F.split(squash_col(F.col("text")), " "))
-    text = F.col("text")
+    def pick(i: int) -> Column:
+        return F.element_at(F.array(*[F.lit(s[i]) for s in _STYLES]), F.col("_style") + 1)
 
     def first(n: int) -> Column:
         return F.array_join(F.slice("_w", 1, n), " ")
 
-    def ascii_upper(n: int) -> Column:
-        return F.upper(F.regexp_replace(first(n), "[^A-Za-z ]", ""))
-
-    pos, part = F.col("pos").cast("string"), (F.col("doc_id") % 3 + 1).cast("string")
-    style = F.when(F.col("pos") == 0, 100).when(F.col("pos") == 1, 101).otherwise(
-        (F.col("doc_id") * 31 + F.col("pos")) % _STYLES
-    )
-    # style -> (type, level, text)
-    shapes: dict[int, tuple[str, int, Column]] = {
-        100: ("paragraph", 1, first(3)),
-        101: ("paragraph", 1, F.concat(F.lit("by "), first(2))),
-        0: ("heading", 1, F.concat(F.lit("Chapter "), pos, F.lit(": "), first(3))),
-        1: ("heading", 2, first(3)),
-        2: ("heading", 2, ascii_upper(2)),
-        3: ("paragraph", 1, F.concat(first(3), F.lit(" ........ "), pos)),
-        4: ("heading", 1, F.lit("Contents")),
-        5: ("heading", 2, F.lit("Notes")),
-        6: ("paragraph", 1, F.concat(F.lit("Printed in "), first(2))),
-        7: ("heading", 3, F.lit("Index")),
-        8: ("paragraph", 1, F.concat(F.lit("page "), pos)),
-        9: ("list", 1, F.concat(F.lit("1. "), first(2), F.lit("\n2. "), first(3))),
-        10: ("heading", 1, F.concat(F.lit("Part "), part, F.lit(". "), first(2))),
-        11: ("paragraph", 1, F.concat(part, F.lit(".1 "), first(1), F.lit(" "), part, F.lit(".2 "),
-                                      first(1), F.lit(" "), part, F.lit(".3 "), first(2))),
-        12: ("heading", 3, first(2)),
-        13: ("paragraph", 1, F.concat(F.lit("“"), text)),
-        14: ("paragraph", 1, F.concat(F.lit("Contents Preface "), first(5))),
-        15: ("paragraph", 1, F.concat(F.lit("© 2001 "), first(2))),
-        16: ("paragraph", 1, F.concat(*[F.concat(F.lit(f"Chapter {i}: "), first(2), F.lit(" "))
-                                        for i in range(1, 7)], F.lit("Notes"))),
-        17: ("paragraph", 1, first(5)),
-        18: ("heading", 2, F.lit("Summary")),
-        19: ("heading", 2, F.concat(first(5), F.lit(", "), first(5))),
-        20: ("heading", 2, F.concat(ascii_upper(3), F.lit("!"))),
-        21: ("paragraph", 1, F.concat(F.lit("Notes Index Preface "), text)),
+    marks = {
+        "{1}": first(1), "{2}": first(2), "{3}": first(3), "{5}": first(5),
+        "{U}": F.upper(F.regexp_replace(first(3), "[^A-Za-z ]", "")),
+        "{p}": pos.cast("string"),
+        "{n}": (F.col("doc_id") % 3 + 1).cast("string"),
+        "{t}": F.col("text"),
     }
-
-    def pick(i: int, default: Column) -> Column:
-        out = F.lit(None)
-        for k, shape in shapes.items():
-            value = shape[i] if isinstance(shape[i], Column) else F.lit(shape[i])
-            out = F.when(F.col("_style") == k, value) if k == 100 else out.when(F.col("_style") == k, value)
-        return out.otherwise(default)
-
-    return src.withColumn("_style", style).select(
+    filled = reduce(lambda t, m: F.replace(t, F.lit(m[0]), m[1]), marks.items(), pick(2))
+    return src.select(
         "doc_id",
         "pos",
-        pick(0, F.lit("paragraph")).alias("type"),
-        pick(2, text).alias("text"),
-        pick(1, F.lit(1)).alias("level"),
+        pick(0).alias("type"),
+        filled.alias("text"),
+        pick(1).alias("level"),
         F.when(F.col("_style") == 9, "ordered").alias("list_kind"),
         F.expr("cast(pos div 4 as int) + 1").alias("source_page"),
     )
@@ -88,51 +94,24 @@ def _first(n: int) -> str:
     return f"array_to_string(w[1:{n}], ' ')"
 
 
-def _up(n: int) -> str:
-    return f"upper(regexp_replace({_first(n)}, '[^A-Za-z ]', '', 'g'))"
-
-
-_BLOB = " || ".join(f"'Chapter {i}: ' || {_first(2)} || ' '" for i in range(1, 7))
+_MARKS = {
+    "{1}": _first(1), "{2}": _first(2), "{3}": _first(3), "{5}": _first(5),
+    "{U}": f"upper(regexp_replace({_first(3)}, '[^A-Za-z ]', '', 'g'))",
+    "{p}": "pos::VARCHAR", "{n}": "(doc_id % 3 + 1)::VARCHAR", "{t}": "text",
+}
+_FILLED = reduce(lambda t, m: f"replace({t}, {q(m[0])}, {m[1]})", _MARKS.items(), "template")
+_ROWS = ", ".join(f"({i}, {q(t)}, {lvl}, {q(tpl)})" for i, (t, lvl, tpl) in enumerate(_STYLES))
 
 BOOK = f"""{LINES},
+styles(style, type, level, template) AS (VALUES {_ROWS}),
 styled AS (
-  SELECT doc_id, pos, text, string_split({squash('text')}, ' ') AS w, doc_id % 3 + 1 AS part,
-         CASE WHEN pos = 0 THEN 100 WHEN pos = 1 THEN 101 ELSE (doc_id * 31 + pos) % {_STYLES} END AS style
+  SELECT doc_id, pos, text, string_split({squash('text')}, ' ') AS w,
+         CASE WHEN pos < 2 THEN pos + {_CYCLE} ELSE (doc_id * 31 + pos) % {_CYCLE} END AS style
   FROM lines
 ),
 book AS (
-  SELECT doc_id, pos,
-    CASE WHEN style IN (0, 1, 2, 4, 5, 7, 10, 12, 18, 19, 20) THEN 'heading'
-         WHEN style = 9 THEN 'list' ELSE 'paragraph' END AS type,
-    CASE style
-      WHEN 100 THEN {_first(3)}
-      WHEN 101 THEN 'by ' || {_first(2)}
-      WHEN 0 THEN 'Chapter ' || pos || ': ' || {_first(3)}
-      WHEN 1 THEN {_first(3)}
-      WHEN 2 THEN {_up(2)}
-      WHEN 3 THEN {_first(3)} || ' ........ ' || pos
-      WHEN 4 THEN 'Contents'
-      WHEN 5 THEN 'Notes'
-      WHEN 6 THEN 'Printed in ' || {_first(2)}
-      WHEN 7 THEN 'Index'
-      WHEN 8 THEN 'page ' || pos
-      WHEN 9 THEN '1. ' || {_first(2)} || chr(10) || '2. ' || {_first(3)}
-      WHEN 10 THEN 'Part ' || part || '. ' || {_first(2)}
-      WHEN 11 THEN part || '.1 ' || {_first(1)} || ' ' || part || '.2 ' || {_first(1)} || ' '
-                   || part || '.3 ' || {_first(2)}
-      WHEN 12 THEN {_first(2)}
-      WHEN 13 THEN '“' || text
-      WHEN 14 THEN 'Contents Preface ' || {_first(5)}
-      WHEN 15 THEN '© 2001 ' || {_first(2)}
-      WHEN 16 THEN {_BLOB} || 'Notes'
-      WHEN 17 THEN {_first(5)}
-      WHEN 18 THEN 'Summary'
-      WHEN 19 THEN {_first(5)} || ', ' || {_first(5)}
-      WHEN 20 THEN {_up(3)} || '!'
-      WHEN 21 THEN 'Notes Index Preface ' || text
-      ELSE text END AS text,
-    CASE WHEN style IN (1, 2, 5, 18, 19, 20) THEN 2 WHEN style IN (7, 12) THEN 3 ELSE 1 END AS level,
+  SELECT doc_id, pos, type, {_FILLED} AS text, level,
     CASE WHEN style = 9 THEN 'ordered' END AS list_kind,
     (pos // 4 + 1)::INTEGER AS source_page
-  FROM styled
+  FROM styled JOIN styles USING (style)
 )"""

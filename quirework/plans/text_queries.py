@@ -235,7 +235,7 @@ def contents_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
            THEN least(72.0, (level - 1) * 12.0 + 6.0 * length(regexp_extract(text, '^ +')))
            WHEN {duck.has('text', rf'^\d+(\.\d+)*{P.S}')}
            THEN least(72.0, 14.0 * len(regexp_extract_all(regexp_extract(text, '^[0-9.]+'), '\\.')))
-           ELSE 0.0 END::DOUBLE AS indent
+           ELSE least(48.0, 6.0 * length(regexp_extract(text, '^ +'))) END::DOUBLE AS indent
     FROM book""",
 )
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
