@@ -14,9 +14,11 @@ from quirework.functions.text import blankless, rstrip, squash, strip
 _NEWLINES = r"\r\n|\r"
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+def _nfc(c: Column) -> Column:
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(compose, "string")(c)
 
 
 def clean_control_chars(c: Column, nfc: bool = False) -> Column:

@@ -270,7 +270,8 @@ def is_milestone_heading(c: Text) -> Column:
 def is_imprint(c: Text) -> Column:
     """Title-page and publisher boilerplate."""
     x = line(c)
-    return (x.n <= 180) & _any(*[x.low.contains(needle) for needle in P.IMPRINT_NEEDLES])
+    needles = "|".join(n.replace(".", r"\.") for n in P.IMPRINT_NEEDLES)
+    return (x.n <= 180) & x.low.rlike(needles)
 
 
 def is_toc_leader_row(c: Text) -> Column:

@@ -10,6 +10,7 @@ by (key, chunk), and that partitioning also serves the join back.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -123,3 +124,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     )
     return picked.select(*keys, "_row.*")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, in the folder the cluster names (``spark.checkpoint.dir``).
+
+    A temporary folder is used only where none is named, as in local tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(
+            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quirework-checkpoint-")
+        )
+    return df.checkpoint()

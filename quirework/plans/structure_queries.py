@@ -204,7 +204,7 @@ _wq = duck.words("sq")
 _ur = duck.upper_ratio("sq")
 CONFIDENCE = f"""{derived.BOOK}, {R.text_view('book')}, {GENRE},
 feat AS (SELECT tv.*, doc_kind, {R.supports_heading} AS sup, {_wq} AS wc, {_ur} AS ur, ({R.chapter_like}) AS chap,
-    type = 'paragraph' AND length(st) > 24 AND NOT {duck.has('st', r'[.!?…\x{061f}]$')} AS open_tail,
+    type = 'paragraph' AND length(regexp_replace(text, '{P.S}+$', '')) > 24 AND NOT {duck.has('st', r'[.!?…\x{061f}]$')} AS open_tail,
     type = 'paragraph' AND {duck.has('st', r'^\p{Ll}')} AS low_start,
     NOT contains(sq, ' ') AND {R.in_list('lower(sq)', P.AMBIGUOUS_WORDS)} AS amb
   FROM tv JOIN genre USING (doc_id)),
