@@ -103,7 +103,7 @@ def slow_requests(requests: DataFrame, threshold: float = DEFAULTS.slow_request_
 _PARALLEL_STAGES = ("translation_api_per_batch_wall_sum_s",)
 
 
-def stage_report(stages: DataFrame, top: int = 2) -> DataFrame:
+def stage_report(stages: DataFrame, top: int = 2, digits: int = 2) -> DataFrame:
     """Seconds and share of wall time per (job, stage); ``rank`` marks the bottlenecks."""
     flat = stages.select("job_id", "e2e_wall_s", F.explode("stages").alias("stage", "s"))
     summed = flat.groupBy("job_id", "stage").agg(
@@ -123,7 +123,7 @@ def stage_report(stages: DataFrame, top: int = 2) -> DataFrame:
     pct = F.when(F.col("_denom") > 0, 100.0 * F.col("seconds") / F.col("_denom")).otherwise(0.0)
     return ranked.select(
         "job_id", "stage", "parallel", F.round("seconds", 4).alias("seconds"),
-        F.when(~F.col("parallel"), F.round(pct, 2)).alias("pct"),
+        F.when(~F.col("parallel"), F.round(pct, digits)).alias("pct"),
         F.when(~F.col("parallel") & (F.col("_rank") <= top), F.col("_rank")).alias("rank"),
     )
 

@@ -126,6 +126,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     return picked.select(*keys, "_row.*")
 
 
+def pinned(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """Add columns computed exactly once per row.
+
+    A plain projection may be substituted into every later filter and expression that
+    names its columns, which multiplies costly parsing. Generated columns are not.
+    """
+    fresh = F.struct(*[v.alias(n) for n, v in cols.items()])
+    return df.select(*[c for c in df.columns if c not in cols], F.inline(F.array(fresh)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, in the folder the cluster names (``spark.checkpoint.dir``).
 

@@ -121,10 +121,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payment notices as JSON bodies in the gateway's nested shape, one per event."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    key = F.col("event_id")
-    event = (
+    from quirework.operators.ordered import pinned
+
+    e = pinned(spread(table(spark, sf_dir, "events")), {"k": F.get_json_object("props", "$.k").cast("int")})
+    k, key = F.col("k"), F.col("event_id")
+    named = (
         F.when(F.col("event_type") == "purchase", "payment.captured")
         .when(F.col("event_type") == "error", "payment.failed")
         .when(F.col("event_type") == "signup", "subscription.activated")
@@ -132,6 +133,8 @@ def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "click", "invoice.paid")
         .otherwise("subscription.charged")
     )
+    e = pinned(e, {"event": named})
+    event = F.col("event")
     sub = F.concat(F.lit("sub_"), F.col("user_id").cast("string"))
     pay = F.concat(F.lit("pay_"), (key - key % 3).cast("string"))
     epoch = F.lit(1704067200) + k.cast("bigint") * 86400
@@ -164,4 +167,5 @@ def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(event.startswith("subscription"), F.struct(entity.alias("entity"))).alias("subscription"),
         ).alias("payload"),
     ))
-    return e.select("event_id", F.col("ts").alias("received_at"), body.alias("body"))
+    rows = e.withColumn("received_at", F.col("ts"))
+    return pinned(rows, {"body": body}).select("event_id", "received_at", "body")
