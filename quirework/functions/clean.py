@@ -260,4 +260,4 @@ def words_from_tokens(tokens: Column) -> Column:
     return F.greatest(F.bround(tokens.cast("double") * 0.75, 0).cast("long"), F.lit(0))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["rstrip"]
+

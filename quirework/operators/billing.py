@@ -6,12 +6,11 @@ the difference of two clipped running sums. Refills only split the sums into epo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.config import DEFAULTS, Settings
 from quirework.functions.clean import payg_price
-from quirework.operators.ordered import Sequence, running
 
 _DAY = 86_400
 
@@ -118,8 +117,10 @@ def settle(jobs: DataFrame, profiles: DataFrame, cfg: Settings = DEFAULTS,
            chunk: str = "date_trunc('MONTH', at)") -> DataFrame:
     """Charges of many jobs (``user_id, job_id, at, words``) in time order.
 
-    Running sums are chunked by month, so a user with a large share of all jobs is
-    still settled by many tasks.
+    A refill or the end of a subscription starts a new epoch. Word totals per (user,
+    epoch, month) give, by prefix sums over those few rows, what was used before each
+    month and before each epoch; rows are then summed inside their month only, so a
+    user with a large share of all jobs is still settled by many tasks.
     """
     pools = profiles.select(
         F.col("id").alias("user_id"),
@@ -128,26 +129,47 @@ def settle(jobs: DataFrame, profiles: DataFrame, cfg: Settings = DEFAULTS,
         "plan", "subscription_active", "subscription_period_start",
         "subscription_contract_end", "subscription_expiry",
     )
-    at = F.col("at")
+    at, ended, past_contract = F.col("at"), F.lit(1 << 40), F.lit((1 << 40) - 1)
     rows = jobs.select("user_id", "job_id", "at", _words("words").alias("words")).join(pools, "user_id")
-    rows = rows.withColumns({"_refills": refills_until(at, cfg), "_live": subscription_live(at)})
+    contract = F.coalesce("subscription_contract_end", "subscription_expiry")
     rows = rows.withColumns({
-        "_epoch": F.when(F.col("_live"), F.col("_refills")).otherwise(F.lit(-1)).cast("long"),
-        "_pool": F.when(~F.col("_live"), F.lit(0))
-        .when(F.col("_refills") > 0, F.lit(cfg.subscription_pool_words)).otherwise(F.col("_sub")).cast("long"),
-    }).drop("plan", "subscription_active", "subscription_period_start", "subscription_contract_end",
-            "subscription_expiry", "_refills", "_live", "_sub")
-    order = ("at", "job_id")
-    summed = running(rows, Sequence(("user_id",), order, chunk), {"_cum": ("sum", F.col("words"))})
-    free = F.least(F.col("_cum"), F.col("_free")) - F.least(F.col("_cum") - F.col("words"), F.col("_free"))
-    after_free = summed.withColumn("free_used", free).withColumn("_rest", F.col("words") - F.col("free_used"))
-    in_epoch = running(
-        after_free, Sequence(("user_id", "_epoch"), order, chunk), {"_drawn": ("sum", F.col("_rest"))}
+        "_refills": refills_until(at, cfg).cast("long"), "_live": subscription_live(at), "_chunk": F.expr(chunk),
+        "_late": F.coalesce((F.lower("plan") == "yearly") & (at >= contract), F.lit(False)),
+    })
+    epoch = F.when(~F.col("_live"), ended).when(F.col("_late"), past_contract).otherwise(F.col("_refills"))
+    rows = rows.select("user_id", "job_id", "at", "words", "_free", "_sub", "_chunk", epoch.alias("_epoch"))
+    parts = ["user_id", "_epoch", "_chunk"]
+    by_user = Window.partitionBy("user_id").orderBy("_epoch", "_chunk")
+    earlier = F.coalesce(F.sum("_t").over(by_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # past the contract nothing is refilled: such jobs draw on the pool of the last refill
+    filled = F.max(F.when(F.col("_epoch") < past_contract, F.col("_epoch"))).over(Window.partitionBy("user_id"))
+    totals = (
+        rows.groupBy(*parts).agg(F.sum("words").alias("_t"))
+        .withColumns({
+            "_before": earlier,
+            "_pool_of": F.when(F.col("_epoch") == past_contract, F.coalesce(filled, F.lit(0)))
+            .otherwise(F.col("_epoch")),
+        })
+        .withColumn("_base", F.min("_before").over(Window.partitionBy("user_id", "_pool_of")))
+        .drop("_t")
     )
-    sub = F.least(F.col("_drawn"), F.col("_pool")) - F.least(F.col("_drawn") - F.col("_rest"), F.col("_pool"))
-    done = in_epoch.withColumn("subscription_used", sub).withColumn(
-        "payg_words", F.col("_rest") - F.col("subscription_used")
+    in_month = Window.partitionBy(*parts).orderBy("at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_here", F.sum("words").over(in_month)).join(totals, parts)
+    upto = F.col("_before") + F.col("_here")
+
+    def beyond_free(cum: Column) -> Column:
+        return cum - F.least(cum, F.col("_free"))
+
+    drawn = beyond_free(upto) - beyond_free(F.col("_base"))
+    rest = beyond_free(upto) - beyond_free(upto - F.col("words"))
+    pool = (
+        F.when(F.col("_epoch") == ended, F.lit(0))
+        .when(F.col("_pool_of") > 0, F.lit(cfg.subscription_pool_words)).otherwise(F.col("_sub"))
     )
+    sub = F.least(drawn, pool) - F.least(drawn - rest, pool)
+    done = placed.withColumns({
+        "free_used": F.col("words") - rest, "subscription_used": sub, "payg_words": rest - sub,
+    })
     return done.select(
         "user_id", "job_id", "at", "words", "free_used", "subscription_used", "payg_words",
         payg_price(F.col("payg_words"), cfg.payg_rate_per_100k).alias("amount"),

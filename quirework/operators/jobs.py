@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quirework.config import DEFAULTS, Settings
 from quirework.functions.clean import minor_units
 from quirework.functions.text import is_retryable
-from quirework.operators.ordered import Sequence, running
 
 
 def job_metrics(jobs: DataFrame) -> DataFrame:
@@ -223,20 +222,33 @@ def latest_jobs(jobs: DataFrame, k: int = 500) -> DataFrame:
 def monotone_progress(updates: DataFrame, chunk: str = "date_trunc('HOUR', ts)") -> DataFrame:
     """Percentages never fall within a job; only "failed at 0" resets them.
 
-    The stage shown is the one of the latest update that reached the maximum.
+    The stage shown is the one of the latest update that reached the maximum. An hour
+    of a job hands on one row: its best update since its last reset, later ones winning
+    ties; the latest reset and then the best of those rows is the state before an hour.
     """
-    order = ("ts", "event_id")
     new = F.greatest(F.lit(0), F.least(F.lit(100), F.col("pct")))
-    rows = updates.withColumn("_new", new).withColumn(
-        "_reset", ((F.col("stage") == "failed") & (F.col("_new") == 0)).cast("long")
+    parts = ["job_id", "_chunk"]
+    hour = Window.partitionBy(*parts).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = updates.withColumns({"_new": new, "_chunk": F.expr(chunk)}).withColumn(
+        "_epoch", F.sum(((F.col("stage") == "failed") & (F.col("_new") == 0)).cast("long")).over(hour)
     )
-    rows = running(rows, Sequence(("job_id",), order, chunk), {"_epoch": ("sum", F.col("_reset"))})
-    rows = running(rows, Sequence(("job_id", "_epoch"), order, chunk), {"progress": ("max", F.col("_new"))})
-    rows = running(
-        rows, Sequence(("job_id", "_epoch"), order, chunk),
-        {"shown_stage": ("last", F.when(F.col("_new") >= F.col("progress"), F.col("stage")))},
+    best = F.max(F.struct("_epoch", "_new", "ts", "event_id", "stage")).alias("_best")
+    hours = Window.partitionBy("job_id").orderBy("_chunk")
+    handed = (
+        rows.groupBy(*parts).agg(best)
+        .withColumn("_resets", F.sum((F.col("_best._epoch") > 0).cast("long")).over(hours))
+        .withColumn("_prev", F.max(F.struct("_resets", "_best._new", "_chunk", "_best.stage")).over(
+            hours.rowsBetween(Window.unboundedPreceding, -1)))
+        .select(*parts, F.col("_prev._new").alias("_pct0"), F.col("_prev.stage").alias("_stage0"))
     )
-    return rows.drop("_new", "_reset", "_epoch")
+    top = F.max(F.struct("_epoch", "_new")).over(hour)["_new"]
+    joined = rows.withColumn("_top", top).join(handed, parts)
+    carried = F.when(F.col("_epoch") == 0, F.col("_pct0"))
+    joined = joined.withColumn("progress", F.greatest("_top", carried))
+    reached = F.when(F.col("_new") >= F.col("progress"), F.col("stage"))
+    return joined.withColumn(
+        "shown_stage", F.coalesce(F.last(reached, ignorenulls=True).over(hour), F.col("_stage0"))
+    ).drop("_new", "_chunk", "_epoch", "_top", "_pct0", "_stage0")
 
 
 def retry_accounting(jobs: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

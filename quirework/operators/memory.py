@@ -40,7 +40,7 @@ def lookup(segments: DataFrame, memory: DataFrame, as_of: Column, cfg: Settings
 def _join_back(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
     """Left join on a digest; repeated digests are spread over ``salts`` copies of the small side."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("key", "text")]), F.lit(salts)))
-    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, ["key", "_salt"], "left").drop("_salt")
 
 
@@ -90,7 +90,7 @@ def usage_or_estimate(usage: DataFrame, estimate: DataFrame) -> DataFrame:
     )
 
 
-def align_by_position(left: DataFrame, right: DataFrame, filler: str = " ") -> DataFrame:
+def align_by_position(left: DataFrame, right: DataFrame, filler: str = "\u00a0") -> DataFrame:
     """Source and target side by side, the shorter side padded."""
     a = left.select("doc_id", "pos", F.col("text").alias("source"))
     b = right.select("doc_id", "pos", F.col("text").alias("target"))

@@ -336,8 +336,8 @@ def demote_false_headings(classified: DataFrame) -> DataFrame:
     }).drop("_false", *T.Line.HELPERS)
 
 
-def pick_subtitle(classified: DataFrame) -> DataFrame:
-    """Q14: position of the block read as subtitle, per document that has one."""
+def _with_subtitle(classified: DataFrame) -> DataFrame:
+    """Q14: adds ``subtitle_pos``, the position of the document's subtitle block or null."""
     rows, x = T.Line.prepare(classified)
     wc = F.col("_words")
     tag = F.coalesce("structural_tag", F.lit(""))
@@ -353,8 +353,15 @@ def pick_subtitle(classified: DataFrame) -> DataFrame:
         "_title_yet": F.max((live & (tag == "title")).cast("int")).over(_UPTO),
         "_ok": live & ~tag.isin("title", "author") & qualifies,
     })
-    hits = flagged.filter((F.col("_toc_yet") == 0) & (F.col("_title_yet") == 1) & F.col("_ok"))
-    return hits.groupBy("doc_id").agg(F.min("pos").alias("subtitle_pos"))
+    hit = (F.col("_toc_yet") == 0) & (F.col("_title_yet") == 1) & F.col("_ok")
+    return flagged.withColumn(
+        "subtitle_pos", F.min(F.when(hit, F.col("pos"))).over(Window.partitionBy("doc_id"))
+    ).drop("_toc_yet", "_title_yet", "_ok", *T.Line.HELPERS)
+
+
+def pick_subtitle(classified: DataFrame) -> DataFrame:
+    """Q14: one row per document that has a subtitle."""
+    return _with_subtitle(classified).filter(F.col("pos") == F.col("subtitle_pos")).select("doc_id", "subtitle_pos")
 
 
 def outline(classified: DataFrame) -> DataFrame:
@@ -434,16 +441,15 @@ def document_kind(classified: DataFrame) -> DataFrame:
 def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roles and outline levels per block, and one metadata row per document."""
     kind = document_kind(classified)
-    demoted = demote_false_headings(classified)
-    subtitle = pick_subtitle(demoted)
+    demoted = _with_subtitle(demote_false_headings(classified))
     tag = F.coalesce("structural_tag", F.lit(""))
-    roles = demoted.join(subtitle, "doc_id", "left").withColumn(
+    roles = demoted.withColumn(
         "semantic_role",
         F.when((tag == "title") & (F.col("type") != "table"), "document_title")
         .when((tag == "author") & (F.col("type") != "table"), "author")
         .when((F.col("pos") == F.col("subtitle_pos")) & (F.col("action") == "TRANSLATE"), "subtitle")
         .otherwise(F.col("semantic_role")),
-    ).drop("subtitle_pos")
+    )
     lined = outline(roles)
     quoted = (
         (F.col("action") == "TRANSLATE") & (F.col("type") == "paragraph")
@@ -452,15 +458,15 @@ def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = lined.withColumn(
         "semantic_role", F.when(quoted, "quote").otherwise(F.col("semantic_role"))
     )
+    subtitle = out.groupBy("doc_id").agg(F.first("subtitle_pos").alias("subtitle_pos"))
     chapters = (
         out.filter((F.col("semantic_role") == "chapter") & (F.col("action") != "OMIT"))
         .withColumn("_nth", F.row_number().over(BY_DOC)).filter(F.col("_nth") <= 200)
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", T.strip(F.col("text")).alias("t")))).alias("c"))
         .select("doc_id", F.col("c.t").alias("chapter_titles"))
     )
-    docs = classified.select("doc_id").distinct()
-    meta = docs.join(kind, "doc_id", "left").join(subtitle, "doc_id", "left").join(chapters, "doc_id", "left")
-    return out, meta.select(
+    meta = subtitle.join(kind, "doc_id", "left").join(chapters, "doc_id", "left")
+    return out.drop("subtitle_pos"), meta.select(
         "doc_id",
         F.coalesce("document_type", F.lit("general")).alias("document_type"),
         "subtitle_pos",
@@ -468,12 +474,20 @@ def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _chapter_level(top: Column, ones: Column, twos: Column) -> Column:
+    return F.when((top == 1) & (ones <= 1) & (twos > 0), 2).otherwise(top)
+
+
 def chapter_start_level(headings: DataFrame) -> DataFrame:
     """Q18: outline level at which a document's chapters start."""
-    agg = headings.groupBy("doc_id").agg(
-        F.min("level").alias("top"),
-        F.count_if(F.col("level") == 1).alias("ones"),
-        F.count_if(F.col("level") == 2).alias("twos"),
-    )
-    single_top = (F.col("top") == 1) & (F.col("ones") <= 1) & (F.col("twos") > 0)
-    return agg.select("doc_id", F.when(single_top, 2).otherwise(F.col("top")).alias("chapter_level"))
+    level = F.col("level")
+    return headings.groupBy("doc_id").agg(_chapter_level(
+        F.min(level), F.count_if(level == 1), F.count_if(level == 2)).alias("chapter_level"))
+
+
+def with_chapter_level(rows: DataFrame, is_heading: Column) -> DataFrame:
+    """Q18 as a window, for rows already partitioned by document."""
+    doc = Window.partitionBy("doc_id")
+    level = F.when(is_heading, F.col("level"))
+    return rows.withColumn("chapter_level", _chapter_level(
+        F.min(level).over(doc), F.count_if(level == 1).over(doc), F.count_if(level == 2).over(doc)))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quirework.plans.registry import REGISTRY, Query
 
-_MODULES = ("text_queries", "structure_queries", "page_queries", "ledger_queries")
+_MODULES = ("text_queries", "structure_queries", "page_queries", "ledger_queries", "assembly_queries")
 
 
 def load_queries() -> dict[str, Query]:

@@ -155,9 +155,11 @@ jp AS (SELECT j.user_id, j.id AS job_id, created_at AS at_, tokens_used // 20 AS
 je AS (SELECT *, coalesce(subscription_active AND subscription_expiry >= at_, false) AS live,
     CASE WHEN plan = 'yearly' AND subscription_active AND at_ < contract THEN greatest(0, coalesce(least(
       floor(epoch(at_ - ps) / {_DAYS30}), floor(epoch(contract - ps) / {_DAYS30})), 0)) ELSE 0 END AS k FROM jp),
+jk AS (SELECT * REPLACE (CASE WHEN live AND plan = 'yearly' AND at_ >= contract THEN coalesce(max(CASE WHEN live THEN k END)
+      OVER (PARTITION BY user_id), 0) ELSE k END AS k) FROM je),
 seq AS (SELECT *, CASE WHEN live THEN k ELSE -1 END AS epoch,
     CASE WHEN NOT live THEN 0 WHEN k > 0 THEN 2000000 ELSE subscription_credits END AS sub,
-    sum(words) OVER (PARTITION BY user_id ORDER BY at_, job_id) AS cum FROM je),
+    sum(words) OVER (PARTITION BY user_id ORDER BY at_, job_id) AS cum FROM jk),
 fr AS (SELECT *, least(cum, pool) - least(cum - words, pool) AS free_used FROM seq),
 dr AS (SELECT *, words - free_used AS rest, sum(words - free_used) OVER (PARTITION BY user_id, epoch ORDER BY at_, job_id) AS drawn FROM fr),
 settled AS (SELECT user_id, job_id, words, free_used::BIGINT AS free_used,
