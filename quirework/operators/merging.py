@@ -10,23 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("pos")
+
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos")
+
 
 
 def merge_adjacent(blocks: DataFrame, k: int = 3, joiner: str = "\n\n",
                    same_page: bool = False) -> DataFrame:
     """Q2: up to ``k`` neighbouring paragraphs become one."""
     mergeable = (F.col("type") == "paragraph") & (F.coalesce(F.col("text"), F.lit("")) != "")
-    joins = mergeable & F.lag(mergeable).over(BY_DOC)
+    joins = mergeable & F.lag(mergeable).over(by_doc())
     if same_page:
-        joins = joins & F.col("source_page").eqNullSafe(F.lag("source_page").over(BY_DOC))
+        joins = joins & F.col("source_page").eqNullSafe(F.lag("source_page").over(by_doc()))
     start = (~F.coalesce(joins, F.lit(False))).cast("int")
-    islands = blocks.withColumn("_start", start).withColumn("_island", F.sum("_start").over(BY_DOC))
+    islands = blocks.withColumn("_start", start).withColumn("_island", F.sum("_start").over(by_doc()))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_island").orderBy("pos")) - 1
     bucketed = islands.withColumn("_bucket", F.floor(nth / k))
     rest = [c for c in blocks.columns if c not in ("doc_id", "text")]
@@ -60,7 +63,7 @@ def fold_runs(
     never merge. Columns in ``last_wins`` come from the last piece, others from the first.
     """
     marked = blocks.withColumn("_start", (~F.coalesce(joins_previous, F.lit(False))).cast("int"))
-    runs = marked.withColumn("_run", F.sum("_start").over(BY_DOC)).drop("_start")
+    runs = marked.withColumn("_run", F.sum("_start").over(by_doc())).drop("_start")
     piece = F.struct("pos", *[c for c in blocks.columns if c not in ("pos", "doc_id")])
     pieces = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
     fields = [f.name for f in pieces.schema["_p"].dataType.elementType.fields]
@@ -95,8 +98,8 @@ def stitch_pages(blocks: DataFrame) -> DataFrame:
         "_row": T.is_toc_leader_or_leaf(text),
     })
     linked = (
-        F.col("_body") & F.lag("_open").over(BY_DOC) & ~F.col("_row")
-        & (F.col("source_page") == F.lag("source_page").over(BY_DOC) + 1)
+        F.col("_body") & F.lag("_open").over(by_doc()) & ~F.col("_row")
+        & (F.col("source_page") == F.lag("source_page").over(by_doc()) + 1)
     )
 
     def glue(cur: Column, nxt: Column) -> Column:
@@ -124,7 +127,7 @@ def fold_caps_emphasis(blocks: DataFrame) -> DataFrame:
     prior = T.rstrip(text)
     opens = (F.col("type") == "paragraph") & (F.length(prior) >= 12) & ~prior.endswith(".")
     ready = blocks.withColumns({"_shout": shout, "_opens": opens})
-    grouped = ready.withColumn("_group", F.sum((~F.col("_shout")).cast("int")).over(BY_DOC))
+    grouped = ready.withColumn("_group", F.sum((~F.col("_shout")).cast("int")).over(by_doc()))
     in_group = Window.partitionBy("doc_id", "_group").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -158,7 +161,7 @@ def merge_shards(classified: DataFrame) -> DataFrame:
     })
 
     def before(c: str) -> Column:
-        return F.lag(c).over(BY_DOC)
+        return F.lag(c).over(by_doc())
 
     linked = (
         F.col("_body") & before("_body") & ~F.col("_label") & ~before("_label")
@@ -176,5 +179,5 @@ def drop_consecutive_duplicates(blocks: DataFrame) -> DataFrame:
     """Q21: a paragraph equal (after squashing) to the paragraph right before it."""
     norm = T.squash(F.col("text"))
     keyed = blocks.withColumn("_norm", F.when(F.col("type") == "paragraph", norm))
-    repeat = F.col("_norm").eqNullSafe(F.lag("_norm").over(BY_DOC)) & F.col("_norm").isNotNull()
+    repeat = F.col("_norm").eqNullSafe(F.lag("_norm").over(by_doc())) & F.col("_norm").isNotNull()
     return keyed.withColumn("_repeat", repeat).filter(~F.col("_repeat")).drop("_norm", "_repeat")

@@ -7,20 +7,22 @@ or flips it, so the state is the last fixed value changed by the parity of flips
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quirework.functions import patterns as P
 from quirework.functions import text as T
-from quirework.operators.merging import BY_DOC
+from quirework.operators.merging import by_doc
+
+
+def _upto() -> WindowSpec:
+    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
 
-_UPTO = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
 _FRONT = ("title", "author", "toc")
-_FALSE = F.lit(False)
 
 
 def _count_upto(flag: Column) -> Column:
-    return F.sum(flag.cast("int")).over(_UPTO)
+    return F.sum(flag.cast("int")).over(_upto())
 
 
 def contents_region(blocks: DataFrame) -> DataFrame:
@@ -54,13 +56,13 @@ def contents_region(blocks: DataFrame) -> DataFrame:
     anchor = F.last(
         F.when(F.col("_fixed").isNotNull(), F.struct(F.col("_fixed").alias("v"), F.col("_flips").alias("f"))),
         ignorenulls=True,
-    ).over(_UPTO)
+    ).over(_upto())
     after = stepped.withColumn("_anchor", anchor).withColumn(
         "_after",
         (F.coalesce(F.col("_anchor.v"), F.lit(0)) + F.col("_flips")
          - F.coalesce(F.col("_anchor.f"), F.lit(0))) % 2,
     )
-    inside = F.coalesce(F.lag("_after").over(BY_DOC), F.lit(0)) == 1
+    inside = F.coalesce(F.lag("_after").over(by_doc()), F.lit(0)) == 1
     tagged = F.when(inside, F.col("_tag_open")).otherwise(F.col("_opens"))
     swept = F.col("_blob") & F.col("type").isin("paragraph", "heading")
     return after.withColumn("_toc", tagged | swept).drop(
@@ -93,7 +95,7 @@ def orphan_contents_runs(blocks: DataFrame, toc: str = "_toc") -> DataFrame:
     ).withColumn("_in_run", F.col("_member") & (F.col("_leaders_upto") >= 1))
     first = F.col("_leader") & (F.col("_leaders_upto") == 1)
     labelled = opened.withColumn(
-        "_labelled", first & F.coalesce(F.lag("_label").over(BY_DOC), _FALSE)
+        "_labelled", first & F.coalesce(F.lag("_label").over(by_doc()), F.lit(False))
     )
     whole = Window.partitionBy("doc_id", "_stretch")
     size = F.sum((F.col("_in_run") | F.col("_labelled")).cast("int")).over(whole)
@@ -103,7 +105,7 @@ def orphan_contents_runs(blocks: DataFrame, toc: str = "_toc") -> DataFrame:
     )
     scored = labelled.withColumn("_hit", F.col("_in_run") & good)
     before_hit = F.col("_label") & F.coalesce(
-        F.lead(F.col("_hit") & F.col("_labelled")).over(BY_DOC), _FALSE
+        F.lead(F.col("_hit") & F.col("_labelled")).over(by_doc()), F.lit(False)
     )
     return scored.withColumn(toc, F.col(toc) | F.col("_hit") | before_hit).drop(
         "_leader", "_member", "_label", "_stretch", "_leaders_upto", "_in_run", "_labelled", "_hit",
@@ -117,8 +119,8 @@ def tag_book_structure(blocks: DataFrame) -> DataFrame:
     rows, x = T.Line.prepare(regions)
     prose = F.col("type").isin("paragraph", "list")
     ranked = rows.withColumns({
-        "_rn": F.row_number().over(BY_DOC),
-        "_seen_toc": F.max(F.col("_toc").cast("int")).over(_UPTO),
+        "_rn": F.row_number().over(by_doc()),
+        "_seen_toc": F.max(F.col("_toc").cast("int")).over(_upto()),
         "_title_like": (
             (F.col("type") == "heading") & (F.col("level") == 1) & ~T.is_milestone_heading(x)
         ) | (prose & (x.words <= 15)),
@@ -129,7 +131,7 @@ def tag_book_structure(blocks: DataFrame) -> DataFrame:
     candidate = F.col("_author_like") & (F.col("_seen_toc") == 0)
     broken = _count_upto(~(candidate | F.col("_title")))
     run = with_title.withColumn("_broken", broken).withColumn(
-        "_nth", F.col("_rn") - F.max(F.col("_title").cast("int")).over(_UPTO)
+        "_nth", F.col("_rn") - F.max(F.col("_title").cast("int")).over(_upto())
     )
     tag = (
         F.when(F.col("_toc"), "toc")
@@ -160,7 +162,7 @@ def _leading_blocks(blocks: DataFrame, counted: Column, n: int) -> DataFrame:
     """Rows up to and including the n-th counted one per document."""
     marked = blocks.withColumn("_counted", counted)
     before = F.coalesce(
-        F.sum(F.col("_counted").cast("int")).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1)),
+        F.sum(F.col("_counted").cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0),
     )
     return marked.withColumn("_before", before).filter(F.col("_before") < n)
@@ -192,8 +194,8 @@ def three_line_pattern(blocks: DataFrame) -> DataFrame:
         (F.col("type") != "table") & (F.coalesce(text, F.lit("")) != "") & (T.word_count(text) <= 4)
     ).select("doc_id", "pos", T.normalized(text).alias("n"))
     ahead = short.withColumns({
-        "n1": F.lead("n", 1).over(BY_DOC), "n2": F.lead("n", 2).over(BY_DOC),
-        "p1": F.lead("pos", 1).over(BY_DOC), "p2": F.lead("pos", 2).over(BY_DOC),
+        "n1": F.lead("n", 1).over(by_doc()), "n2": F.lead("n", 2).over(by_doc()),
+        "p1": F.lead("pos", 1).over(by_doc()), "p2": F.lead("pos", 2).over(by_doc()),
     })
     hits = ahead.filter(
         F.col("n").rlike(r"^law \d+$") & (F.col("n1") == "judgment") & (F.col("n2") == "interpretation")
@@ -221,10 +223,10 @@ def heading_confidence(blocks: DataFrame, genre: DataFrame | None = None) -> Dat
         "_low_start": (F.col("type") == "paragraph") & x.st.rlike(r"^\p{Ll}"),
     })
     rows = rows.withColumns({
-        "_next_supports": F.coalesce(F.lead("_supports").over(BY_DOC), _FALSE),
-        "_next_words": F.coalesce(F.lead("_words").over(BY_DOC), F.lit(0)),
-        "_next_low": F.coalesce(F.lead("_low_start").over(BY_DOC), _FALSE),
-        "_prev_open": F.coalesce(F.lag("_open_tail").over(BY_DOC), _FALSE),
+        "_next_supports": F.coalesce(F.lead("_supports").over(by_doc()), F.lit(False)),
+        "_next_words": F.coalesce(F.lead("_words").over(by_doc()), F.lit(0)),
+        "_next_low": F.coalesce(F.lead("_low_start").over(by_doc()), F.lit(False)),
+        "_prev_open": F.coalesce(F.lag("_open_tail").over(by_doc()), F.lit(False)),
     })
     low, n, ur = x.low, x.nq, F.col("_upper")
     chapter, kind = F.col("_chapter"), F.col("doc_kind")
@@ -287,7 +289,7 @@ def heading_confidence(blocks: DataFrame, genre: DataFrame | None = None) -> Dat
     conf = F.when(labelled, F.greatest(lifted, F.lit(0.62))).otherwise(lifted)
     protected = (F.col("type") == "table") | (x.st == "")
     if "structural_tag" in blocks.columns:
-        protected = protected | F.coalesce(F.col("structural_tag").isin(*_FRONT), _FALSE)
+        protected = protected | F.coalesce(F.col("structural_tag").isin(*_FRONT), F.lit(False))
     return rows.withColumns({
         "confidence": F.when(~protected, conf),
         "_ambiguous": one_word,
@@ -301,7 +303,7 @@ def refine_headings(blocks: DataFrame, genre: DataFrame | None = None) -> DataFr
         (F.col("type") == "heading") & ~F.col("_chapter")
         & ((F.col("confidence") < 0.40) | ((F.col("confidence") < 0.55) & F.col("_ambiguous")))
     )
-    demote = F.coalesce(demote, _FALSE)
+    demote = F.coalesce(demote, F.lit(False))
     return scored.withColumn("_demote", demote).withColumns({
         "type": F.when(F.col("_demote"), "paragraph").otherwise(F.col("type")),
         "level": F.when(F.col("_demote"), 1).otherwise(F.col("level")),
@@ -318,7 +320,7 @@ def demote_false_headings(classified: DataFrame) -> DataFrame:
     wc = F.col("_words")
     live = F.col("action") == "TRANSLATE"
     backed = F.coalesce(
-        F.lead(live & T.supports_heading(x)).over(BY_DOC), _FALSE
+        F.lead(live & T.supports_heading(x)).over(by_doc()), F.lit(False)
     ) & ~x.sq.contains(" ") & x.low.isin(*P.AMBIGUOUS_WORDS)
     false_heading = (
         (wc > 26) | (T.is_multi_sentence(x) & (wc > 12))
@@ -326,7 +328,7 @@ def demote_false_headings(classified: DataFrame) -> DataFrame:
     )
     candidate = (
         live & (F.col("type") == "heading") & (x.st != "")
-        & ~F.coalesce(F.col("structural_tag").isin(*_FRONT), _FALSE)
+        & ~F.coalesce(F.col("structural_tag").isin(*_FRONT), F.lit(False))
     )
     marked = rows.withColumn("_false", candidate & ~backed & false_heading)
     return marked.withColumns({
@@ -349,8 +351,8 @@ def _with_subtitle(classified: DataFrame) -> DataFrame:
            & ~x.st.rlike(P.SENTENCE_THEN_CAPITAL))
     )
     flagged = rows.withColumns({
-        "_toc_yet": F.max((tag == "toc").cast("int")).over(_UPTO),
-        "_title_yet": F.max((live & (tag == "title")).cast("int")).over(_UPTO),
+        "_toc_yet": F.max((tag == "toc").cast("int")).over(_upto()),
+        "_title_yet": F.max((live & (tag == "title")).cast("int")).over(_upto()),
         "_ok": live & ~tag.isin("title", "author") & qualifies,
     })
     hit = (F.col("_toc_yet") == 0) & (F.col("_title_yet") == 1) & F.col("_ok")
@@ -382,7 +384,7 @@ def outline(classified: DataFrame) -> DataFrame:
         .when(F.col("type").isin("paragraph", "list", "table"), "body")
     )
     marked = classified.withColumn("_kind", kind)
-    before = F.last("_kind", ignorenulls=True).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("_kind", ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
     placed = marked.withColumn("_before", before)
     is_head = F.col("_kind").isin("chapter", "heading")
     final = (
@@ -461,7 +463,7 @@ def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     subtitle = out.groupBy("doc_id").agg(F.first("subtitle_pos").alias("subtitle_pos"))
     chapters = (
         out.filter((F.col("semantic_role") == "chapter") & (F.col("action") != "OMIT"))
-        .withColumn("_nth", F.row_number().over(BY_DOC)).filter(F.col("_nth") <= 200)
+        .withColumn("_nth", F.row_number().over(by_doc())).filter(F.col("_nth") <= 200)
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", T.strip(F.col("text")).alias("t")))).alias("c"))
         .select("doc_id", F.col("c.t").alias("chapter_titles"))
     )
