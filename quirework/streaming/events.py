@@ -30,12 +30,21 @@ def first_completions(messages: DataFrame, keep: str = "7 days") -> DataFrame:
     return messages.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["job_id", "batch_id", "outcome"])
 
 
-def job_counters(outcomes: DataFrame, ttl_days: int = 7) -> DataFrame:
+def _expire_after(state: GroupState, latest: pd.Timestamp, days: int) -> None:
+    """State leaves when the watermark has passed the newest row by ``days``."""
+    newest = max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs())
+    state.setTimeoutTimestamp(newest + days * _DAY_MS)
+
+
+def job_counters(outcomes: DataFrame, ttl_days: int = 7, watermark: str | None = "7 days") -> DataFrame:
     """Running done/failed counts per job, and ``finalize`` exactly once when all are in.
 
     State is a few integers per job; it expires a week after the last row. Feed it
-    ``first_completions`` so that redelivered batches are not counted twice.
+    ``first_completions`` (with ``watermark=None``, theirs holds) so that redelivered
+    batches are not counted twice.
     """
+    if watermark:
+        outcomes = outcomes.withWatermark("ts", watermark)
     schema = "job_id string, done int, failed int, total int, finalize boolean"
 
     def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,23 +52,24 @@ def job_counters(outcomes: DataFrame, ttl_days: int = 7) -> DataFrame:
             state.remove()
             return
         done, failed, fired = state.get if state.exists else (0, 0, False)
-        total = 0
+        total, latest = 0, pd.Timestamp(0)
         for pdf in rows:
+            latest = max(latest, pdf["ts"].max())
             done += int((pdf["outcome"] == "ok").sum())
             failed += int((pdf["outcome"] == "failed").sum())
             total = max(total, int(pdf["total"].max()))
         finalize = not fired and total > 0 and done + failed >= total
         state.update((done, failed, fired or finalize))
-        state.setTimeoutDuration(ttl_days * _DAY_MS)
+        _expire_after(state, latest, ttl_days)
         yield pd.DataFrame([(key[0], done, failed, total, finalize)],
                            columns=["job_id", "done", "failed", "total", "finalize"])
 
     return outcomes.groupBy("job_id").applyInPandasWithState(
-        count, schema, "done int, failed int, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        count, schema, "done int, failed int, fired boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def progress_state(updates: DataFrame, ttl_days: int = 2) -> DataFrame:
+def progress_state(updates: DataFrame, ttl_days: int = 2, watermark: str = "2 days") -> DataFrame:
     """Monotone progress per job, one output row per update (batch twin: W7)."""
     schema = "job_id string, event_id bigint, progress int, shown_stage string"
 
@@ -69,18 +79,19 @@ def progress_state(updates: DataFrame, ttl_days: int = 2) -> DataFrame:
             return
         pct, stage = state.get if state.exists else (0, None)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
+        rows = pd.concat(list(rows))
+        for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
             new = max(0, min(100, int(r.pct)))
             reset = r.stage == "failed" and new == 0
             stage = r.stage if reset or new >= pct or stage is None else stage
             pct = 0 if reset else max(pct, new)
             out.append((key[0], r.event_id, pct, stage))
         state.update((pct, stage))
-        state.setTimeoutDuration(ttl_days * _DAY_MS)
+        _expire_after(state, rows["ts"].max(), ttl_days)
         yield pd.DataFrame(out, columns=["job_id", "event_id", "progress", "shown_stage"])
 
-    return updates.groupBy("job_id").applyInPandasWithState(
-        advance, schema, "pct int, stage string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return updates.withWatermark("ts", watermark).groupBy("job_id").applyInPandasWithState(
+        advance, schema, "pct int, stage string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
