@@ -19,7 +19,8 @@ def _key(text: Column, cfg: Settings) -> Column:
     return memory_key(text, cfg.memory_model, cfg.memory_temperature, cfg.default_target)
 
 
-def lookup(segments: DataFrame, memory: DataFrame, as_of: Column, cfg: Settings = DEFAULTS) -> DataFrame:
+def lookup(segments: DataFrame, memory: DataFrame, as_of: Column, cfg: Settings = DEFAULTS,
+           salts: int = 1) -> DataFrame:
     """J2 + J4: ``translation`` from memory (null = miss), freshest entry within its life time.
 
     Both sides are reduced to one row per key first, so a line repeated in a third of
@@ -34,12 +35,19 @@ def lookup(segments: DataFrame, memory: DataFrame, as_of: Column, cfg: Settings
     )
     asked = keyed.filter(F.col("key").isNotNull()).select("key").distinct()
     found = asked.join(fresh, "key")
-    return _join_back(keyed, found)
+    return _join_back(keyed, found, salts)
 
 
-def _join_back(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
-    """Left join on a digest; repeated digests are spread over ``salts`` copies of the small side."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("key", "text")]), F.lit(salts)))
+def _join_back(rows: DataFrame, found: DataFrame, salts: int = 1) -> DataFrame:
+    """Left join on a digest.
+
+    AQE splits the rows of a hot digest over tasks; with AQE off, ``salts`` copies of the
+    found side do the same.
+    """
+    if salts <= 1:
+        return rows.join(found, "key", "left")
+    spread = F.xxhash64(*[c for c in rows.columns if c not in ("key", "text")])
+    salted = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)))
     copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, ["key", "_salt"], "left").drop("_salt")
 

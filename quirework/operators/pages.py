@@ -227,4 +227,3 @@ def drop_page_furniture(blocks: DataFrame) -> DataFrame:
     )
 
 
-TRAILING_HYPHEN = rf"-{P.S}*$"
