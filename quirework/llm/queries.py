@@ -52,19 +52,19 @@ numbered AS (
   SELECT doc_id, i - 1 AS i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {docs}), unnest(range(1, len(lines) + 1)) AS u(i)
 ),
-solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS at FROM numbered WHERE t <> ''),
+solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM numbered WHERE t <> ''),
 windows AS (
-  SELECT doc_id, at, i AS lo, lead(i, 2) OVER w AS hi, t AS t0, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2
-  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, p, i AS lo, lead(i, 2) OVER w AS hi, t AS t0, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY p)
 ),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER k AS doc0, first_value(at) OVER k AS at0 FROM windows WHERE hi IS NOT NULL
-  WINDOW k AS (PARTITION BY t0, t1, t2 ORDER BY doc_id, at)
+  SELECT *, first_value(doc_id) OVER k AS doc0, first_value(p) OVER k AS p0 FROM windows WHERE hi IS NOT NULL
+  WINDOW k AS (PARTITION BY t0, t1, t2 ORDER BY doc_id, p)
 ),
 cuts AS (
-  SELECT r.doc_id, CASE WHEN r.doc0 = r.doc_id AND r.at0 + 3 > r.at THEN s.i ELSE r.lo END AS lo, r.hi
-  FROM ranked r LEFT JOIN solid s ON s.doc_id = r.doc_id AND s.at = r.at0 + 3 AND r.doc0 = r.doc_id
-  WHERE (r.doc0, r.at0) <> (r.doc_id, r.at)
+  SELECT r.doc_id, CASE WHEN r.doc0 = r.doc_id AND r.p0 + 3 > r.p THEN s.i ELSE r.lo END AS lo, r.hi
+  FROM ranked r LEFT JOIN solid s ON s.doc_id = r.doc_id AND s.p = r.p0 + 3 AND r.doc0 = r.doc_id
+  WHERE (r.doc0, r.p0) <> (r.doc_id, r.p)
 ),
 gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM cuts),
 stay AS (
