@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.shared import partitions
@@ -57,13 +57,13 @@ class KeyCount:
         buckets = max(2 * n, total * keys_per_byte / _BUCKET_KEYS)
         return KeyCount(extract, n_counts, min(24, math.ceil(math.log2(buckets))), max(2 * n, math.ceil(total / _CHUNK_BYTES)), width)
 
-    def chunked(self, docs: DataFrame, *cols: str) -> DataFrame:
-        """``docs`` with their chunk, dealt by it: both sides of the exchange read the same shuffle."""
-        chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.n_chunks)).cast("int")
-        return docs.select(chunk.alias("_chunk"), *cols).repartition(partitions(docs.sparkSession), "_chunk")
+    def chunked(self, docs: DataFrame, by: Column) -> DataFrame:
+        """``docs`` dealt out by a chunk of ``by``: counting and telling read the same shuffle."""
+        chunk = F.pmod(F.xxhash64(by), F.lit(self.n_chunks)).cast("int")
+        return docs.select(chunk.alias("_chunk"), "*").repartition(partitions(docs.sparkSession), "_chunk")
 
     def answers(self, chunked: DataFrame) -> DataFrame:
-        """(_chunk, bucket, n, c0, c1, ...): the packed counts of a chunk's keys in a bucket."""
+        """(_chunk, bucket, n, c0, c1, ...): the packed counts of a chunk's n keys in a bucket."""
         extract, bits, width, m = self.extract, self.bits, self.width, self.n_counts
         names = [f"c{i}" for i in range(m)]
 
@@ -88,8 +88,7 @@ class KeyCount:
             keys[:, :width] = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, width)
             found, where = np.unique(keys.view(">u8").ravel().astype(np.uint64), return_inverse=True)
             cuts = np.cumsum([0, *sizes])
-            out = {"_chunk": table.column("_chunk"), "bucket": table.column("bucket"), "n": pa.array(sizes, pa.int32()),
-                   "distinct": pa.array([len(found)] + [0] * (len(sizes) - 1), pa.int64())}
+            out = {"_chunk": table.column("_chunk"), "bucket": table.column("bucket"), "n": pa.array(sizes, pa.int32())}
             for c in names:
                 w = np.concatenate([unpack(x, k) for x, k in zip(table.column(c).to_pylist(), sizes, strict=True)])
                 sums = np.bincount(where, weights=w.astype(np.float64), minlength=len(found)).astype(np.uint64)[where]
@@ -98,7 +97,7 @@ class KeyCount:
 
         binary = ", ".join(f"{c} binary" for c in names)
         asked = chunked.groupBy("_chunk").applyInArrow(ask, f"_chunk int, bucket int, keys binary, {binary}")
-        return asked.groupBy("bucket").applyInArrow(total, f"_chunk int, bucket int, n int, distinct bigint, {binary}")
+        return asked.groupBy("bucket").applyInArrow(total, f"_chunk int, bucket int, n int, {binary}")
 
     def tell(self, chunked: DataFrame, answers: DataFrame, use: Callable[[pa.Table, np.ndarray, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
         """``use(rows of a chunk, its keys, their counts)`` for every chunk."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.keycount import KeyCount
 from quirework.llm.shared import components, reliable
-from quirework.llm.words import mix, shingle_hashes, word_hashes
+from quirework.llm.words import mix, shingle_hashes, word_spans
 
 _CELLS = 32
 _BLOCKS = 64
@@ -27,7 +27,7 @@ _SHAPE = "doc_id bigint, n bigint, sig binary, prefix array<bigint>, at array<in
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The distinct n-gram hashes of each text, in rising order."""
-    for _, words, cuts in word_hashes(texts):
+    for _, words, _, _, cuts in word_spans(texts):
         for s, e in zip(cuts, cuts[1:]):
             yield np.unique(shingle_hashes(words[s:e], n))
 
@@ -87,7 +87,7 @@ def gram_sets(docs: DataFrame, *, n: int, num: int, den: int) -> DataFrame:
     """Per document its set's size, signature, and rare-first prefix; sets come with a prefix only."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     count = KeyCount.sized(rows, _extract(n), 1, keys_per_byte=1 / 6, width=5)
-    chunked = count.chunked(rows, "doc_id", "text")
+    chunked = count.chunked(rows, F.struct("doc_id", F.xxhash64("text")))
     return count.tell(chunked, count.answers(chunked), _rank(n, num, den), _SHAPE)
 
 

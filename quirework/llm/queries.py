@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from quirework.llm import bpe, quality
 from quirework.llm.exact_dedup import content_sort
 from quirework.llm.line_dedup import remove_repeated_windows
+from quirework.llm.lm_score import entropy_difference
 from quirework.llm.ngram_join import jaccard_join
 from quirework.plans.registry import Build, Query
 
@@ -31,6 +35,35 @@ def hex256(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+# ---- 1 -------------------------------------------------------------------------------------------
+@_add("1", """
+WITH words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+),
+target AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+tokens AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM target) AS t, len(w) AS n, i,
+         CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS v, CASE WHEN i > len(w) THEN '' ELSE w[i] END AS w
+  FROM words, unnest(range(1, len(w) + 2)) AS u(i) WHERE len(w) > 0
+),
+total AS (SELECT count(*) FILTER (t) AS nt, count(*) FILTER (NOT t) AS nb FROM tokens),
+uni AS (SELECT w, count(*) FILTER (t) AS ct, count(*) FILTER (NOT t) AS cb FROM tokens GROUP BY w),
+bi AS (SELECT v, w, count(*) FILTER (t) AS ct, count(*) FILTER (NOT t) AS cb FROM tokens GROUP BY v, w),
+p AS (
+  SELECT bi.v, bi.w, bi.ct, bi.cb, c.ct AS vt, c.cb AS vb,
+         (u.ct + 100.0 * (u.ct + u.cb) / (nt + nb)) / (nt + 100.0) AS pt, (u.cb + 100.0 * (u.ct + u.cb) / (nt + nb)) / (nb + 100.0) AS pb
+  FROM bi JOIN uni u ON u.w = bi.w JOIN uni c ON c.w = bi.v, total
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_words,
+       round(avg(ln((cb + 4.0 * pb) / (vb + 4.0)) - ln((ct + 4.0 * pt) / (vt + 4.0))), 6) AS difference
+FROM documents d LEFT JOIN tokens USING (doc_id) LEFT JOIN p USING (v, w) GROUP BY d.doc_id""")
+def op1_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    out = entropy_difference(_table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_words", F.round("difference", 6).alias("difference"))
+
+
 # ---- 3 -------------------------------------------------------------------------------------------
 @_add("3")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +79,25 @@ def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"), keep="max")
 
 
+# ---- 7 -------------------------------------------------------------------------------------------
+def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    return bpe.digests(bpe.encode(docs, path=public_tokenizers.path(name), pattern=public_tokenizers.PATTERN))
+
+
+@_add("7")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"))
+
+
+# ---- 8 -------------------------------------------------------------------------------------------
+@_add("8")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = quality.crc_fold(F.col("doc_id")) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 LINE_SQL = r"""
 numbered AS (

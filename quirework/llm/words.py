@@ -41,10 +41,10 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, words' hashes, row borders in them), for slices of the rows in order.
+def word_spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, words' hashes, starts and ends in the bytes, row borders among the words), slice by slice.
 
-    Words are the maximal runs of bytes other than space and U+0009 to U+000D, with A-Z lower-cased.
+    Slices hold the rows in order. Words are the maximal runs of bytes other than space and U+0009 to U+000D, with A-Z lower-cased.
     A slice holds about ``STEP`` bytes, or one text if that is longer.
     """
     body, offsets = _bytes(texts)
@@ -56,7 +56,8 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         lo, hi = int(offsets[first]), int(offsets[last])
         part, at = body[lo:hi], offsets[first: last + 1] - lo
         if len(part) == 0:
-            yield first, np.zeros(0, dtype=_U), np.zeros(last - first + 1, dtype=np.int64)
+            none = np.zeros(0, dtype=np.int64)
+            yield part, none.astype(_U), none, none, np.zeros(last - first + 1, dtype=np.int64)
             first = last
             continue
         if len(part) + 1 > cap:
@@ -71,7 +72,7 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         total = np.zeros(len(part) + 1, dtype=_U)
         np.cumsum((_LOWER[part].astype(_U) + _U(1)) * up[: len(part)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * down[starts])
-        yield first, hashes, np.searchsorted(starts, at)
+        yield part, hashes, starts, ends, np.searchsorted(starts, at)
         first = last
 
 
