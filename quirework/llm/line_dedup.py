@@ -62,10 +62,11 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 3) -> DataFrame:
     later = later.select("doc_id", "_text", F.struct("at", "lo", "hi", F.when(same, F.col("_at")).alias("own")).alias("w"))
     cuts = later.groupBy("doc_id", "_text").agg(F.collect_list("w").alias("_cuts"))
 
-    joined = docs.withColumn("_text", ident).alias("d").join(
+    rows = docs.select(F.struct("*").alias("in"), "doc_id", "text", ident.alias("_text"))
+    joined = rows.alias("d").join(
         cuts.hint("shuffle_hash").alias("c"),
         F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._text") == F.col("c._text")), "left",
-    ).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("c._cuts").alias("_cuts"))
+    ).select("d.in", F.col("d.text").alias("text"), "c._cuts")
     hit = F.col("_cuts").isNotNull()
     cut = pinned(joined, {"_lines": lines, "_at": F.when(hit, _line_hashes(lines))})
     # A window that overlaps its own first occurrence starts behind that one.
@@ -75,7 +76,7 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 3) -> DataFrame:
     cut = pinned(cut, {"_gone": F.when(hit, F.array_sort(gone)).otherwise(F.array().cast("array<int>"))})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     return cut.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
+        *[F.col(f"in.`{c}`") for c in docs.columns if c != "text"],
         F.when(hit, F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_removed"),

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from quirework.llm import bpe, quality
+from quirework.llm.ann import nearest
 from quirework.llm.exact_dedup import content_sort
 from quirework.llm.line_dedup import remove_repeated_windows
 from quirework.llm.lm_score import entropy_difference
+from quirework.llm.mixing import mix_sources
 from quirework.llm.ngram_join import jaccard_join
+from quirework.llm.pii import KINDS, find_personal_data
+from quirework.llm.warc import resolve_revisits
 from quirework.plans.registry import Build, Query
 
 QUERIES: dict[str, Query] = {}
@@ -64,12 +68,99 @@ def op1_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("difference", 6).alias("difference"))
 
 
+# ---- 2 -------------------------------------------------------------------------------------------
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of every page: a full response, a later revisit and one from before it.
+
+    Revisits spell the address in another way; some have another tag, a date in its place or nothing.
+    """
+    p, day = F.col("page_id"), 86_400
+    at = F.lit(1_704_067_200) + (p * 7919) % (30 * day)
+    digest = F.md5("html")
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+    since = F.concat(F.lit("day "), (p % 28).cast("string"))
+    html = F.array(*[F.lit(x) for x in ("Content-Type", "ETag", "Last-Modified", "Cache-Control")])
+
+    def record(kind: int, name: str, url: Column, when: Column, status: int, headers: Column, payload: Column) -> Column:
+        return F.struct(
+            (p * 3 + kind).alias("record_id"), F.lit(name).alias("type"), url.alias("url"), F.timestamp_seconds(when).alias("date"),
+            F.lit(status).alias("status"), headers.alias("headers"), payload.alias("payload_digest"))
+
+    full = F.map_from_arrays(html, F.array(F.lit("text/html"), tag, since, F.lit("max-age=60")))
+    renewed = F.map_from_arrays(
+        F.array(F.lit("etag"), F.lit("LAST-MODIFIED"), F.lit("Cache-Control"), F.lit("Content-Length")),
+        F.array(
+            F.when(p % 7 == 0, '"other"').when(p % 5 != 0, F.concat(F.lit("W/"), tag)), F.when(p % 11 != 0, since),
+            F.concat(F.lit("max-age="), (p % 100).cast("string")), F.lit("0")))
+    again = F.concat(F.col("url"), F.when(F.col("url").contains("#"), "x").otherwise("#again"))
+    none = F.lit(None).cast("string")
+    each = F.array(
+        record(0, "response", F.col("url"), at, 200, full, digest),
+        record(1, "revisit", again, at + (p % 20 + 1) * 3600, 304, renewed, none),
+        record(2, "revisit", F.regexp_replace("url", "^https?", "HTTP"), at - day, 304, renewed, none))
+    return pages.select(F.inline(each))
+
+
+@_add("2", r"""
+WITH base AS (
+  SELECT page_id AS p, url, md5(html) AS digest, '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (page_id % 28) AS since,
+         1704067200 + (page_id * 7919) % 2592000 AS at_s FROM pages
+),
+records AS (
+  SELECT p * 3 AS record_id, true AS full_, url, at_s AS date, tag AS etag, since, 'max-age=60' AS cache, digest FROM base
+  UNION ALL
+  SELECT p * 3 + k, false, CASE k WHEN 1 THEN url || CASE WHEN contains(url, '#') THEN 'x' ELSE '#again' END ELSE regexp_replace(url, '^https?', 'HTTP') END,
+         CASE k WHEN 1 THEN at_s + (p % 20 + 1) * 3600 ELSE at_s - 86400 END,
+         CASE WHEN p % 7 = 0 THEN '"other"' WHEN p % 5 <> 0 THEN 'W/' || tag END, CASE WHEN p % 11 <> 0 THEN since END, 'max-age=' || (p % 100), NULL
+  FROM base, (VALUES (1), (2)) AS v(k)
+),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '(?s)#.*$', '') AS rest FROM records
+),
+canon AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+         || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+         list_sort(list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'),
+           lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS query
+  FROM parts
+),
+named AS (SELECT *, place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url FROM canon),
+joined AS (
+  SELECT *, last_value(CASE WHEN full_ THEN {'id': record_id, 'etag': etag, 'since': since, 'digest': digest} END IGNORE NULLS) OVER (
+    PARTITION BY canonical_url ORDER BY date, full_, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o
+  FROM named
+),
+told AS (
+  SELECT *, CASE WHEN o IS NULL THEN 'no_earlier' WHEN etag IS NULL AND since IS NULL THEN 'no_validator'
+    WHEN CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = o.etag ELSE since = o.since END THEN 'resolved' ELSE 'changed' END AS outcome
+  FROM joined WHERE NOT full_
+)
+SELECT record_id, canonical_url, outcome, o.id AS original_id, CASE WHEN outcome = 'resolved' THEN o.digest END AS payload_digest,
+       CASE WHEN outcome = 'resolved'
+         THEN 'cache-control: ' || cache || '|content-type: text/html|etag: ' || coalesce(etag, o.etag) || '|last-modified: ' || coalesce(since, o.since)
+         ELSE 'cache-control: ' || cache || '|content-length: 0|etag: ' || coalesce(etag, '') || '|last-modified: ' || coalesce(since, '') END AS headers
+FROM told""")
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(captures(_table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.map_entries("headers"))
+    shown = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "|")
+    return out.withColumn("headers", shown)
+
+
 # ---- 3 -------------------------------------------------------------------------------------------
 @_add("3")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)[0]
 
 
+# ---- 4 -------------------------------------------------------------------------------------------
+@_add("4")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources to the square root of their rows, blocks of 16 documents."""
+    out = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").cast("string").alias("text")))
+    return out.select("doc_id", "source", *[F.col(c).alias(c[1:]) for c in ("_block", "_release", "_deadline", "_slot", "_position")])
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 @_add("5", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -79,6 +170,24 @@ def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"), keep="max")
 
 
+# ---- 6 -------------------------------------------------------------------------------------------
+@_add("6")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def joined(spans: Column) -> Column:
+        name = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(F.array_sort(spans), name), ",")
+
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return out.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        hex256(joined(F.col("base"))).alias("base_sha256"),
+        joined(F.concat("base", "learned")).alias("spans"),
+        F.size("learned").cast("long").alias("n_learned"))
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     return bpe.digests(bpe.encode(docs, path=public_tokenizers.path(name), pattern=public_tokenizers.PATTERN))
@@ -98,6 +207,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+# ---- 9 -------------------------------------------------------------------------------------------
+@_add("9")
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 LINE_SQL = r"""
 numbered AS (
