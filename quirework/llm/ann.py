@@ -86,7 +86,7 @@ def nearest(
     sample = [r["v"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()]
     sizes = [len(v) for v in sample]
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 0
-    pivots = np.array([v for v in sample if len(v) == dim], dtype=np.float64).reshape(-1, dim)
+    pivots = np.array([v for v in sample if len(v) == dim], dtype=np.float64).reshape(-1, dim or 1)
     good, asked = good.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     n = good.count()
     shards = max(1, min(partitions(spark), n // 1024), math.ceil(n / shard_rows))

@@ -86,7 +86,8 @@ def _rank(n: int, num: int, den: int):
 def gram_sets(docs: DataFrame, *, n: int, num: int, den: int) -> DataFrame:
     """Per document its set's size, signature, and rare-first prefix; sets come with a prefix only."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    count = KeyCount.sized(rows, _extract(n), 1, keys_per_byte=1 / 6, width=5)
+    # Frequencies only order the n-grams: 32 bits within a bucket of about a million keys are enough.
+    count = KeyCount.sized(rows, _extract(n), 1, keys_per_byte=1 / 6, width=4)
     chunked = count.chunked(rows, F.struct("doc_id", F.xxhash64("text")))
     return count.tell(chunked, count.answers(chunked), _rank(n, num, den), _SHAPE)
 
@@ -221,15 +222,20 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100)
 
     # Members that a doc_id or a class holds together, beside the links between classes.
     member = known.filter("n > 0").join(classes, ["sig", "n"]).select("doc_id", "rep")
-    edges = links.select("a", "b")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    comps = components(classes.select(F.col("rep").alias("node")).distinct(), edges.unionByName(twice))
+    base = reliable(
+        classes.select(F.col("rep").alias("node")).distinct().join(joined, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("part")))
+    between = second.select("a", "b").unionByName(twice)
+    between = between.join(base.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(base.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    tops = components(base.select(F.col("part").alias("node")).distinct(), between.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    comps = base.join(tops.withColumnRenamed("node", "part"), "part").select(F.col("node").alias("rep"), "component")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left")
+    named = classes.join(comps, "rep").join(degree, "rep", "left")
     out = shaped.join(named.select("sig", "n", "rep", "component", "n_links"), ["sig", "n"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("doc_id").isNotNull() & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
     ), links

@@ -35,20 +35,27 @@ def whole(text: Column) -> Column:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges reach, for every row of ``nodes``.
 
-    ``nodes`` has a bigint column node, ``edges`` bigint columns a and b. Labels sink to the smallest
-    neighbour's and are then replaced by their label's label, so that a chain takes a logarithmic
-    number of rounds. Each round is one join and one aggregate, cut by a checkpoint. Nodes without
-    an edge take no part in the rounds.
+    ``nodes`` has a bigint column node, ``edges`` bigint columns a and b. In each round a node joins the
+    one of its neighbours and itself that comes first by a hash drawn for the round; edges are then
+    drawn between what was joined, and those inside fall away. About a constant share of the nodes goes in
+    each round, chains included, and so do the edges of a dense group. Rounds are cut by checkpoints.
     """
-    both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct()
-    both = reliable(both)
-    labels = reliable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        sunk = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        up = sunk.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = reliable(sunk.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), "was"))
-        labels = after.select("node", "label")
-        if after.filter("label <> was").isEmpty():
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    left = reliable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    into, step = None, 0
+    while not left.isEmpty():
+        step += 1
+        both = left.union(left.select("b", "a"))
+        turn = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("b"))
+        first = both.groupBy("a").agg(F.min(turn(F.col("b"))).alias("t"))
+        own = turn(F.col("a"))
+        picked = reliable(first.select(F.col("a").alias("node"), F.when(F.col("t") < own, F.col("t.b")).otherwise(F.col("a")).alias("label")))
+        named = left.join(picked.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(picked.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        into = picked if into is None else reliable(
+            into.withColumnRenamed("label", "mid").join(picked.select(F.col("node").alias("mid"), "label"), "mid", "left")
+            .select("node", F.coalesce("label", "mid").alias("label")))
+        left = reliable(named.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if into is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = into.groupBy("label").agg(F.min("node").alias("component"))
+    found = into.join(least, "label").select("node", "component")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
