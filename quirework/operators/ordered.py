@@ -137,13 +137,15 @@ def pinned(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, in the folder the cluster names (``spark.checkpoint.dir``).
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    A temporary folder is used only where none is named, as in local tests.
+    Without one, a local session takes a folder of its own machine; a cluster gets an error.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quirework-checkpoint-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirework-checkpoint-"))
     return df.checkpoint()

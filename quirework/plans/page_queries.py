@@ -358,18 +358,19 @@ def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "D2",
     f"""WITH {derived.BOOK},
-    cutp AS (SELECT doc_id, pos * 2 AS pos, substr(text, 1, (length(text) * 7) // 10) AS text FROM book WHERE pos % 3 = 0
-             UNION ALL SELECT doc_id, pos * 2 + 1, text FROM book),
-    n AS (SELECT doc_id, pos, {duck.strip('text')} AS b FROM cutp),
+    cutp AS (SELECT doc_id, pos * 2 AS pos, type, substr(text, 1, (length(text) * 7) // 10) AS text FROM book WHERE pos % 3 = 0
+             UNION ALL SELECT doc_id, pos * 2 + 1, type, text FROM book),
+    n AS (SELECT doc_id, pos, type, {duck.strip('text')} AS b FROM cutp),
     k AS (SELECT *, translate(lower({duck.squash('b')}), {duck.q(P.OVERLAP_QUOTES)}, '') AS nb FROM n),
-    p AS (SELECT doc_id, pos, b, nb, lag(pos) OVER w AS prev_pos, lag(b) OVER w AS a, lag(nb) OVER w AS na FROM k
+    p AS (SELECT doc_id, pos, b, nb, lag(pos) OVER w AS prev_pos, lag(b) OVER w AS a, lag(nb) OVER w AS na,
+            type = 'paragraph' AND b <> '' AND lag(type) OVER w = 'paragraph' AND lag(b) OVER w <> '' AS both_ FROM k
           WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     o AS (SELECT *, length(a) <= length(b) AS prev_shorter,
           CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN na ELSE nb END AS ns,
           CASE WHEN length(a) <= length(b) THEN nb ELSE na END AS nl,
           string_split(lower({duck.squash('a')}), ' ') AS wa, string_split(lower({duck.squash('b')}), ' ') AS wb
-          FROM p WHERE length(a) >= 24 AND length(b) >= 24),
-    j AS (SELECT *, least(22, len(wa), len(wb)) AS k FROM o WHERE length(nl) - length(ns) >= 18),
+          FROM p WHERE both_ AND length(a) >= 24 AND length(b) >= 24),
+    j AS (SELECT *, least(len(wa), len(wb)) AS k FROM o WHERE length(nl) - length(ns) >= 18),
     f AS (SELECT *, CASE WHEN k >= 6 THEN len(list_intersect(list_distinct(wa[1:k]), list_distinct(wb[1:k])))
             / len(list_distinct(wa[1:k] || wb[1:k]))::DOUBLE ELSE 0.0 END AS jac,
           starts_with(nl, ns) AND length(ns) >= 24 AND NOT {duck.has('s', '[.!?]$')} AS hit FROM j)
