@@ -16,7 +16,10 @@ _DAY = 86_400
 
 
 def _seconds(later: Column, earlier: Column) -> Column:
-    return F.unix_seconds(later.cast("timestamp")) - F.unix_seconds(earlier.cast("timestamp"))
+    """Whole seconds between two values of one timestamp type, zone-less ones without a zone."""
+    gap = later - earlier
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    return part("DAY") * _DAY + part("HOUR") * 3600 + part("MINUTE") * 60 + F.floor(part("SECOND"))
 
 
 def _days(n: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.config import DEFAULTS, Settings
 from quirework.functions import text as T
+from quirework.operators.ordered import first_per_key
 
 
 def memory_key(text: Column, model: str, temperature: float, target: str) -> Column:
@@ -81,6 +82,8 @@ def merge_batch_outputs(batches: DataFrame, outputs: DataFrame) -> tuple[DataFra
     """(segment translations, usage per document, errors of missing or uneven batches)."""
     keys = ["doc_id", "batch_id"]
     uneven = F.size("indices") != F.size("translations")
+    # A queue may deliver a batch again: one output per batch, an even one where there is any.
+    outputs = first_per_key(outputs.select(*keys, "indices", "translations", "usage_tokens"), keys, [uneven, F.xxhash64("indices", "translations"), F.col("usage_tokens")])
     good = outputs.filter(~uneven).select(
         "doc_id", F.inline(F.arrays_zip(F.col("indices").alias("segment_id"), F.col("translations").alias("translation")))
     ).toDF("doc_id", "segment_id", "translation")

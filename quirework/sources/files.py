@@ -46,12 +46,21 @@ def describe_files(files: DataFrame, max_bytes: int = DEFAULTS.max_upload_bytes)
         .when(~sound, "corrupted").otherwise("ok")
     )
     return files.withColumn("suffix", suffix).select(
-        "path", "suffix", size.alias("bytes"), F.sha2("content", 256).alias("content_hash"), verdict.alias("verdict")
+        "path", "suffix", size.cast("long").alias("bytes"), F.sha2("content", 256).alias("content_hash"), verdict.alias("verdict")
     )
 
 
 def file_manifest(spark: SparkSession, path: str, max_bytes: int = DEFAULTS.max_upload_bytes) -> DataFrame:
-    return describe_files(spark.read.format("binaryFile").load(path).select("path", "content"), max_bytes)
+    """S3 over a folder. Files above ``max_bytes`` are told by their length alone; their content is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    if max_bytes <= 0:
+        return describe_files(files.select("path", "content"), max_bytes)
+    small = describe_files(files.filter(F.col("length") <= max_bytes).select("path", "content"), max_bytes)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    large = files.filter(F.col("length") > max_bytes).select(
+        "path", suffix.alias("suffix"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("content_hash"),
+        F.when(~suffix.isin(*P.ALLOWED_SUFFIXES), "unsupported_type").otherwise("too_large").alias("verdict"))
+    return small.unionByName(large)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

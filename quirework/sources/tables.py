@@ -15,21 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Re-deal a scan too small to be split over the cores.
-
-    A file below one split per core is read by a few tasks whatever follows, so text
-    rules would run on those few. Scans at or above that size keep their own splits.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < split * cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +110,7 @@ def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payment notices as JSON bodies in the gateway's nested shape, one per event."""
     from quirework.operators.ordered import pinned
 
-    e = pinned(spread(table(spark, sf_dir, "events")), {"k": F.get_json_object("props", "$.k").cast("int")})
+    e = pinned(table(spark, sf_dir, "events"), {"k": F.get_json_object("props", "$.k").cast("int")})
     k, key = F.col("k"), F.col("event_id")
     named = (
         F.when(F.col("event_type") == "purchase", "payment.captured")

@@ -5,6 +5,7 @@ import json
 import random
 
 import pandas as pd
+
 from pyspark.sql import functions as F
 
 from quirework.config import Settings
@@ -80,32 +81,43 @@ def test_settlement_equals_job_by_job(spark):
     assert got == want
 
 
-def test_subscription_states_equal_replay(spark):
-    rng = random.Random(5)
-    users, changes, want = [], [], {}
-    for u in range(80):
-        plan = rng.choice(["free", "monthly", "yearly"])
-        users.append(dict(id=u, plan=plan, free_credits=rng.choice([0, 10]), subscription_id=f"s{u}",
-                          subscription_expiry=day(rng.randint(0, 500)) if rng.random() < 0.4 else None,
-                          subscription_contract_end=day(rng.randint(0, 500)) if plan == "yearly" and rng.random() < 0.5 else None,
-                          subscription_period_start=day(-5) if rng.random() < 0.3 else None))
-        rows = []
-        for i in range(rng.randint(1, 7)):
-            on = rng.random() < 0.7
-            rows.append(dict(at=day(i * 9), action="activate" if on else "deactivate",
-                             period_end=day(rng.randint(20, 600)) if on and rng.random() < 0.6 else None,
-                             period_start=day(rng.randint(-30, 60)) if on and rng.random() < 0.5 else None))
-        changes += [(u, r["at"], u * 10 + i, r["action"], r["period_end"], r["period_start"]) for i, r in enumerate(rows)]
-        p = users[-1]
-        state = dict(free=p["free_credits"], plan=plan, pending=None, active=False, contract=p["subscription_contract_end"],
-                     expiry=p["subscription_expiry"], start=p["subscription_period_start"])
-        s = PY.replay_subscription(state, iter(rows))
-        want[u] = (s["active"], s["plan"], s["contract"], s["expiry"], s["start"])
+def test_subscription_states_worked_by_hand(spark):
+    on, off = "activate", "deactivate"
+    cases = {  # plan, free words, expiry, changes as (day, action, period end, period start) -> active, plan, contract, expiry, start
+        1: (("free", 10, None), [(0, on, None, None)], (True, "monthly", None, 30, 0)),
+        2: (("yearly", 0, None), [(0, on, 400, None), (9, off, None, None)], (False, "payg", None, 400, 0)),
+        3: (("yearly", 0, None), [(0, on, None, None)], (True, "yearly", 365, 365, 0)),
+        4: (("monthly", 5, 100), [(0, on, 50, 2)], (True, "monthly", None, 100, 2)),
+        5: (("yearly", 10, None), [(0, on, None, None), (9, off, None, None), (18, on, None, None)], (True, "monthly", None, 48, 0)),
+    }
+    users = [dict(id=u, plan=p, free_credits=f, subscription_id=f"s{u}", subscription_expiry=None if e is None else day(e))
+             for u, ((p, f, e), _, _) in cases.items()]
+    at = lambda d: None if d is None else day(d)
+    changes = [(u, day(d), u * 10 + i, act, at(pe), at(ps)) for u, (_, rows, _) in cases.items() for i, (d, act, pe, ps) in enumerate(rows)]
     df = spark.createDataFrame(changes, "user_id bigint, received_at timestamp, event_id bigint, action string, period_end timestamp, period_start timestamp")
     got = {r.user_id: (r.subscription_active, r.plan, r.subscription_contract_end, r.subscription_expiry, r.subscription_period_start)
            for r in PY.subscription_states(df, _profiles(spark, *users)).collect()}
-    plain = {u: tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in w) for u, w in want.items()}
-    assert got == plain
+    assert got == {u: (w[0], w[1], at(w[2]), at(w[3]), at(w[4])) for u, (_, _, w) in cases.items()}
+
+
+def test_refills_do_not_depend_on_the_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            t = lambda s: F.lit(s).cast("timestamp_ntz")
+            p = spark.range(1).select(
+                F.lit("yearly").alias("plan"), F.lit(True).alias("subscription_active"), t("2024-02-15 00:30:00").alias("subscription_period_start"),
+                t("2025-02-15 00:30:00").alias("subscription_contract_end"), t("2025-02-15 00:30:00").alias("subscription_expiry"))
+            assert p.select(B.refills_until(t("2024-03-16 00:30:00")).alias("k")).first().k == 1
+            changes = p.select(F.lit(1).alias("user_id"), t("2024-03-01 00:00:00").alias("received_at"), F.lit(1).alias("event_id"), F.lit("activate").alias("action"),
+                               F.lit(None).cast("timestamp").alias("period_end"), F.lit(None).cast("timestamp").alias("period_start"))
+            who = p.select(F.lit(1).alias("id"), F.lit("free").alias("plan"), F.lit(0).alias("free_credits"), *[F.lit(None).cast("timestamp_ntz").alias(c) for c in (
+                "subscription_expiry", "subscription_contract_end", "subscription_period_start")])
+            end = PY.subscription_states(changes, who).select(F.unix_seconds("subscription_expiry").alias("s")).first().s
+            assert end == 1709251200 + 30 * 86400
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def _notice(spark, *bodies):
