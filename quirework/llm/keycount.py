@@ -23,7 +23,7 @@ from quirework.llm.shared import partitions
 #: A chunk's rows -> its distinct keys in rising order, and one weight array per count.
 Extract = Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]]
 
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 2 << 20
 _BUCKET_KEYS = 1 << 20
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,35 +29,73 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def light(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` materialised, and broadcast if it is found to have at most ``rows`` rows (of a few numbers each)."""
+    df = reliable(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def whole(text: Column) -> Column:
     """The text, a null as the empty one."""
     return F.coalesce(text, F.lit(""))
 
 
+#: Edges that one task takes in: some ten megabytes.
+_TASK_EDGES = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label): each node of the task's edges with the smallest node that they reach from it."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges reach, for every row of ``nodes``.
 
-    ``nodes`` has a bigint column node, ``edges`` bigint columns a and b. In each round a node joins the
-    one of its neighbours and itself that comes first by a hash drawn for the round; edges are then
-    drawn between what was joined, and those inside fall away. About a constant share of the nodes goes in
-    each round, chains included, and so do the edges of a dense group. Rounds are cut by checkpoints.
+    ``nodes`` has a bigint column node, ``edges`` bigint columns a and b. Edges are dealt into tasks of a bounded
+    number; each joins its own and passes on one edge per node. When they fit one task, it joins the rest.
+    Until then, in each round a node joins the one of its neighbours and itself that comes first by a hash drawn for the round,
+    and edges are drawn between what was joined: a constant share of the nodes goes, chains included, and the edges of a
+    dense group go with them. Rounds are cut by checkpoints.
     """
-    left = reliable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = edges.filter("a <> b").select("a", "b")
     into, step = None, 0
-    while not left.isEmpty():
+
+    def chained(before: DataFrame | None, last: DataFrame) -> DataFrame:
+        if before is None:
+            return last
+        return before.withColumnRenamed("label", "mid").join(last.withColumnRenamed("node", "mid"), "mid", "left").select("node", F.coalesce("label", "mid").alias("label"))
+
+    while True:
+        left = reliable(left)
+        n = left.count()
+        tasks = -(-n // _TASK_EDGES)
+        forest = left.repartition(max(1, tasks)).mapInArrow(_joined, "node bigint, label bigint")
+        if tasks <= 1:
+            into = chained(into, forest)
+            break
         step += 1
-        both = left.union(left.select("b", "a"))
+        left = reliable(forest.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).distinct())
         turn = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("b"))
-        first = both.groupBy("a").agg(F.min(turn(F.col("b"))).alias("t"))
-        own = turn(F.col("a"))
-        picked = reliable(first.select(F.col("a").alias("node"), F.when(F.col("t") < own, F.col("t.b")).otherwise(F.col("a")).alias("label")))
-        named = left.join(picked.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(picked.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        into = picked if into is None else reliable(
-            into.withColumnRenamed("label", "mid").join(picked.select(F.col("node").alias("mid"), "label"), "mid", "left")
-            .select("node", F.coalesce("label", "mid").alias("label")))
-        left = reliable(named.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-    if into is None:
-        return nodes.select("node", F.col("node").alias("component"))
+        first = left.union(left.select("b", "a")).groupBy("a").agg(F.min(turn(F.col("b"))).alias("t"))
+        picked = reliable(first.select(F.col("a").alias("node"), F.when(F.col("t") < turn(F.col("a")), F.col("t.b")).otherwise(F.col("a")).alias("label")))
+        ends = [picked.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        into = reliable(chained(into, picked))
+        left = left.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    # The smallest node of what was joined names it.
+    into = reliable(into)
     least = into.groupBy("label").agg(F.min("node").alias("component"))
-    found = into.join(least, "label").select("node", "component")
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(into.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
