@@ -177,9 +177,8 @@ def error_message(raw: Column, status: Column, error_class: Column, max_len: int
     """one short line; HTML bodies are replaced by a hint."""
     text = strip(raw)
     text = F.when(text == "", error_class).otherwise(text)
-    head = F.substring(text, 1, 8000)
-    low = F.lower(head)
-    html = head.rlike(rf"(?is)<{P.S}*!DOCTYPE{P.S}+html{P.S}*>|<{P.S}*html(?!{P.W})") | (
+    low = F.lower(text)
+    html = text.rlike(rf"(?is)<{P.S}*!DOCTYPE{P.S}+html{P.S}*>|<{P.S}*html(?!{P.W})") | (
         low.contains("<html") & (low.contains("<head") | low.contains("<body"))
     )
     short = F.when(

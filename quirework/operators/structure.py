@@ -158,33 +158,25 @@ _GENRES = (
 )
 
 
-def _leading_blocks(blocks: DataFrame, counted: Column, n: int) -> DataFrame:
-    """Rows up to and including the n-th counted one per document."""
-    marked = blocks.withColumn("_counted", counted)
-    before = F.coalesce(
-        F.sum(F.col("_counted").cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    return marked.withColumn("_before", before).filter(F.col("_before") < n)
-
-
-def _blob(flag: Column) -> Column:
-    parts = F.array_sort(F.collect_list(F.when(flag, F.struct("pos", F.lower("text").alias("t")))))
-    return F.array_join(F.transform(parts, lambda s: s["t"]), "\n")
+def _any_row(rows: Column, *patterns: str) -> Column:
+    """Whether a lower-cased text of the document's ``rows`` matches."""
+    low = F.lower("text")
+    hit = low.rlike(patterns[0])
+    for p in patterns[1:]:
+        hit = hit | low.rlike(p)
+    return F.coalesce(F.bool_or(rows & hit), F.lit(False))
 
 
 def coarse_genre(blocks: DataFrame) -> DataFrame:
-    """A10: genre hint per document from its first 80 text blocks."""
-    counted = (F.coalesce(F.col("text"), F.lit("")) != "") & (F.col("type") != "table")
+    """A10: genre hint per document: the first pattern that any of its texts has, else by its chapters."""
+    rows = (F.coalesce(F.col("text"), F.lit("")) != "") & (F.col("type") != "table")
+    flags = {f"g{i}": _any_row(rows, pattern) for i, (pattern, _) in enumerate(_GENRES)}
     chapters = F.count_if((F.col("type") == "heading") & T.is_chapter_like(F.col("text")))
-    joined = _leading_blocks(blocks, counted, 80).groupBy("doc_id").agg(
-        _blob(F.col("_counted")).alias("blob"), chapters.alias("chapters")
-    )
-    kind = F.when(F.col("blob").rlike(_GENRES[0][0]), _GENRES[0][1])
-    for pattern, name in _GENRES[1:]:
-        kind = kind.when(F.col("blob").rlike(pattern), name)
-    kind = kind.when(F.col("chapters") >= 3, "book").otherwise("general")
-    return joined.select("doc_id", kind.alias("doc_kind"))
+    seen = blocks.groupBy("doc_id").agg(*[v.alias(k) for k, v in flags.items()], chapters.alias("chapters"))
+    kind = F.when(F.col("g0"), _GENRES[0][1])
+    for i, (_, name) in enumerate(_GENRES[1:], 1):
+        kind = kind.when(F.col(f"g{i}"), name)
+    return seen.select("doc_id", kind.when(F.col("chapters") >= 3, "book").otherwise("general").alias("doc_kind"))
 
 
 def three_line_pattern(blocks: DataFrame) -> DataFrame:
@@ -404,7 +396,7 @@ def outline(classified: DataFrame) -> DataFrame:
     }).drop("_kind", "_before", "_is_head")
 
 
-# (pattern, kind) tried on the joined text before the counting rules (fixed values)
+# marks of teaching material, tried on each text (fixed values)
 _EDUCATIONAL = (
     P.whole(rf"jee|neet|iit|jee{P.S}*main|jee{P.S}*advanced|nta|mock{P.S}*test|previous{P.S}+year")
     + rf"|^{P.S}*(?:q\d+[.)]{P.S}+|question{P.S}*\d+|\d+[.)]{P.S}+[^\n]+[?？]{P.S}*$)"
@@ -414,30 +406,30 @@ _EDUCATIONAL = (
 
 
 def document_kind(classified: DataFrame) -> DataFrame:
-    """Document kind from the non-omitted blocks up to the 60th with text."""
-    live = classified.filter(F.col("action") != "OMIT")
-    counted = F.coalesce(F.col("text"), F.lit("")) != ""
-    agg = _leading_blocks(live, counted, 60).groupBy("doc_id").agg(
-        _blob(F.col("_counted")).alias("blob"),
+    """Document kind from all texts that are not omitted, as flags and counts in one aggregate."""
+    rows = F.coalesce(F.col("text"), F.lit("")) != ""
+    seen = classified.filter(F.col("action") != "OMIT").groupBy("doc_id").agg(
+        _any_row(rows, _EDUCATIONAL).alias("educational"),
+        (_any_row(rows, rf"(?m)^abstract{P.S}*$") | F.coalesce(F.bool_or(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).contains(" abstract ")), F.lit(False)))
+        .alias("abstract"),
+        _any_row(rows, rf"(?m)^(?:references|bibliography){P.S}*$").alias("references"),
+        _any_row(rows, rf"(?m)^appendix{P.S}+[a-z0-9]").alias("appendix"),
+        _any_row(rows, P.whole("table of contents|contents")).alias("contents"),
         F.count_if((F.col("type") == "heading") & T.is_chapter_like(F.col("text"))).alias("chapters"),
         F.count_if(F.col("type") == "list").alias("lists"),
         F.count_if(F.col("type") == "paragraph").alias("paras"),
     )
-    blob = F.col("blob")
-    tail = F.substring(blob, F.greatest(F.length(blob) - 7999, F.lit(1)), F.lit(8000))
     lists, paras, chapters = F.col("lists"), F.col("paras"), F.col("chapters")
     kind = (
-        F.when(blob.rlike(_EDUCATIONAL), "educational")
-        .when(blob.rlike(rf"(?m)^abstract{P.S}*$") | F.concat(F.lit(" "), blob, F.lit(" ")).contains(" abstract "),
-              "article")
-        .when(tail.rlike(rf"(?m)^(?:references|bibliography){P.S}*$") & (paras > lists), "article")
+        F.when(F.col("educational"), "educational")
+        .when(F.col("abstract") | (F.col("references") & (paras > lists)), "article")
         .when(chapters >= 3, "book")
         .when((lists >= F.greatest(F.lit(4), F.floor(paras / 4))) & (paras > 0), "notes")
-        .when(blob.rlike(rf"(?m)^appendix{P.S}+[a-z0-9]"), "manual")
-        .when(blob.rlike(P.whole("table of contents|contents")) & (chapters >= 2), "book")
+        .when(F.col("appendix"), "manual")
+        .when(F.col("contents") & (chapters >= 2), "book")
         .otherwise("general")
     )
-    return agg.select("doc_id", kind.alias("document_type"))
+    return seen.select("doc_id", kind.alias("document_type"))
 
 
 def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -463,7 +455,6 @@ def enrich(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     subtitle = out.groupBy("doc_id").agg(F.first("subtitle_pos").alias("subtitle_pos"))
     chapters = (
         out.filter((F.col("semantic_role") == "chapter") & (F.col("action") != "OMIT"))
-        .withColumn("_nth", F.row_number().over(by_doc())).filter(F.col("_nth") <= 200)
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", T.strip(F.col("text")).alias("t")))).alias("c"))
         .select("doc_id", F.col("c.t").alias("chapter_titles"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import clean as C
@@ -224,14 +224,14 @@ def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT *, coalesce(chapter_start AND h = lvl, false) AS is_ch, bool_or(coalesce(chapter_start AND h = lvl, false)) OVER (PARTITION BY doc_id ORDER BY pos) AS opened FROM d),
     s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM o
           WHERE CASE WHEN has = 0 THEN h = top ELSE is_ch OR (opened AND h = least(6, lvl + 1)) END)
-    SELECT doc_id, min(pos) AS pos, h AS level FROM s WHERE (has = 0 OR nth <= 5) AND NOT ({R.prose_noise}) GROUP BY doc_id, lower(sq), h""",
+    SELECT doc_id, min(pos) AS pos, h AS level FROM s WHERE NOT ({R.prose_noise}) GROUP BY doc_id, lower(sq), h""",
 )
 def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = derived.book(spark, sf_dir).filter(F.col("type") == "heading").select(
         "doc_id", "pos", "text", T.is_chapter_like(F.col("text")).alias("chapter_start"),
         F.greatest(F.lit(2), F.least(F.lit(6), F.col("level") + 1)).alias("h_level"), F.lit("a").alias("anchor"),
     )
-    return A.toc_entries(heads, cap=5).select("doc_id", "pos", "level")
+    return A.toc_entries(heads).select("doc_id", "pos", "level")
 
 
 @query(
@@ -260,7 +260,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("N1 N2 N3 F2 F3 F4")
 def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.structured_documents(_nodes(spark, sf_dir))
-    return docs.select("doc_id", "title", "subtitle", F.size("authors").alias("authors"), F.to_json("content").alias("content"))
+    return docs.select("doc_id", "title", "subtitle", F.array_join("authors", "|").alias("authors"), F.to_json("content").alias("content"))
 
 
 @query("N4 Q19 Q21 P26")
@@ -273,7 +273,8 @@ def template_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("Q20")
 def chapter_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = A.template_blocks(_nodes(spark, sf_dir)).filter((F.col("sub") == 0) & (F.col("pos") >= 0))
+    order = Window.partitionBy("doc_id").orderBy("pos", "sub")
+    b = A.template_blocks(_nodes(spark, sf_dir)).withColumn("pos", F.row_number().over(order) - 1)
     view = A.chapter_view(b.select("doc_id", "pos", "type", "text", "chapter_start", "is_subheading"))
     return view.select("doc_id", "pos", "type", "text", "chapter_no", "display_text")
 
@@ -304,7 +305,7 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S2 Q2")
 def page_markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.html_blocks(tables.table(spark, sf_dir, "pages")).drop("data")
+    return pages.html_blocks(tables.table(spark, sf_dir, "pages")).withColumn("data", F.to_json("data"))
 
 
 @query(
@@ -334,5 +335,4 @@ def plan_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     packed = PL.pack_by_tokens(PL.segments(items), _SMALL)
     back = files.read_manifests(files.plan_manifests(items, packed))
-    return back.select("doc_id", "version", F.size("segments").alias("segments"), F.size("batches").alias("batches"),
-                       F.size("items").alias("items"))
+    return back.select("doc_id", "version", *[F.to_json(c).alias(c) for c in ("segments", "batches", "items")])

@@ -1,15 +1,15 @@
 """Block tables with book-like structure, derived from the document lines.
 
 The source texts hold prose only, so every line is re-labelled by position: some
-become chapter headings, contents rows, imprints, page furniture and so on. A line
-keeps its words; the template of its style decides which of them are shown and how.
+become chapter headings, contents rows, imprints, page furniture and so on. The template of
+its style shows the line's first words; those that it does not show follow as a paragraph.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
@@ -54,6 +54,11 @@ _STYLES: tuple[tuple[str, int, str], ...] = (
 _CYCLE = len(_STYLES) - 2
 
 
+def _shown(template: str) -> int:
+    """How many of a line's words a template shows; the whole text counts as more than any line has."""
+    return max([n for mark, n in (("{1}", 1), ("{2}", 2), ("{3}", 3), ("{5}", 5), ("{U}", 3), ("{t}", 1 << 30)) if mark in template], default=0)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.line_blocks(tables.documents(spark, sf_dir)).select("doc_id", "pos", "text")
 
@@ -79,14 +84,19 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
         "{t}": F.col("text"),
     }
     filled = reduce(lambda t, m: F.replace(t, F.lit(m[0]), m[1]), marks.items(), pick(2))
-    return src.select(
-        "doc_id",
-        "pos",
-        pick(0).alias("type"),
-        filled.alias("text"),
-        pick(1).alias("level"),
-        F.when(F.col("_style") == 9, "ordered").alias("list_kind"),
-        F.expr("cast(pos div 4 as int) + 1").alias("source_page"),
+    shown = F.element_at(F.array(*[F.lit(_shown(s[2])) for s in _STYLES]), F.col("_style") + 1)
+    styled = F.struct(
+        F.lit(0).alias("part"), pick(0).alias("type"), filled.alias("text"), pick(1).alias("level"),
+        F.when(F.col("_style") == 9, "ordered").alias("list_kind"))
+    rest = F.struct(
+        F.lit(1).alias("part"), F.lit("paragraph").alias("type"),
+        F.array_join(F.slice("_w", shown + 1, F.greatest(F.size("_w"), F.lit(1))), " ").alias("text"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("list_kind"))
+    parts = F.when(shown < F.size("_w"), F.array(styled, rest)).otherwise(F.array(styled))
+    rows = src.select("doc_id", F.col("pos").alias("_line"), F.inline(parts))
+    order = Window.partitionBy("doc_id").orderBy("_line", "part")
+    return rows.select(
+        "doc_id", (F.row_number().over(order) - 1).alias("pos"), "type", "text", "level", "list_kind",
+        F.expr("cast(_line div 4 as int) + 1").alias("source_page"),
     )
 
 
@@ -100,18 +110,23 @@ _MARKS = {
     "{p}": "pos::VARCHAR", "{n}": "(doc_id % 3 + 1)::VARCHAR", "{t}": "text",
 }
 _FILLED = reduce(lambda t, m: f"replace({t}, {q(m[0])}, {m[1]})", _MARKS.items(), "template")
-_ROWS = ", ".join(f"({i}, {q(t)}, {lvl}, {q(tpl)})" for i, (t, lvl, tpl) in enumerate(_STYLES))
+_ROWS = ", ".join(f"({i}, {q(t)}, {lvl}, {q(tpl)}, {_shown(tpl)})" for i, (t, lvl, tpl) in enumerate(_STYLES))
 
 BOOK = f"""{LINES},
-styles(style, type, level, template) AS (VALUES {_ROWS}),
+styles(style, type, level, template, shown) AS (VALUES {_ROWS}),
 styled AS (
   SELECT doc_id, pos, text, string_split({squash('text')}, ' ') AS w,
          CASE WHEN pos < 2 THEN pos + {_CYCLE} ELSE (doc_id * 31 + pos) % {_CYCLE} END AS style
   FROM lines
 ),
-book AS (
-  SELECT doc_id, pos, type, {_FILLED} AS text, level,
-    CASE WHEN style = 9 THEN 'ordered' END AS list_kind,
-    (pos // 4 + 1)::INTEGER AS source_page
+parts AS (
+  SELECT doc_id, pos AS line, 0 AS part, type, {_FILLED} AS text, level, CASE WHEN style = 9 THEN 'ordered' END AS list_kind
   FROM styled JOIN styles USING (style)
+  UNION ALL
+  SELECT doc_id, pos, 1, 'paragraph', array_to_string(w[shown + 1:], ' '), 1, NULL FROM styled JOIN styles USING (style) WHERE shown < len(w)
+),
+book AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) - 1 AS pos, type, text, level, list_kind,
+    (line // 4 + 1)::INTEGER AS source_page
+  FROM parts
 )"""

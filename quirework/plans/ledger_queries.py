@@ -130,7 +130,7 @@ def charge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "B9 W3",
-    f"""WITH {REFRESHED}, d AS (SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+')) AS words, doc_id % 1500 AS uid FROM documents),
+    f"""WITH {REFRESHED}, d AS (SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+')) AS words, doc_id % (SELECT count(*) FROM customer) AS uid FROM documents),
     j AS (SELECT doc_id, words, f.* FROM d JOIN fresh f ON f.id = d.uid), {_split('words', 'j')}
     SELECT doc_id, words, free_used, subscription_used, {_PRICE.format(w='payg_words')} AS amount_to_pay,
       greatest(1, (words + 259) // 260)::INTEGER AS pages, greatest(1, (words + 259) // 260) > 3 AS preview_eligible FROM split""",
@@ -138,11 +138,12 @@ def charge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.functions import text as T
 
+    users = tables.table(spark, sf_dir, "customer").count()
     docs = tables.documents(spark, sf_dir).select(
-        "doc_id", T.token_words(F.col("text")).alias("words"), (F.col("doc_id") % 1500).alias("user_id")
+        "doc_id", T.token_words(F.col("text")).alias("words"), (F.col("doc_id") % users).alias("user_id")
     )
     est = B.upload_estimate(docs, tables.profiles(spark, sf_dir), _now())
-    return est.filter(F.col("free_credits").isNotNull()).select(
+    return est.select(
         "doc_id", "words", "free_used", "subscription_used", "amount_to_pay", "pages", "preview_eligible"
     )
 

@@ -32,7 +32,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.when(pos % 5 == 0, 16).otherwise(0)
     words = F.split(T.squash(F.col("text")), " ")
     head = F.array_join(F.slice(words, 1, 2), " ")
-    rest = F.array_join(F.slice(words, 3, 9), " ")
+    rest = F.array_join(F.slice(words, 3, F.size(words)), " ")
     return derived.book(spark, sf_dir).select(
         "doc_id", F.expr(f"cast(pos div {_PER_PAGE} as int) + 1").alias("page"), n.alias("line_no"),
         F.lit(50.0).alias("x0"), y0.alias("y0"),
@@ -58,7 +58,7 @@ pl0 AS (SELECT doc_id, pos, (pos // {_PER_PAGE} + 1)::INTEGER AS page, (pos % {_
    string_split({duck.squash('text')}, ' ') AS w,
    CASE WHEN (doc_id + pos) % 9 = 0 THEN 19.0 WHEN (doc_id + pos) % 7 = 0 THEN 15.0 ELSE 11.0 END::DOUBLE AS size,
    (pos % {_PER_PAGE}) * 12.0::DOUBLE + (doc_id * 7 + pos) % 5 * 4.0::DOUBLE AS y0 FROM book),
-pl AS (SELECT *, array_to_string(w[1:2], ' ') AS head, array_to_string(w[3:11], ' ') AS rest, y0 + 10.0 AS y1,
+pl AS (SELECT *, array_to_string(w[1:2], ' ') AS head, array_to_string(w[3:], ' ') AS rest, y0 + 10.0 AS y1,
    pos % 4 = 0 OR pos % 5 = 0 AS head_bold FROM pl0),
 measured AS (SELECT doc_id, page, line_no, y0, y1, trim(head || ' ' || rest) AS text,
    greatest(size, CASE WHEN rest <> '' THEN 11.0::DOUBLE ELSE size END) AS max_size,

@@ -151,44 +151,43 @@ def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pick_subtitle(b.withColumns({"structural_tag": tag, "action": F.lit("TRANSLATE")}))
 
 
-_blob_sql = "string_agg(lower(text), chr(10) ORDER BY pos)"
+def _some(pattern: str) -> str:
+    return f"bool_or({duck.has('lower(text)', pattern)})"
 
 
 @query(
     "A9",
     f"""WITH {derived.BOOK}, {R.text_view('book')},
-    firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM tv),
-    agg AS (SELECT doc_id, {_blob_sql} AS blob, count(*) FILTER (type = 'heading' AND {R.chapter_like}) AS chapters,
-        count(*) FILTER (type = 'list') AS lists, count(*) FILTER (type = 'paragraph') AS paras
-      FROM firsts WHERE rn <= 60 GROUP BY doc_id)
+    agg AS (SELECT doc_id, count(*) FILTER (type = 'heading' AND {R.chapter_like}) AS chapters,
+        count(*) FILTER (type = 'list') AS lists, count(*) FILTER (type = 'paragraph') AS paras,
+        {_some(duck.whole(rf"jee|neet|iit|nta|mock{P.S}*test|previous{P.S}+year|worksheet|homework"))}
+          OR {_some(rf"^{P.S}*(?:q\d+[.)]{P.S}+|question{P.S}*\d+|\d+[.)]{P.S}+[^\n]+[?？]{P.S}*$)")}
+          OR {_some(rf"(^|[^{P.WORD_CHARS}])exercise{P.S}*[:\-]{P.W}")} AS educational,
+        {_some(rf"(?m)^abstract{P.S}*$")} OR bool_or(contains(' ' || lower(text) || ' ', ' abstract ')) AS abstract,
+        {_some(rf"(?m)^(?:references|bibliography){P.S}*$")} AS refs, {_some(rf"(?m)^appendix{P.S}+[a-z0-9]")} AS appendix,
+        {_some(duck.whole('table of contents|contents'))} AS contents
+      FROM tv GROUP BY doc_id)
     SELECT doc_id, CASE
-      WHEN {duck.has('blob', duck.whole(rf"jee|neet|iit|nta|mock{P.S}*test|previous{P.S}+year|worksheet|homework"))}
-        OR {duck.has('blob', rf"^{P.S}*(?:q\d+[.)]{P.S}+|question{P.S}*\d+|\d+[.)]{P.S}+[^\n]+[?？]{P.S}*$)")}
-        OR {duck.has('blob', rf"(^|[^{P.WORD_CHARS}])exercise{P.S}*[:\-]{P.W}")} THEN 'educational'
-      WHEN {duck.has('blob', rf"(?m)^abstract{P.S}*$")} OR contains(' ' || blob || ' ', ' abstract ') THEN 'article'
-      WHEN {duck.has('right(blob, 8000)', rf"(?m)^(?:references|bibliography){P.S}*$")} AND paras > lists THEN 'article'
-      WHEN chapters >= 3 THEN 'book'
-      WHEN lists >= greatest(4, paras // 4) AND paras > 0 THEN 'notes'
-      WHEN {duck.has('blob', rf"(?m)^appendix{P.S}+[a-z0-9]")} THEN 'manual'
-      WHEN {duck.has('blob', duck.whole('table of contents|contents'))} AND chapters >= 2 THEN 'book'
-      ELSE 'general' END AS document_type FROM agg""",
+      WHEN educational THEN 'educational' WHEN abstract THEN 'article' WHEN refs AND paras > lists THEN 'article'
+      WHEN chapters >= 3 THEN 'book' WHEN lists >= greatest(4, paras // 4) AND paras > 0 THEN 'notes'
+      WHEN appendix THEN 'manual' WHEN contents AND chapters >= 2 THEN 'book' ELSE 'general' END AS document_type FROM agg""",
 )
 def doc_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.document_kind(derived.book(spark, sf_dir).withColumn("action", F.lit("TRANSLATE")))
 
 
-GENRE = f"""genre AS (SELECT doc_id, CASE
-      WHEN {duck.has('blob', duck.whole("gospel|corinthians|psalms?|qur'an|quran|vedas|torah"))} THEN 'religious'
-      WHEN {duck.has('blob', duck.whole(rf'(?:biography|memoir){P.S}+of') + '|autobiograph')} THEN 'biography'
-      WHEN {duck.has('blob', duck.whole('transcript'))} THEN 'transcript'
-      WHEN {duck.has('blob', duck.whole('abstract|methodology|issn|peer-reviewed'))} THEN 'article'
-      WHEN {duck.has('blob', duck.whole(rf'jee|neet|worksheet|lesson{P.S}*plan|course{P.S}+outline'))} THEN 'educational'
-      WHEN {duck.has('blob', duck.whole(rf'self[- ]help|personal growth|seven{P.S}+habits|48{P.S}+laws'))} THEN 'self_help'
-      WHEN {duck.has('blob', duck.whole(rf'epilogue|prologue|she{P.S}+said|he{P.S}+said'))} THEN 'fiction'
-      WHEN chapters >= 3 THEN 'book' ELSE 'general' END AS doc_kind
-    FROM (SELECT doc_id, {_blob_sql} AS blob, count(*) FILTER (type = 'heading' AND {R.chapter_like}) AS chapters
-          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM tv) WHERE rn <= 80
-          GROUP BY doc_id))"""
+_KINDS = (
+    (duck.whole("gospel|corinthians|psalms?|qur'an|quran|vedas|torah"), "religious"),
+    (duck.whole(rf"(?:biography|memoir){P.S}+of") + "|autobiograph", "biography"),
+    (duck.whole("transcript"), "transcript"),
+    (duck.whole("abstract|methodology|issn|peer-reviewed"), "article"),
+    (duck.whole(rf"jee|neet|worksheet|lesson{P.S}*plan|course{P.S}+outline"), "educational"),
+    (duck.whole(rf"self[- ]help|personal growth|seven{P.S}+habits|48{P.S}+laws"), "self_help"),
+    (duck.whole(rf"epilogue|prologue|she{P.S}+said|he{P.S}+said"), "fiction"),
+)
+GENRE = f"""genre AS (SELECT doc_id, CASE {" ".join(f"WHEN {_some(p)} THEN '{k}'" for p, k in _KINDS)}
+      WHEN count(*) FILTER (type = 'heading' AND {R.chapter_like}) >= 3 THEN 'book' ELSE 'general' END AS doc_kind
+    FROM tv GROUP BY doc_id)"""
 
 
 @query("A10", f"WITH {derived.BOOK}, {R.text_view('book')}, {GENRE} SELECT doc_id, doc_kind FROM genre")
@@ -315,7 +314,7 @@ def _runs_sql(source: str, link: str, glue: str) -> str:
     paged AS (SELECT doc_id, pos, type, pos + 1 AS page, text, st, sq FROM tv),
     {_runs_sql('paged', f'''type = 'paragraph' AND lag(type = 'paragraph' AND NOT ({R.complete})) OVER w
        AND NOT ({R.leader_or_leaf}) AND NOT lag({R.leader_or_leaf}) OVER w''',
-       f"CASE WHEN count(*) = 1 THEN first(text) ELSE replace(string_agg(sq, ' ' ORDER BY pos), '- ', '') END")}""",
+       f"CASE WHEN count(*) = 1 THEN first(text) ELSE replace(regexp_replace(string_agg(sq, chr(30) ORDER BY pos), ' ?-' || chr(30), '', 'g'), chr(30), ' ') END")}""",
 )
 def stitched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block per page, so every open paragraph meets a page break."""

@@ -201,7 +201,7 @@ def outline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     "P19",
     f"""WITH {derived.BOOK},
     paired AS (SELECT b.doc_id, b.pos,
-                 CASE WHEN b.pos % 2 = 0 THEN 'Contents' ELSE b.text END AS head, n.text AS text
+                 CASE WHEN b.pos % 2 = 0 THEN 'Contents' ELSE b.text END AS head, string_split(n.text, chr(10))[1] AS text
                FROM book b LEFT JOIN book n ON n.doc_id = b.doc_id AND n.pos = b.pos + 1),
     {R.text_view('paired')}
     SELECT doc_id, pos,
@@ -209,14 +209,12 @@ def outline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
        AND CASE WHEN head LIKE '%' || chr(10) || '%' THEN false
                 WHEN coalesce(text, '') = '' THEN true
                 ELSE ({R.leader_row}) OR ({R.listing_row}) END) AS opens_contents
-    FROM tv WHERE coalesce(text, '') NOT LIKE '%' || chr(10) || '%'""",
+    FROM tv""",
 )
 def contents_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = derived.book(spark, sf_dir)
     nxt = b.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("next_text"))
-    pair = b.join(nxt, ["doc_id", "pos"], "left").filter(
-        ~F.coalesce(F.col("next_text"), F.lit("")).contains("\n")
-    )
+    pair = b.join(nxt, ["doc_id", "pos"], "left")
     head = F.when(F.col("pos") % 2 == 0, "Contents").otherwise(F.col("text"))
     both = F.concat(head, F.lit("\n"), F.coalesce(F.col("next_text"), F.lit("")))
     return pair.select("doc_id", "pos", T.starts_contents_region(both).alias("opens_contents"))
