@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions import clean as C
 from quirework.functions import text as T
 from quirework.operators import assemble as A
+from quirework.operators import flow as FL
 from quirework.operators import memory as M
 from quirework.operators import model_io as IO
 from quirework.operators import planning as PL
@@ -253,14 +254,37 @@ def display_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, _ = S.enrich(classified_regions(spark, sf_dir))
+    blocks, _ = FL.prepared(_with_tables(spark, sf_dir))
     return A.nodes(blocks)
 
 
-@query("N1 N2 N3 F2 F3 F4")
+def _with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book, each document followed by a table of its sentences' first words."""
+    book = derived.book(spark, sf_dir)
+    words = F.filter(F.split(T.squash(F.col("text")), " "), lambda w: w != "")
+    cell = lambda i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))
+    tables_ = tables.documents(spark, sf_dir).select(
+        "doc_id", F.lit(1_000_000_000).alias("pos"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("level"),
+        F.lit(None).cast("string").alias("list_kind"), F.lit(None).cast("int").alias("source_page"),
+        F.array(F.array(cell(1), cell(2)), F.array(F.concat_ws(" ", F.slice(words, 1, 40)), F.lit(""))).alias("data"))
+    return book.withColumn("data", F.lit(None).cast("array<array<string>>")).unionByName(tables_)
+
+
+def _shown(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id", "document_type", "title", "subtitle", F.array_join("authors", "|").alias("authors"), F.to_json("content").alias("content"))
+
+
+@query("N1 N2 N3 F2 F3 F4 Q7 Q16 D3 D4")
 def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.structured_documents(_nodes(spark, sf_dir))
-    return docs.select("doc_id", "title", "subtitle", F.array_join("authors", "|").alias("authors"), F.to_json("content").alias("content"))
+    """Blocks to structured documents, with titles, authors and tables."""
+    return _shown(FL.documents(_with_tables(spark, sf_dir)))
+
+
+@query("G2 G4 G5 G8 G9 M3 N1 N2 N3")
+def translated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through plan, packing, a marking stand-in for the model, and reassembly."""
+    return _shown(FL.documents(_with_tables(spark, sf_dir), lambda texts: [f"<{t}>" for t in texts]))
 
 
 @query("N4 Q19 Q21 P26")

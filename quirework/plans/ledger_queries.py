@@ -12,8 +12,10 @@ from quirework.operators import jobs as J
 from quirework.operators import payments as PY
 from quirework.operators import quality as QL
 from quirework.operators import referral as RF
+from quirework.operators.ordered import first_per_key
 from quirework.plans.registry import query
 from quirework.sources import tables
+from quirework.streaming import events as EV
 
 _NOW = "1998-03-01"
 
@@ -466,9 +468,56 @@ def job_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) > 1 AS limited FROM events GROUP BY ALL""",
 )
 def rate_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events")
-    per = e.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("requests"))
-    return per.withColumn("limited", F.col("requests") > 1)
+    return EV.requests_per_minute(EV.event_time(tables.table(spark, sf_dir, "events")), limit=1)
+
+
+MESSAGES = """messages AS (SELECT user_id::VARCHAR AS job_id, event_id % 5 AS batch_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS outcome,
+    ts, 5 AS total, (event_id % 4)::INTEGER AS attempt, (event_id % 90)::INTEGER AS waited FROM events)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue messages: one job of five batches per user, delivered again and again."""
+    e, key = tables.table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(
+        F.col("user_id").cast("string").alias("job_id"), (key % 5).alias("batch_id"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("outcome"),
+        F.col("ts").cast("timestamp").alias("ts"), F.lit(5).alias("total"), (key % 4).cast("int").alias("attempt"), (key % 90).cast("int").alias("waited"))
+
+
+@query("T1 T2", f"""WITH {MESSAGES}, once AS (SELECT DISTINCT job_id, batch_id, outcome FROM messages)
+    SELECT job_id, count(*) FILTER (outcome = 'ok')::INTEGER AS done, count(*) FILTER (outcome = 'failed')::INTEGER AS failed, 5 AS total, count(*) >= 5 AS finalize
+    FROM once GROUP BY job_id""")
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First delivery of each outcome, then the counters, over the table as one batch."""
+    first = first_per_key(_messages(spark, sf_dir), ["job_id", "batch_id", "outcome"], ["ts", "waited"])
+    return EV.job_counters(first)
+
+
+@query("T6", f"""WITH {MESSAGES} SELECT job_id, sum(waited)::DOUBLE AS queue_wait_s, count(*) AS batches FROM messages GROUP BY job_id""")
+def queue_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir).withColumn("enqueued_at", F.col("ts") - F.make_dt_interval(secs=F.col("waited").cast("decimal(18,6)")))
+    return EV.queue_waits(m.withColumnRenamed("ts", "dequeued_at"))
+
+
+@query("T7", f"""WITH {MESSAGES} SELECT job_id, batch_id, waited, CASE WHEN attempt < 3 THEN 'requeue' ELSE 'failed' END AS route,
+    CASE WHEN attempt < 3 THEN attempt + 1 ELSE attempt END AS next_attempt FROM messages WHERE outcome = 'failed'""")
+def failed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = EV.attempt_routes(_messages(spark, sf_dir).filter("outcome = 'failed'"))
+    return out.select("job_id", "batch_id", "waited", "route", "next_attempt")
+
+
+@query("F11", """WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN repeat('x', 9000) || '<html><head></head>' WHEN event_id % 3 = 1 THEN repeat(event_type || ' ', 120) ELSE props END AS raw,
+      CASE WHEN event_id % 2 = 0 THEN 503 END AS status FROM events)
+    SELECT event_id, CASE WHEN status IS NULL THEN 'API error: ' ELSE 'API error (HTTP 503): ' END
+      || CASE WHEN event_id % 3 = 0 THEN 'received an HTML page instead of JSON'
+              WHEN length(trim(raw)) > 420 THEN substr(trim(raw), 1, 417) || '...' ELSE trim(raw) END AS message FROM e""")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    raw = (
+        F.when(k == 0, F.concat(F.repeat(F.lit("x"), 9000), F.lit("<html><head></head>")))
+        .when(k == 1, F.repeat(F.concat("event_type", F.lit(" ")), 120)).otherwise(F.col("props")))
+    e = tables.table(spark, sf_dir, "events").withColumns({"raw": raw, "status": F.when(F.col("event_id") % 2 == 0, 503)})
+    return e.select("event_id", C.error_message(F.col("raw"), F.col("status"), F.lit("Error")).alias("message"))
 
 
 # --- referrals ---------------------------------------------------------------

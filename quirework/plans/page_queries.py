@@ -212,6 +212,18 @@ def preview_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PV.split_preview(derived.lines(spark, sf_dir)).select("doc_id", "pos", "in_preview")
 
 
+@query("W2", f"WITH {derived.BOOK} SELECT doc_id, pos, source_page <= 3 AS in_preview FROM book")
+def preview_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PV.split_preview(derived.book(spark, sf_dir), by_page=True).select("doc_id", "pos", "in_preview")
+
+
+@query("F13 P2", f"""SELECT doc_id, ({duck.tokens('text')} + {duck.tokens('lang')} + {duck.tokens("coalesce(source, '') || ' x'")})::INTEGER AS words FROM documents""")
+def cell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the text and of a table row that holds language and source."""
+    cells = F.array(F.array("lang", F.concat(F.coalesce("source", F.lit("")), F.lit(" x"))), F.array(F.lit(""), F.lit(None).cast("string")))
+    return tables.documents(spark, sf_dir).select("doc_id", T.token_words(F.col("text"), cells).cast("int").alias("words"))
+
+
 @query(
     "W3",
     f"""WITH w AS (SELECT doc_id, {duck.tokens('text')} AS words FROM documents)

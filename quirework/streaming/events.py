@@ -36,37 +36,19 @@ def _expire_after(state: GroupState, latest: pd.Timestamp, days: int) -> None:
     state.setTimeoutTimestamp(newest + days * _DAY_MS)
 
 
-def job_counters(outcomes: DataFrame, ttl_days: int = 7, watermark: str | None = "7 days") -> DataFrame:
-    """Running done/failed counts per job, and ``finalize`` exactly once when all are in.
+def job_counters(outcomes: DataFrame, watermark: str | None = "7 days") -> DataFrame:
+    """Running done/failed counts per job, and whether all are in; run it in update mode.
 
-    State is a few integers per job; it expires a week after the last row. Feed it
-    ``first_completions`` (with ``watermark=None``, theirs holds) so that redelivered
-    batches are not counted twice.
+    A plain aggregate: no Python, and ``finalize`` is true in the update that completes the job. Feed it
+    ``first_completions`` (with ``watermark=None``, theirs holds), so that redelivered batches are not counted twice:
+    then no row comes after the completing one, and a job is final once.
     """
-    if watermark:
+    if watermark and outcomes.isStreaming:
         outcomes = outcomes.withWatermark("ts", watermark)
-    schema = "job_id string, done int, failed int, total int, finalize boolean"
-
-    def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, failed, fired = state.get if state.exists else (0, 0, False)
-        total, latest = 0, pd.Timestamp(0)
-        for pdf in rows:
-            latest = max(latest, pdf["ts"].max())
-            done += int((pdf["outcome"] == "ok").sum())
-            failed += int((pdf["outcome"] == "failed").sum())
-            total = max(total, int(pdf["total"].max()))
-        finalize = not fired and total > 0 and done + failed >= total
-        state.update((done, failed, fired or finalize))
-        _expire_after(state, latest, ttl_days)
-        yield pd.DataFrame([(key[0], done, failed, total, finalize)],
-                           columns=["job_id", "done", "failed", "total", "finalize"])
-
-    return outcomes.groupBy("job_id").applyInPandasWithState(
-        count, schema, "done int, failed int, fired boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    done, failed = F.count_if(F.col("outcome") == "ok").cast("int"), F.count_if(F.col("outcome") == "failed").cast("int")
+    total = F.max("total")
+    return outcomes.groupBy("job_id").agg(
+        done.alias("done"), failed.alias("failed"), total.alias("total"), ((total > 0) & (done + failed >= total)).alias("finalize"))
 
 
 def progress_state(updates: DataFrame, ttl_days: int = 2, watermark: str = "2 days") -> DataFrame:
@@ -103,12 +85,9 @@ def settle_notices(profiles: DataFrame, ledger_path: str):
     """
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            ledger = spark.read.parquet(ledger_path).filter(F.col("epoch") != epoch)
-        except Exception as e:  # no ledger yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ledger = None
+        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        ledger = spark.read.parquet(ledger_path).filter(F.col("epoch") != epoch) if known else None
         routed = PY.route(PY.parse_notices(batch))
         changing = routed.filter(F.col("action").isin("activate", "deactivate"))
         fresh = PY.with_profile(PY.first_deliveries(changing, ledger), profiles)
@@ -123,7 +102,7 @@ def settle_notices(profiles: DataFrame, ledger_path: str):
 def requests_per_minute(requests: DataFrame, key: str = "user_id", limit: int = DEFAULTS.requests_per_minute,
                         lateness: str = "5 minutes") -> DataFrame:
     """T5: fixed one-minute counts per key and whether the limit is exceeded."""
-    per = requests.withWatermark("ts", lateness).groupBy(F.window("ts", "1 minute"), key).agg(
+    per = (requests.withWatermark("ts", lateness) if requests.isStreaming else requests).groupBy(F.window("ts", "1 minute"), key).agg(
         F.count(F.lit(1)).alias("requests")
     )
     return per.select(key, F.col("window.start").alias("minute"), "requests", (F.col("requests") > limit).alias("limited"))
