@@ -19,6 +19,8 @@ HEADLINE = (
     "corpus_quote", "doc_words", "line_flags", "sentence_budget", "repeated_lines", "preview_truncate", "contents_regions",
     "section_actions", "heading_confidence", "merged_shards", "overlap_pairs", "pack_by_tokens", "memory_lookup",
     "settle_batch", "charge_split", "latency_summary", "stage_report", "progress_monotone", "webhook_keys", "claim_outcomes",
+    "template_blocks", "chapter_views", "structured_documents", "book_actions", "near_duplicates_removed", "plan_items",
+    "model_calls", "unique_anchors",
 )
 
 

@@ -40,8 +40,8 @@ def job_counters(outcomes: DataFrame, watermark: str | None = "7 days") -> DataF
     """Running done/failed counts per job, and whether all are in; run it in update mode.
 
     A plain aggregate: no Python, and ``finalize`` is true in the update that completes the job. Feed it
-    ``first_completions`` (with ``watermark=None``, theirs holds), so that redelivered batches are not counted twice:
-    then no row comes after the completing one, and a job is final once.
+    ``first_completions`` (with ``watermark=None``, theirs holds), so that redelivered batches are not counted twice.
+    A job that gets more outcomes than its total is told to be final again: act once per job_id.
     """
     if watermark and outcomes.isStreaming:
         outcomes = outcomes.withWatermark("ts", watermark)

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL; QUIREWORK_ALL=1 compares every one of them."""
+"""Registered queries of the library against their SQL."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from quirework.plans import load_queries
 
-QUICK = ("corpus_quote", "sentence_split", "charge_split", "latency_summary", "webhook_keys", "pack_by_words", "constraint_report")
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("QUIREWORK_ALL") else QUICK
+NAMES = sorted(n for n, q in load_queries().items() if q.sql)
 
 
 def _plain(v):
