@@ -335,7 +335,7 @@ def page_markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "S3 F8",
     """WITH n AS (SELECT doc_id, text, ['.txt', '.PDF', '.exe', '.txt', '.docx'][doc_id % 5 + 1] AS ext FROM documents)
-    SELECT '/in/doc.' || doc_id || ext AS path, lower(ext) AS suffix, strlen(text)::INTEGER AS bytes, sha256(text) AS content_hash,
+    SELECT '/in/doc.' || doc_id || ext AS path, lower(ext) AS suffix, strlen(text) AS bytes, sha256(text) AS content_hash,
       CASE WHEN ext = '.exe' THEN 'unsupported_type' WHEN strlen(text) > 20000 THEN 'too_large' WHEN ext = '.txt' THEN 'ok' ELSE 'corrupted' END AS verdict,
       'doc.' || doc_id || '-Hindi.pdf' AS output FROM n""",
 )

@@ -51,7 +51,9 @@ def describe_files(files: DataFrame, max_bytes: int = DEFAULTS.max_upload_bytes)
 
 
 def file_manifest(spark: SparkSession, path: str, max_bytes: int = DEFAULTS.max_upload_bytes) -> DataFrame:
-    """S3 over a folder. Files above ``max_bytes`` are told by their length alone; their content is not read."""
+    """S3 over a folder. Files above ``max_bytes`` are told by their length alone; their content is not read.
+    Spark's scan passes over files of no bytes, so those have no row here.
+    """
     files = spark.read.format("binaryFile").load(path)
     if max_bytes <= 0:
         return describe_files(files.select("path", "content"), max_bytes)
