@@ -9,6 +9,7 @@ Equal sets are one class, which takes part once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.keycount import KeyCount
-from quirework.llm.shared import components, reliable
+from quirework.llm.shared import components, light, reliable
 from quirework.llm.words import mix, shingle_hashes, word_spans
 
-_CELLS = 32
+_CELLS = 256
 _BLOCKS = 64
 _LIST_ROWS = 2000
 _SHAPE = "doc_id bigint, n bigint, sig binary, prefix array<bigint>, at array<int>, cells binary, grams binary"
@@ -98,18 +99,20 @@ def _need(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _neighbours(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs along each list, in the order of set size.
+    """Candidate pairs along each list, in the order of set size and in that of the n-gram's place in the sets.
 
     A list is cut into ``_BLOCKS`` parts by the row's hash, and the first rows of the parts make a
     list again, so that no task gets a whole list of a common n-gram.
     """
     row = F.struct("rep", "n", "at")
-    near = Window.partitionBy("key", "block").orderBy("n", "rep")
-    heads = Window.partitionBy("key").orderBy("n", "rep")
-    marked = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(_BLOCKS))).withColumns({
-        "before": F.lag(row).over(near), "k": F.row_number().over(near)})
-    tops = marked.filter("k = 1").withColumn("before", F.lag(row).over(heads))
-    pairs = marked.filter("k > 1").unionByName(tops).filter("before IS NOT NULL").select(
+    dealt = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(_BLOCKS)))
+    found = []
+    for order in (["n", "rep"], [F.col("at") / F.col("n"), "n", "rep"]):
+        near, heads = Window.partitionBy("key", "block").orderBy(*order), Window.partitionBy("key").orderBy(*order)
+        marked = dealt.withColumns({"before": F.lag(row).over(near), "k": F.row_number().over(near)})
+        tops = marked.filter("k = 1").withColumn("before", F.lag(row).over(heads))
+        found += [marked.filter("k > 1"), tops.filter("before IS NOT NULL")]
+    pairs = reduce(DataFrame.unionByName, found).select(
         F.least("rep", "before.rep").alias("a"), F.greatest("rep", "before.rep").alias("b"),
         F.col("n").alias("na"), F.col("before.n").alias("nb"),
         (F.least(F.col("n") - F.col("at"), F.col("before.n") - F.col("before.at"))).alias("room"))
@@ -152,7 +155,7 @@ def _across(num: int, den: int):
     return pairs
 
 
-def _crossing(posts: DataFrame, comps: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+def _crossing(posts: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     """All candidate pairs whose rows are in different components.
 
     Lists within one component have none. A longer list is dealt out as pairs of its blocks.
@@ -161,7 +164,7 @@ def _crossing(posts: DataFrame, comps: DataFrame, num: int, den: int, buckets: i
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     blocks = F.ceil(F.col("rows") / _LIST_ROWS).cast("int")
     rows = named.join(mixed.select("key", blocks.alias("blocks")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.select("rep", "cells"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
@@ -183,8 +186,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             kept = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], ["a", "b", "common"])
 
+    pairs = reliable(pairs.filter("a <> b"))
+    used = light(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    sets = sets.join(used, "rep", "left_semi")
     left, right = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(check, "a bigint, b bigint, common bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(check, "a bigint, b bigint, common bigint").distinct()
 
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -206,18 +212,17 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100)
     shaped = reliable(gram_sets(docs, n=n, num=num, den=den))
     known = shaped.filter("doc_id IS NOT NULL")
     classes = known.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
-    payload = F.struct("prefix", "at", "cells", "grams")
-    sets = reliable(
-        known.filter("prefix IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first(payload).alias("p"))
-        .join(classes.select("sig", "n", F.col("rep").alias("top")), ["sig", "n"]).select(F.col("top").alias("rep"), "n", "p.*")
-    )
-    posts = sets.select("rep", "n", "cells", F.inline(F.arrays_zip(F.col("prefix").alias("key"), F.col("at").alias("at"))))
+    # All members of a class have the same prefix or none; the smallest one's row stands for it.
+    with_prefix = known.filter("prefix IS NOT NULL")
+    reps = light(with_prefix.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")))
+    sets = with_prefix.join(reps, ["doc_id", "sig", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "at", "cells", "grams")
+    posts = sets.select("rep", "n", F.inline(F.arrays_zip(F.col("prefix").alias("key"), F.col("at").alias("at"))))
 
     first = reliable(_verified(_neighbours(posts, num, den), sets, num, den))
     nodes = sets.select(F.col("rep").alias("node"))
     joined = reliable(components(nodes, first))
     buckets = max(1, posts.count() // 20_000)
-    second = reliable(_verified(_crossing(posts, joined, num, den, buckets), sets, num, den))
+    second = reliable(_verified(_crossing(posts, joined, sets, num, den, buckets), sets, num, den))
     links = first.unionByName(second)
 
     # Members that a doc_id or a class holds together, beside the links between classes.
