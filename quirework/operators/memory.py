@@ -43,14 +43,16 @@ def _join_back(rows: DataFrame, found: DataFrame, salts: int = 1) -> DataFrame:
     """Left join on a digest.
 
     AQE splits the rows of a hot digest over tasks; with AQE off, ``salts`` copies of the
-    found side do the same.
+    found side do the same. Blank rows have no digest: they are spread over keys that nothing has.
     """
-    if salts <= 1:
-        return rows.join(found, "key", "left")
     spread = F.xxhash64(*[c for c in rows.columns if c not in ("key", "text")])
+    own = F.coalesce("key", F.concat(F.lit("blank "), F.pmod(spread, F.lit(4096)).cast("string")))
+    rows, found = rows.withColumn("_key", own), found.withColumnRenamed("key", "_key")
+    if salts <= 1:
+        return rows.join(found, "_key", "left").drop("_key")
     salted = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)))
     copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, ["key", "_salt"], "left").drop("_salt")
+    return salted.join(copies, ["_key", "_salt"], "left").drop("_salt", "_key")
 
 
 def entries_to_store(done: DataFrame, memory: DataFrame | None, stored_at: Column, cfg: Settings = DEFAULTS) -> DataFrame:
