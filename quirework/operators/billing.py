@@ -117,12 +117,12 @@ def upload_estimate(docs: DataFrame, profiles: DataFrame, now: Column, cfg: Sett
 
 
 def settle(jobs: DataFrame, profiles: DataFrame, cfg: Settings = DEFAULTS,
-           chunk: str = "date_trunc('MONTH', at)") -> DataFrame:
+           chunk: str = "date_trunc('DAY', at)") -> DataFrame:
     """Charges of many jobs (``user_id, job_id, at, words``) in time order.
 
     A refill or the end of a subscription starts a new epoch. Word totals per (user,
-    epoch, month) give, by prefix sums over those few rows, what was used before each
-    month and before each epoch; rows are then summed inside their month only, so a
+    epoch, day) give, by prefix sums over those few rows, what was used before each
+    day and before each epoch; rows are then summed inside their day only, so a
     user with a large share of all jobs is still settled by many tasks.
     """
     pools = profiles.select(
@@ -156,8 +156,8 @@ def settle(jobs: DataFrame, profiles: DataFrame, cfg: Settings = DEFAULTS,
         .withColumn("_base", F.min("_before").over(Window.partitionBy("user_id", "_pool_of")))
         .drop("_t")
     )
-    in_month = Window.partitionBy(*parts).orderBy("at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_here", F.sum("words").over(in_month)).join(totals, parts)
+    in_day = Window.partitionBy(*parts).orderBy("at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_here", F.sum("words").over(in_day)).join(totals, parts)
     upto = F.col("_before") + F.col("_here")
 
     def beyond_free(cum: Column) -> Column:
