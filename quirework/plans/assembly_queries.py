@@ -323,13 +323,13 @@ def export_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id AS doc_id, count(*) AS headings FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][ >]')) FROM pages) GROUP BY 1""",
 )
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = pages.html_blocks(tables.table(spark, sf_dir, "pages"))
+    blocks = pages.html_blocks(tables.dealt(tables.table(spark, sf_dir, "pages")))
     return blocks.filter(F.col("type") == "heading").groupBy("doc_id").agg(F.count(F.lit(1)).alias("headings"))
 
 
 @query("S2 Q2")
 def page_markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.html_blocks(tables.table(spark, sf_dir, "pages")).withColumn("data", F.to_json("data"))
+    return pages.html_blocks(tables.dealt(tables.table(spark, sf_dir, "pages"))).withColumn("data", F.to_json("data"))
 
 
 @query(
