@@ -211,7 +211,8 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100)
     """
     shaped = reliable(gram_sets(docs, n=n, num=num, den=den))
     known = shaped.filter("doc_id IS NOT NULL")
-    classes = known.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
+    # Materialised, so that the joins back to the rows deal out both sides and a hot class can be split.
+    classes = reliable(known.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")))
     # All members of a class have the same prefix or none; the smallest one's row stands for it.
     with_prefix = known.filter("prefix IS NOT NULL")
     reps = light(with_prefix.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")))
