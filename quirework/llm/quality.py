@@ -63,14 +63,14 @@ class Words:
 def read_words(texts: pa.Array) -> Iterator[Words]:
     for part, hashes, starts, ends, cuts in word_spans(texts):
         if len(hashes) == 0:
-            yield Words(np.zeros(0, np.int64), np.zeros(0, np.int64), cuts)
+            yield Words(np.zeros(0, np.int32), np.zeros(0, np.int16), cuts)
             continue
         bits = np.bitwise_or.reduceat(np.append(_KIND[part], 0), np.stack([starts, ends], 1).ravel())[::2]
-        same = np.zeros(len(hashes), dtype=np.int64)
+        same = np.zeros(len(hashes), dtype=np.int16)
         same[1:] = hashes[1:] == hashes[:-1]
         first = cuts[:-1][cuts[:-1] < len(hashes)]
         same[first] = 0
-        yield Words((hashes & np.uint64(_SLOTS - 1)).astype(np.int64), (bits & 255).astype(np.int64) + 256 * same, cuts)
+        yield Words((hashes & np.uint64(_SLOTS - 1)).astype(np.int32), ((bits & 255).astype(np.int16) + 256 * same).astype(np.int16), cuts)
 
 
 def context_vectors(sample: list[Words]) -> np.ndarray:
