@@ -2,7 +2,8 @@
 
 Word n-grams are ordered rare-first by their frequency in the whole corpus. Two sets that are
 similar enough share an n-gram among the first few of each (the prefix); candidates meet there,
-pass length, positional and suffix filters and are verified once per pair on the whole sets.
+pass length, positional and suffix filters and are verified once per pair on the whole sets until
+the components are known. Inside a component all pairs are then compared on the whole sets.
 Equal sets are one class, which takes part once.
 """
 
@@ -23,6 +24,10 @@ from quirework.llm.words import mix, shingle_hashes, word_spans
 _CELLS = 256
 _BLOCKS = 64
 _LIST_ROWS = 2000
+#: Sets and n-grams of one block of a component, and from how many sets on an n-gram is counted by products.
+_SPAN_ROWS = 1000
+_SPAN_GRAMS = 250_000
+_OFTEN = 48
 _SHAPE = "doc_id bigint, n bigint, sig binary, prefix array<bigint>, at array<int>, cells binary, grams binary"
 
 
@@ -193,6 +198,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(check, "a bigint, b bigint, common bigint").distinct()
 
 
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many n-grams each of the sets numbered ``x`` shares with each of those numbered ``y``."""
+    row, gram = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(gram, kind="stable")
+    row, gram = row[order], gram[order]
+    held = np.diff(np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram)))
+    often = held > _OFTEN
+    at_x, at_y = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    out = np.zeros((len(x), len(y)), np.int64)
+    # An n-gram of few sets: each two of them.
+    few = ~np.repeat(often, held)
+    r, g = row[few], gram[few]
+    for step in range(1, held[~often].max(initial=0)):
+        same = np.flatnonzero(g[step:] == g[:-step])
+        for p, q in ((r[same], r[same + step]), (r[same + step], r[same])):
+            inside = (at_x[p] >= 0) & (at_y[q] >= 0)
+            np.add.at(out.ravel(), at_x[p[inside]] * len(y) + at_y[q[inside]], 1)
+    # N-grams of many sets: products of rows of zeros and ones.
+    r, column = row[~few], np.repeat(np.arange(often.sum()), held[often])
+    for start in range(0, int(often.sum()), 1024):
+        lo, hi = np.searchsorted(column, [start, start + 1024])
+        has = np.zeros((len(sets), 1024), np.float32)
+        has[r[lo:hi], column[lo:hi] - start] = 1
+        out += (has[x] @ has[y].T).astype(np.int64)
+    return out
+
+
+def _inside(num: int, den: int, pairs: bool):
+    def compare(table: pa.Table) -> pa.Table:
+        """Similar sets of each pair of blocks: the pairs, or how many each set has."""
+        table = table.sort_by([(c, "ascending") for c in ("component", "i", "j")])
+        of = [table.column(c).to_numpy() for c in ("component", "i", "j")]
+        rep, size, mine = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
+        cuts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in of], axis=0)))
+        grams, degree, found = table.column("grams"), np.zeros(len(rep), np.int64), []
+        for s, e in zip(cuts, np.append(cuts[1:], len(rep))):
+            one = of[1][s] == of[2][s]
+            x = np.arange(e - s) if one else np.flatnonzero(mine[s:e] == of[1][s])
+            y = x if one else np.flatnonzero(mine[s:e] == of[2][s])
+            both = _common([np.frombuffer(g.as_buffer(), np.uint64) for g in grams[int(s): int(e)]], x, y)
+            x, y = x + s, y + s
+            similar = both * den >= num * (size[x][:, None] + size[y] - both)
+            if one:
+                similar = np.triu(similar, 1)
+            degree[x] += similar.sum(1)
+            degree[y] += similar.sum(0)
+            if pairs:
+                p, q = np.nonzero(similar)
+                found.append(np.stack([np.minimum(rep[x[p]], rep[y[q]]), np.maximum(rep[x[p]], rep[y[q]]), both[p, q]]))
+        if pairs:
+            return pa.table(dict(zip(("a", "b", "common"), np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), strict=True)))
+        linked = pa.array(np.flatnonzero(degree))
+        return table.select(["sig", "n"]).append_column("n_links", pa.array(degree)).take(linked)
+
+    return compare
+
+
+def _links(sets: DataFrame, comps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, n, n_links per pair of blocks) and (a, b, common), of all similar sets.
+
+    Similar sets are in one component. Its sets are dealt out as pairs of blocks of bounded size, where each pair of
+    sets meets once. Only the second table has a row per pair.
+    """
+    named = sets.join(comps, "rep")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / _SPAN_ROWS, F.sum("n") / _SPAN_GRAMS)).cast("int")
+    sizes = light(named.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), blocks.alias("blocks")).filter("rows > 1").drop("rows"))
+    buckets = max(1, (sizes.agg(F.sum(F.col("total") * F.col("blocks"))).first()[0] or 0) // (2 * _SPAN_GRAMS))
+    rows = named.join(sizes.drop("total"), "component").withColumn("block", F.pmod(F.xxhash64("rep", "sig"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)))
+    dealt = rows.select("_b", "component", "i", "j", "block", "rep", "sig", "n", "grams").groupBy("_b")
+    return (dealt.applyInArrow(_inside(num, den, False), "sig binary, n bigint, n_links bigint"),
+            dealt.applyInArrow(_inside(num, den, True), "a bigint, b bigint, common bigint"))
+
+
+def _merged(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """``base`` (rep, component) with those components made one that ``edges`` connect."""
+    ends = [base.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    between = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    tops = components(base.select(F.col("component").alias("node")).distinct(), between)
+    return reliable(base.withColumnRenamed("component", "node").join(tops, "node").select("rep", "component"))
+
+
 def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of the similarity join of ``docs`` with itself.
 
@@ -200,44 +290,44 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100)
     runs of anything but space and U+0009 to U+000D; the whole sequence where there are fewer words.
     Sets are similar when ``den * intersection >= num * union``. Documents: doc_id, n_shingles,
     class_id (smallest doc_id with the same set), component_id (smallest doc_id that links reach) and
-    n_links (verified links of the class). Links: a, b, common between classes. Every component is
-    exact; links are those that were verified: all that join what was not joined before, and the
-    ones along the lists, not all pairs inside a dense group.
+    n_links (how many other classes its class is similar to). Links: a, b, common, one row per two similar classes,
+    named by their class_ids. Components and links are exact. n_links is counted without a row per link; the links
+    are worked out when they are asked for, and grow with the square of a dense group.
 
     Null and empty texts have an empty set and stay alone. Rows of one doc_id are one document if
-    their texts are equal; else each has its row, and they share a class through the doc_id. A null doc_id
+    their texts are equal; else each has its row and links of its own, and they share a component through the doc_id
+    (a link between two of them has a = b if the doc_id is the class_id of both). A null doc_id
     gives a row with null class and component and links nothing. An empty table gives empty tables;
     columns other than doc_id and text are ignored.
     """
-    shaped = reliable(gram_sets(docs, n=n, num=num, den=den))
+    shaped = reliable(gram_sets(docs, n=n, num=num, den=den).withColumn("_row", F.monotonically_increasing_id()))
     known = shaped.filter("doc_id IS NOT NULL")
     # Materialised, so that the joins back to the rows deal out both sides and a hot class can be split.
     classes = reliable(known.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")))
-    # All members of a class have the same prefix or none; the smallest one's row stands for it.
+    # All members of a class have the same prefix or none; one row of the smallest one stands for it.
     with_prefix = known.filter("prefix IS NOT NULL")
-    reps = light(with_prefix.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")))
-    sets = with_prefix.join(reps, ["doc_id", "sig", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "at", "cells", "grams")
+    reps = light(with_prefix.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "_row")).alias("r")).select("r._row"))
+    sets = with_prefix.join(reps, "_row", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n", "prefix", "at", "cells", "grams")
     posts = sets.select("rep", "n", F.inline(F.arrays_zip(F.col("prefix").alias("key"), F.col("at").alias("at"))))
 
     first = reliable(_verified(_neighbours(posts, num, den), sets, num, den))
-    nodes = sets.select(F.col("rep").alias("node"))
+    nodes = sets.select(F.col("rep").alias("node")).distinct()
     joined = reliable(components(nodes, first))
     buckets = max(1, posts.count() // 20_000)
     second = reliable(_verified(_crossing(posts, joined, sets, num, den, buckets), sets, num, den))
-    links = first.unionByName(second)
 
-    # Members that a doc_id or a class holds together, beside the links between classes.
-    member = known.filter("n > 0").join(classes, ["sig", "n"]).select("doc_id", "rep")
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     base = reliable(
         classes.select(F.col("rep").alias("node")).distinct().join(joined, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("part")))
-    between = second.select("a", "b").unionByName(twice)
-    between = between.join(base.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(base.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
-    tops = components(base.select(F.col("part").alias("node")).distinct(), between.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-    comps = base.join(tops.withColumnRenamed("node", "part"), "part").select(F.col("node").alias("rep"), "component")
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(comps, "rep").join(degree, "rep", "left")
+        .select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("component")))
+    linked = _merged(base, second.select("a", "b"))
+    counted, links = _links(sets.select("rep", "sig", "n", "grams"), linked, num, den)
+
+    # Members that a doc_id holds together, beside the links between classes.
+    member = known.filter("n > 0").join(classes, ["sig", "n"]).select("doc_id", "rep")
+    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
+    comps = _merged(linked, twice)
+    degree = counted.groupBy("sig", "n").agg(F.sum("n_links").alias("n_links"))
+    named = classes.join(comps, "rep").join(degree, ["sig", "n"], "left")
     out = shaped.join(named.select("sig", "n", "rep", "component", "n_links"), ["sig", "n"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),

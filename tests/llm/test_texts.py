@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+from quirework.llm import ngram_join
 from quirework.llm.exact_dedup import content_sort
 from quirework.llm.line_dedup import remove_repeated_windows
 from quirework.llm.lm_score import entropy_difference
@@ -82,6 +83,43 @@ def test_near_copies_against_all_pairs(spark, n, num, den):
         assert r.a < r.b and r.common > 0
 
 
+def brute_links(rows, n, num, den):
+    """Per (doc_id, size) of the class's smallest doc_id its links, and all pairs of similar classes."""
+    classes = {}
+    for i, t in rows:
+        w = words(t)
+        if i is not None and w:
+            s = frozenset(tuple(w[k: k + n]) for k in range(max(1, len(w) - n + 1)))
+            classes[s] = min(classes.get(s, i), i)
+    named, pairs = [(i, s) for s, i in classes.items()], []
+    degree = Counter()
+    for x, (a, p) in enumerate(named):
+        for b, q in named[x + 1:]:
+            if den * len(p & q) >= num * len(p | q):
+                degree[p] += 1
+                degree[q] += 1
+                pairs.append((min(a, b), max(a, b), len(p & q)))
+    return {(i, s): degree[s] for s, i in classes.items()}, sorted(pairs)
+
+
+@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+@pytest.mark.parametrize("span, often", [(1000, 48), (7, 3)])
+def test_all_links_against_all_pairs(spark, monkeypatch, n, num, den, span, often):
+    monkeypatch.setattr(ngram_join, "_SPAN_ROWS", span)
+    monkeypatch.setattr(ngram_join, "_OFTEN", often)
+    near = [" ".join(f"w{i}" if i != k else "changed" for i in range(200)) for k in range(0, 200, 3)]
+    rows = EDGES + long_texts() + [(300 + k, t) for k, t in enumerate(near)] + [(300, near[0]), (300, near[5]), (299, near[7])]
+    docs, links = jaccard_join(table(spark, rows), n=n, num=num, den=den)
+    degree, pairs = brute_links(rows, n, num, den)
+    assert sorted((r.a, r.b, r.common) for r in links.collect()) == pairs
+    want = []
+    for i, t in rows:
+        w = words(t)
+        s = frozenset(tuple(w[k: k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+        want.append((str(i), len(s), sum(d for (_, q), d in degree.items() if q == s) if i is not None else 0))
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in docs.collect()) == sorted(want)
+
+
 def test_near_copies_of_nothing(spark):
     docs, links = jaccard_join(table(spark, []))
     assert docs.count() == 0 and links.count() == 0
