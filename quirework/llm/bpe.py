@@ -170,8 +170,8 @@ class Vocabulary:
         return self.made
 
 
-def encode(docs: DataFrame, *, path: str, pattern: str) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian 32-bit), decoded (bytes of the ids).
+def encode(docs: DataFrame, *, path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian 32-bit), decoded (bytes of the ids), and the bigint columns ``carry``.
 
     ``path`` is a file of ranks, read once by the driver; ``pattern`` cuts the text into pieces that are
     encoded separately, without special tokens. A null text counts as empty: no ids. A null doc_id
@@ -189,11 +189,14 @@ def encode(docs: DataFrame, *, path: str, pattern: str) -> DataFrame:
                 back = [coder.decode(np.frombuffer(i, dtype="<u4")) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+                     pa.array(ids, pa.binary()), pa.array(back, pa.binary()), *[rows.column(c) for c in carry]],
+                    ["doc_id", "n_tokens", "ids", "decoded", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+    shape = ", ".join(["doc_id bigint, n_tokens bigint, ids binary, decoded binary", *[f"{c} bigint" for c in carry]])
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, shape)
 
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    more = [c for c in encoded.columns if c not in ("doc_id", "n_tokens", "ids", "decoded")]
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

@@ -189,8 +189,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- 7 -------------------------------------------------------------------------------------------
-def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    return bpe.digests(bpe.encode(docs, path=public_tokenizers.path(name), pattern=public_tokenizers.PATTERN))
+def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", carry: tuple[str, ...] = ()) -> DataFrame:
+    return bpe.digests(bpe.encode(docs, path=public_tokenizers.path(name), pattern=public_tokenizers.PATTERN, carry=carry))
 
 
 @_add("7")
