@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ _SLOTS = 1 << 15
 _DIM = 48
 _NONZERO = 4
 _REACH = (-2, -1, 1, 2)
+#: Rows without which nothing is learned.
+_LEAST = 10
 
 # Kinds of bytes whose presence makes a word's shape.
 _KIND = np.zeros(256, dtype=np.uint16)
@@ -148,7 +151,7 @@ def train(texts: pa.Array, labels: np.ndarray, *, hidden: int = 32, epochs: int
     rng = np.random.default_rng(seed)
     net = Network(vectors, x.mean(0) if len(x) else np.zeros(width), np.maximum(x.std(0), 1e-3) if len(x) else np.ones(width),
                   rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), np.zeros(hidden), float(np.log(share / (1 - share))))
-    if len(y) < 10 or y.min() == y.max():
+    if len(y) < _LEAST or y.min() == y.max():
         return net
     net.w2 = rng.normal(0, np.sqrt(1 / hidden), hidden)
     held = np.arange(len(y)) % 5 == 4
@@ -187,14 +190,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 8000, fit_bytes:
 
     Rows are taken in the order of a hash of their doc_id, of those whose crc32 leaves a remainder other than 2
     by 4; rows of null label or doc_id are passed over, and of several labels of one doc_id the largest counts.
+    A doc_id whose texts do not fit into what is left of the bytes is skipped, and the next ones are tried; if that leaves fewer
+    than ten rows of ten or more, there is no fit and a ValueError says so.
     """
     seen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_fold(F.col("doc_id")) != 2)
     seen = seen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     drawn = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     sizes = sorted(rows.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).limit(2 * fit_rows).collect())
-    total = np.cumsum([r[2] for r in sizes])
-    ids = docs.sparkSession.createDataFrame([(r[1],) for r, t in zip(sizes, total, strict=True) if t <= fit_bytes], "doc_id bigint")
+    fitting, n, left = [], 0, fit_bytes
+    for (_, doc_id), same in groupby(sizes, lambda r: r[:2]):
+        of = [r[2] for r in same]
+        if sum(of) <= left:
+            fitting.append((doc_id,))
+            n, left = n + len(of), left - sum(of)
+    if n < _LEAST <= len(sizes):
+        raise ValueError(f"of {len(sizes)} labelled texts only {n} fit into {fit_bytes} bytes: too few to learn from")
+    ids = docs.sparkSession.createDataFrame(fitting, "doc_id bigint")
     table = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(2 * fit_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     shuffled = table.take(pa.array(np.random.default_rng(3).permutation(len(table))))
     return train(shuffled.column("text"), shuffled.column("quality").to_numpy())

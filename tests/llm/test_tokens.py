@@ -10,6 +10,7 @@ import tiktoken
 from conftest import SF_DIR
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirework.llm import bpe, quality
 
@@ -86,3 +87,16 @@ def test_quality_edges(spark):
     assert flat.scores(pa.array(["a", "b"])).tolist() == [0.5, 0.5]
     ones = quality.train(pa.array(["a b"] * 20), np.ones(20))
     assert 0.9 < ones.scores(pa.array(["q"]))[0] < 1
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    ids = [r.doc_id for r in spark.range(200).withColumnRenamed("id", "doc_id").filter(quality.crc_fold(F.col("doc_id")) != 2)
+           .orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(i, "long " * 2000 if k == 0 else ("fine words here" if i % 2 else "bad ### junk")) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    network = quality.fit(docs, labels, fit_bytes=5000)
+    good, bad = network.scores(pa.array(["fine words here", "bad ### junk"]))
+    assert good > 0.7 > 0.3 > bad
+    with pytest.raises(ValueError, match="too few"):
+        quality.fit(docs, labels, fit_bytes=40)
