@@ -259,14 +259,14 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book, each document followed by a table of its sentences' first words."""
+    """The book, each document followed by a table of its first two words and its whole text."""
     book = derived.book(spark, sf_dir)
     words = F.filter(F.split(T.squash(F.col("text")), " "), lambda w: w != "")
     cell = lambda i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))
     tables_ = tables.documents(spark, sf_dir).select(
         "doc_id", F.lit(1_000_000_000).alias("pos"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("level"),
         F.lit(None).cast("string").alias("list_kind"), F.lit(None).cast("int").alias("source_page"),
-        F.array(F.array(cell(1), cell(2)), F.array(F.concat_ws(" ", F.slice(words, 1, 40)), F.lit(""))).alias("data"))
+        F.array(F.array(cell(1), cell(2)), F.array(F.concat_ws(" ", words), F.lit(""))).alias("data"))
     return book.withColumn("data", F.lit(None).cast("array<array<string>>")).unionByName(tables_)
 
 

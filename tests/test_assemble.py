@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from quirework.operators import assemble as A
 from quirework.operators.ordered import Sequence, neighbours, running
+from quirework.plans import assembly_queries
 
 
 def _rows(df):
@@ -87,3 +89,10 @@ def test_chunked_windows_cross_borders(spark):
             assert (g.c, g.m) == (sum(x[2] for x in seen), max(x[2] for x in seen))
             assert g.l == next((x[3] for x in reversed(seen) if x[3] is not None), None)
             assert near[(k, r[1])] == (mine[i - 1][1] if i else None, mine[i + 1][1] if i + 1 < len(mine) else None)
+
+
+def test_table_cells_hold_whole_texts(spark):
+    """The table path runs over all words of a text, not over its first ones."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
+    rows = assembly_queries._with_tables(spark, SF_DIR).filter("type = 'table'").select("doc_id", "data").collect()
+    assert {r.doc_id: len(r.data[1][0].split()) for r in rows} == {i: len((t or "").split()) for i, t in docs.items()}
