@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from quirework.llm import bpe, quality
+from quirework.llm.align import align_tokens
 from quirework.llm.ann import nearest
 from quirework.llm.exact_dedup import content_sort
 from quirework.llm.line_dedup import remove_repeated_windows
@@ -249,3 +250,11 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(_table(spark, sf_dir, "documents"))
     removed = F.concat_ws(",", F.transform("removed", lambda i: i.cast("string")))
     return out.select("doc_id", "n_lines", "n_removed", removed.alias("removed"), hex256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+# ---- 11 ------------------------------------------------------------------------------------------
+@_add("11")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(
+        _table(spark, sf_dir, "documents"), byte_level=public_tokenizers.path("byte_bpe_50k.json"),
+        pieces=public_tokenizers.path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
