@@ -18,6 +18,8 @@ from quirework.llm.lm_score import entropy_difference
 from quirework.llm.mixing import mix_sources
 from quirework.llm.ngram_join import jaccard_join
 from quirework.llm.pii import KINDS, find_personal_data
+from quirework.llm.search import ranked_search
+from quirework.llm.topk import nearest_products
 from quirework.llm.warc import resolve_revisits
 from quirework.plans.registry import Build, Query
 
@@ -258,3 +260,42 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(
         _table(spark, sf_dir, "documents"), byte_level=public_tokenizers.path("byte_bpe_50k.json"),
         pieces=public_tokenizers.path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
+
+
+# ---- 12 ------------------------------------------------------------------------------------------
+@_add("12", r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents WHERE doc_id IS NOT NULL
+),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM texts WHERE len(w) > 0),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM texts) GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT item_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL)
+),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term), total GROUP BY item_id, row, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 50""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# ---- 13 ------------------------------------------------------------------------------------------
+@_add("13", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores) WHERE rank <= 20""")
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_products(vectors, vectors.filter("vec_id % 20 = 0"))
