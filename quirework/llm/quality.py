@@ -8,9 +8,8 @@ network did not train on, makes the scores probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,10 @@ _KIND[128:] = 8
 for _chars, _bit in ((b".,;:'", 16), (b"!?", 32), (b"#$%&*|<>=+~^_\\", 64), (b"@/()[]{}\"-", 128)):
     _KIND[list(_chars)] = _bit
 _SHAPES = 512
+#: Numbers of a pooled text.
+WIDTH = 3 * _DIM + 3
+#: Ranges of slots that are added up apart.
+_RANGES = 64
 
 
 def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +79,8 @@ def read_words(texts: pa.Array) -> Iterator[Words]:
         yield Words((hashes & np.uint64(_SLOTS - 1)).astype(np.int32), ((bits & 255).astype(np.int16) + 256 * same).astype(np.int16), cuts)
 
 
-def context_vectors(sample: list[Words]) -> np.ndarray:
-    """Word vectors by slot: summed index vectors of the words at most two places away, made unit length.
-
-    A slot that the sample does not have keeps its own index vector.
-    """
+def context_sums(sample: Iterable[Words]) -> np.ndarray:
+    """By slot, the summed index vectors of the words at most two places away."""
     places, signs = index_vectors(_SLOTS, 1)
     total = np.zeros(_SLOTS * _DIM)
     for w in sample:
@@ -91,15 +91,44 @@ def context_vectors(sample: list[Words]) -> np.ndarray:
             a, b = a[: len(inside)][inside], b[: len(inside)][inside]
             for k in range(_NONZERO):
                 total += np.bincount(a * _DIM + places[b, k], weights=signs[b, k], minlength=len(total))
-    vectors = total.reshape(_SLOTS, _DIM)
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.where(size > 0, vectors / np.maximum(size, 1e-9), _dense(_SLOTS, 1)).astype(np.float32)
+    return total.reshape(_SLOTS, _DIM)
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Sums made unit length; a slot that no text has keeps its own index vector."""
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(size > 0, sums / np.maximum(size, 1e-9), _dense(_SLOTS, 1)).astype(np.float32)
+
+
+def corpus_vectors(docs: DataFrame) -> np.ndarray:
+    """Word vectors over all texts: every task sums its own, ranges of slots are added up on Spark, and one table of slots comes to the driver."""
+    step = _SLOTS // _RANGES
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = context_sums(w for batch in batches for w in read_words(batch.column(0))).astype(np.int64)
+        for r in range(_RANGES):
+            if (own := sums[r * step: (r + 1) * step]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["range", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(step * _DIM, dtype=np.int64)
+        for one in table.column("sums"):
+            total += np.frombuffer(one.as_buffer(), dtype=np.int64)
+        return pa.table({"range": table.column("range").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    shape, sums = "range int, sums binary", np.zeros((_SLOTS, _DIM))
+    # In two steps: no task adds up the parts of more than about a square root of all.
+    parts = docs.select("text").mapInArrow(part, shape).withColumn("deal", F.pmod(F.xxhash64("sums"), F.lit(16)))
+    some = parts.groupBy("range", "deal").applyInArrow(lambda t: add(t.select(["range", "sums"])), shape)
+    for row in some.groupBy("range").applyInArrow(add, shape).collect():
+        sums[row["range"] * step: (row["range"] + 1) * step] = np.frombuffer(row["sums"], dtype=np.int64).reshape(step, _DIM)
+    return word_vectors(sums)
 
 
 def pooled(w: Words, vectors: np.ndarray) -> np.ndarray:
     """Per text: mean word vector, mean and spread of shape vectors, size and share of repeated neighbours."""
     n = np.diff(w.cuts)
-    out = np.zeros((len(n), 3 * _DIM + 3), dtype=np.float32)
+    out = np.zeros((len(n), WIDTH), dtype=np.float32)
     full = np.flatnonzero(n)
     if len(full):
         at = w.cuts[:-1][full]
@@ -137,15 +166,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *z]) / self.temperature, -30, 30)))
 
 
-def train(texts: pa.Array, labels: np.ndarray, *, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Network:
-    """Fit on four fifths of the rows, and the temperature on the rest.
+def train(texts: pa.Array, labels: np.ndarray, **more: int) -> Network:
+    """``learn`` from texts that are at hand, with word vectors of their own."""
+    words = list(read_words(texts))
+    vectors = word_vectors(context_sums(words))
+    return learn(np.concatenate([np.zeros((0, WIDTH), np.float32), *[pooled(w, vectors) for w in words]]), labels, vectors, **more)
+
+
+def learn(x: np.ndarray, labels: np.ndarray, vectors: np.ndarray, *, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Network:
+    """Fit on four fifths of the rows (pooled texts), and the temperature on the rest.
 
     Without rows, or with one label only, every score is the smoothed share of label 1.
     """
-    words = list(read_words(texts))
-    vectors = context_vectors(words)
-    x = np.concatenate([np.zeros((0, 3 * _DIM + 3), np.float32), *[pooled(w, vectors) for w in words]]).astype(np.float64)
-    y = np.asarray(labels, dtype=np.float64)
+    x, y = x.astype(np.float64), np.asarray(labels, dtype=np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     width = x.shape[1]
     rng = np.random.default_rng(seed)
@@ -186,30 +219,47 @@ def crc_fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 8000, fit_bytes: int = 48 << 20) -> Network:
-    """Learn from at most ``fit_rows`` labelled rows of at most ``fit_bytes`` bytes of text in all.
+    """Learn from at most ``fit_rows`` labelled texts of at most ``fit_bytes`` bytes in all; word vectors from all texts.
+
+    Texts are taken in the order of a hash of their doc_id, of those whose crc32 leaves a remainder other than 2
+    by 4; rows of null label or doc_id are passed over, and of several labels of one doc_id the largest counts, of several
+    texts the one with the smallest hash, so that repeated rows weigh nothing. A text that does not fit into what is left of the bytes is
+    skipped, and the next ones are tried; if that leaves fewer than ten of ten or more, there is no fit and a ValueError says so.
 
-    Rows are taken in the order of a hash of their doc_id, of those whose crc32 leaves a remainder other than 2
-    by 4; rows of null label or doc_id are passed over, and of several labels of one doc_id the largest counts.
-    A doc_id whose texts do not fit into what is left of the bytes is skipped, and the next ones are tried; if that leaves fewer
-    than ten rows of ten or more, there is no fit and a ValueError says so.
+    Texts are summed and pooled where they lie; the driver sees doc_ids, sizes and ``fit_rows`` vectors of ``WIDTH`` numbers.
     """
+    spark = docs.sparkSession
     seen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_fold(F.col("doc_id")) != 2)
     seen = seen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     drawn = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    sizes = sorted(rows.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).limit(2 * fit_rows).collect())
-    fitting, n, left = [], 0, fit_bytes
-    for (_, doc_id), same in groupby(sizes, lambda r: r[:2]):
-        of = [r[2] for r in same]
-        if sum(of) <= left:
-            fitting.append((doc_id,))
-            n, left = n + len(of), left - sum(of)
-    if n < _LEAST <= len(sizes):
-        raise ValueError(f"of {len(sizes)} labelled texts only {n} fit into {fit_bytes} bytes: too few to learn from")
-    ids = docs.sparkSession.createDataFrame(fitting, "doc_id bigint")
-    table = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(2 * fit_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    shuffled = table.take(pa.array(np.random.default_rng(3).permutation(len(table))))
-    return train(shuffled.column("text"), shuffled.column("quality").to_numpy())
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
+    one = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct("hash", "bytes", "quality")).alias("s"))
+    sizes = one.select(F.xxhash64("doc_id").alias("turn"), "doc_id", "s.*").collect()
+    fitting, left = [], fit_bytes
+    for r in sorted(sizes):
+        if r["bytes"] <= left:
+            fitting.append((r["doc_id"], r["hash"], r["quality"]))
+            left -= r["bytes"]
+    if len(fitting) < _LEAST <= len(sizes):
+        raise ValueError(f"of {len(sizes)} labelled texts only {len(fitting)} fit into {fit_bytes} bytes: too few to learn from")
+    vectors = corpus_vectors(docs)
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.concatenate([np.zeros((0, WIDTH), np.float32), *[pooled(w, shared.value) for w in read_words(batch.column("text"))]])
+            flat = pa.array(x.ravel(), pa.float32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("quality"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), flat)], ["doc_id", "quality", "x"])
+
+    ids = F.broadcast(spark.createDataFrame(fitting, "doc_id bigint, hash bigint, quality int"))
+    sample = rows.join(ids, ["doc_id", "hash"]).select("doc_id", "quality", "text").mapInArrow(pool, "doc_id bigint, quality int, x array<float>")
+    # Equal rows of one text pool alike: the first stands for them.
+    table = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("x").alias("x")).toArrow().sort_by("doc_id")
+    table = table.take(pa.array(np.random.default_rng(3).permutation(len(table))))
+    x = np.array(table.column("x").to_pylist(), dtype=np.float32).reshape(-1, WIDTH)
+    return learn(x, table.column("quality").to_numpy(), vectors)
 
 
 def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:

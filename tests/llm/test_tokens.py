@@ -100,3 +100,57 @@ def test_a_long_text_does_not_end_the_sample(spark):
     assert good > 0.7 > 0.3 > bad
     with pytest.raises(ValueError, match="too few"):
         quality.fit(docs, labels, fit_bytes=40)
+
+
+def _plain_vectors(texts: list[str]) -> dict[str, np.ndarray]:
+    """Word vectors word by word: summed index vectors of the words at most two places away, made unit length."""
+    places, signs = quality.index_vectors(quality._SLOTS, 1)
+    slot = {w: int(next(iter(quality.read_words(pa.array([w])))).slot[0]) for t in texts for w in t.split()}
+    sums: dict[int, np.ndarray] = {}
+    for words in (t.split() for t in texts):
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    v = sums.setdefault(slot[w], np.zeros(quality._DIM))
+                    for p, s in zip(places[slot[words[j]]], signs[slot[words[j]]]):
+                        v[p] += s
+    return {w: sums[k] / np.linalg.norm(sums[k]) for w, k in slot.items() if k in sums and np.linalg.norm(sums[k]) > 0}
+
+
+def test_word_vectors_and_pooling_by_hand(spark):
+    texts = [f"word{i % 7} other{i % 3} third{i % 5} Last{i % 2}, end" for i in range(60)] + ["alone", "", "a a a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id bigint, text string").repartition(5)
+    vectors = quality.corpus_vectors(docs)
+    plain = _plain_vectors(texts)
+    for w, v in plain.items():
+        slot = int(next(iter(quality.read_words(pa.array([w])))).slot[0])
+        assert np.allclose(vectors[slot], v, atol=1e-6)
+    one = next(iter(quality.read_words(pa.array([texts[0]]))))
+    pooled = quality.pooled(one, vectors)[0]
+    assert np.allclose(pooled[: quality._DIM], np.mean([plain[w] for w in texts[0].split()], axis=0), atol=1e-5)
+    assert np.isclose(pooled[-3], np.log1p(5) / 10) and pooled[-2] == 0 and pooled[-1] == 0
+
+
+def test_fit_equals_learning_from_all_texts_at_hand(spark):
+    """Where every text is labelled and learned from, fit on Spark is learn on one machine."""
+    ids = [i for i in range(400)]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    ids = sorted(r.doc_id for r in frame.filter(quality.crc_fold(F.col("doc_id")) != 2).collect())
+    texts = {i: (f"fine words here number {i} and more" if i % 2 else f"bad ### junk!! {i} $$") for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    order = np.random.default_rng(3).permutation(len(ids))
+    want = quality.train(pa.array([texts[ids[k]] for k in order]), np.array([ids[k] % 2 for k in order]))
+    got = quality.fit(docs, labels)
+    some = pa.array([texts[i] for i in ids[:50]] + ["", "unseen words"])
+    assert got.temperature == want.temperature and np.allclose(got.scores(some), want.scores(some), atol=1e-4)
+
+
+def test_a_labelled_row_many_times_weighs_nothing(spark):
+    ids = [r.doc_id for r in spark.range(300).withColumnRenamed("id", "doc_id").filter(quality.crc_fold(F.col("doc_id")) != 2).collect()]
+    rows = [(i, "fine words here" if i % 2 else "bad ### junk") for i in ids]
+    hot = spark.range(20_000).select(F.lit(ids[1]).cast("bigint").alias("doc_id"), F.lit(rows[1][1]).alias("text"))
+    docs = hot.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    network = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int"))
+    good, bad = network.scores(pa.array(["fine words here", "bad ### junk"]))
+    assert good > 0.7 > 0.3 > bad
