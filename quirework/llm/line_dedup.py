@@ -45,6 +45,8 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 3) -> DataFrame:
     lines = F.split(whole(F.col("text")), "\n", -1)
     ident = F.xxhash64("text")
     hashed = pinned(docs.select("doc_id", "text"), {"_text": ident, "_l": _line_hashes(lines)}).filter(F.size("_l") >= width)
+    # Rows equal in doc_id and text have the same windows: one of them forms these.
+    hashed = hashed.groupBy("doc_id", "_text").agg(F.first("_l").alias("_l"))
     starts = F.sequence(F.lit(1), F.size("_l") - (width - 1))
     window = F.transform(starts, lambda j: F.struct(
         (j - 1).cast("int").alias("at"),

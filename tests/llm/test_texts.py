@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import ngram_join
 from quirework.llm.exact_dedup import content_sort
@@ -212,3 +213,12 @@ def test_entropy_difference(spark):
         == brute_difference(rows, target)
     assert entropy_difference(table(spark, []), marks).count() == 0
     assert entropy_difference(table(spark, [(1, None)]), marks).collect()[0].difference is None
+
+
+def test_a_row_many_times_is_one_document(spark):
+    """A hundred thousand equal rows have the windows of one."""
+    text = "\n".join(f"line {i} of one text" for i in range(30))
+    hot = spark.range(100_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    docs = hot.unionByName(table(spark, [(3, "\n".join(text.split("\n")[:12])), (9, text)]).select("doc_id", "text"))
+    out = remove_repeated_windows(docs).groupBy("doc_id", "n_lines", "n_removed").count().collect()
+    assert {tuple(r) for r in out} == {(3, 12, 0, 1), (7, 30, 12, 100_000), (9, 30, 30, 1)}
