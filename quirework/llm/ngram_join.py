@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.keycount import KeyCount
-from quirework.llm.shared import components, light, reliable
+from quirework.llm.shared import components, light, partitions, reliable
 from quirework.llm.words import mix, shingle_hashes, word_spans
 
 _CELLS = 256
@@ -265,7 +265,7 @@ def _links(sets: DataFrame, comps: DataFrame, num: int, den: int) -> tuple[DataF
     named = sets.join(comps, "rep")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / _SPAN_ROWS, F.sum("n") / _SPAN_GRAMS)).cast("int")
     sizes = light(named.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), blocks.alias("blocks")).filter("rows > 1").drop("rows"))
-    buckets = max(1, (sizes.agg(F.sum(F.col("total") * F.col("blocks"))).first()[0] or 0) // (2 * _SPAN_GRAMS))
+    buckets = max(4 * partitions(sets.sparkSession), (sizes.agg(F.sum(F.col("total") * F.col("blocks"))).first()[0] or 0) // (2 * _SPAN_GRAMS))
     rows = named.join(sizes.drop("total"), "component").withColumn("block", F.pmod(F.xxhash64("rep", "sig"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

@@ -34,7 +34,7 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def light(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def light(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` materialised, and broadcast if it is found to have at most ``rows`` rows (of a few numbers each)."""
     df = reliable(df)
     return F.broadcast(df) if df.count() <= rows else df
