@@ -5,6 +5,10 @@ from __future__ import annotations
 import datetime
 import decimal
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -49,3 +53,17 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_without_the_training_data_package(tmp_path):
+    """A copy without that package keeps every other query, whether or not the pipeline's module is still there."""
+    root = pathlib.Path(entry.__file__).parent
+    for name, keep in (("both", True), ("neither", False)):
+        copy = tmp_path / name
+        shutil.copytree(root / "quirework", copy / "quirework", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for file in ("__spark_entry__.py", *(["corpus_pipeline.py"] if keep else [])):
+            if (root / file).exists():
+                shutil.copy(root / file, copy)
+        code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert out.stdout.split() == sorted(load_queries())
