@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.config import DEFAULTS, Settings
 from quirework.functions import clean as C
+from quirework.operators.graph import TASK_EDGES, components
 from quirework.operators.ordered import cut_lineage, first_per_key
 
 
@@ -48,31 +50,76 @@ def claim_verdicts(claims: DataFrame, profiles: DataFrame, attributions: DataFra
     return seen.select("claim_id", "referee_id", "referrer_id", "device", "claimed_at", verdict.alias("_alone"))
 
 
-def _credited(open_claims: DataFrame) -> DataFrame:
-    """Claims credited when all are taken in order: one per referee, one referee per device.
+#: Claims that one task folds in order.
+_FOLD_CLAIMS = 200_000
+
+
+def _by_rounds(open_claims: DataFrame) -> DataFrame:
+    """Claims credited in order, for components too large for one task.
 
     Each round credits the claims that are the earliest left for both their referee and
-    their device, then drops what those referees and devices still ask for. The earliest
-    claim left always wins, so rounds end; all but tangled claims end in the first.
+    their device, then drops what those referees and devices still ask for. A hot device ends in one
+    round; only a chain of ever later claims through different referees and devices takes a round per link.
     """
     order = F.struct("claimed_at", "claim_id")
-    left = cut_lineage(open_claims.select("claim_id", "referee_id", "device", "claimed_at"))
-    won = None
-    while True:
+    left = cut_lineage(open_claims)
+    won = left.limit(0)
+    while not left.isEmpty():
         by_referee = left.groupBy("referee_id").agg(F.min(order).alias("_r"))
         by_device = left.filter(F.col("device").isNotNull()).groupBy("device").agg(F.min(order).alias("_d"))
         placed = left.join(by_referee, "referee_id").join(by_device, "device", "left")
         wins = cut_lineage(
-            placed.filter((F.col("_r") == order) & (F.col("_d").isNull() | (F.col("_d") == order)))
-            .select("claim_id", "referee_id", "device", "claimed_at")
-        )
-        won = wins if won is None else won.unionByName(wins)
+            placed.filter((F.col("_r") == order) & (F.col("_d").isNull() | (F.col("_d") == order))).select(*left.columns))
+        won = won.unionByName(wins)
         left = cut_lineage(
             left.join(wins.select("referee_id"), "referee_id", "left_anti")
             .join(wins.filter(F.col("device").isNotNull()).select("device"), "device", "left_anti")
         )
-        if left.isEmpty():
-            return won
+    return won
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The claims of whole components that are credited when taken in order."""
+    table = table.sort_by([("claimed_at", "ascending"), ("claim_id", "ascending")])
+    referees, devices, won = set(), {None}, []
+    for i, (referee, device) in enumerate(zip(table.column("referee_id").to_pylist(), table.column("device").to_pylist(), strict=True)):
+        if referee not in referees and (device is None or device not in devices):
+            referees.add(referee)
+            devices.add(device)
+            won.append(i)
+    return table.take(pa.array(won, pa.int64()))
+
+
+def _credited(open_claims: DataFrame) -> DataFrame:
+    """Claims credited when all are taken in order: one per referee, one referee per device.
+
+    A claim that shares neither referee nor device is credited as it is. The others fall into components of the graph of
+    referees and devices, which decide nothing for each other: components are dealt into tasks that take their claims in order,
+    however long their chains. Only a component of more than ``_FOLD_CLAIMS`` claims goes by rounds.
+    """
+    claims = open_claims.select("claim_id", "referee_id", "device", "claimed_at")
+    same_referee = claims.groupBy("referee_id").agg(F.count(F.lit(1)).alias("_nr"))
+    same_device = claims.filter(F.col("device").isNotNull()).groupBy("device").agg(F.count(F.lit(1)).alias("_nd"))
+    counted = cut_lineage(claims.join(same_referee, "referee_id").join(same_device, "device", "left"))
+    tangled = (F.col("_nr") > 1) | (F.coalesce("_nd", F.lit(0)) > 1)
+    free, rest = counted.filter(~tangled), counted.filter(tangled)
+    node = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    own = node("referee", "referee_id")
+    rest = rest.withColumns({"a": own, "b": F.when(F.col("device").isNull(), own).otherwise(node("device", "device"))})
+    n = rest.count()
+    placed = rest.join(components(rest.select("a", "b"), n_edges=n if n <= TASK_EDGES else None).withColumnRenamed("node", "a"), "a", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "a"))
+    names, slow = claims.columns, None
+    if n > _FOLD_CLAIMS:
+        placed = cut_lineage(placed)
+        large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _FOLD_CLAIMS).select("component")
+        slow = _by_rounds(placed.join(large, "component", "left_semi").select(*names))
+        placed = placed.join(large, "component", "left_anti")
+    bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-2 * n // _FOLD_CLAIMS)))).alias("_bucket")
+    folded = placed.select(bucket, *names).groupBy("_bucket").applyInArrow(
+        lambda t: _in_order(t).select(names), ", ".join(f"{c} {claims.schema[c].dataType.simpleString()}" for c in names))
+    out = free.select(*names).unionByName(folded)
+    return out if slow is None else out.unionByName(slow)
 
 
 def settle_claims(claims: DataFrame, profiles: DataFrame, attributions: DataFrame | None = None) -> DataFrame:
