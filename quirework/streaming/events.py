@@ -1,23 +1,18 @@
 """Structured Streaming twins of the queue, progress, payment and rate operators.
 
-The reference has no event-time rules, so late data is ours to define: a row older
-than the stated watermark is dropped; until then every operator is idempotent.
+The rules know no event time, so late data is ours to define: a row older than the stated watermark is dropped; until
+then every operator is idempotent. Operators with state of their own need the RocksDB state store provider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirework.config import DEFAULTS, Settings
 from quirework.operators import payments as PY
 from quirework.operators.jobs import attempt_route
-
-_DAY_MS = 86_400_000
+from quirework.streaming import state
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -30,73 +25,48 @@ def first_completions(messages: DataFrame, keep: str = "7 days") -> DataFrame:
     return messages.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["job_id", "batch_id", "outcome"])
 
 
-def _expire_after(state: GroupState, latest: pd.Timestamp, days: int) -> None:
-    """State leaves when the watermark has passed the newest row by ``days``."""
-    newest = max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs())
-    state.setTimeoutTimestamp(newest + days * _DAY_MS)
-
-
-def job_counters(outcomes: DataFrame, watermark: str | None = "7 days") -> DataFrame:
-    """Running done/failed counts per job, and whether all are in; run it in update mode.
+def job_counters(outcomes: DataFrame, lateness: str = "7 days", keep_days: int = 7) -> DataFrame:
+    """Running done/failed counts per job, and ``finalize`` when all are in; as a stream in update mode.
 
-    A plain aggregate: no Python, and ``finalize`` is true in the update that completes the job. Feed it
-    ``first_completions`` (with ``watermark=None``, theirs holds), so that redelivered batches are not counted twice.
-    A job that gets more outcomes than its total is told to be final again: act once per job_id.
+    A stream keeps the seen (batch, outcome) pairs and whether it has fired until the watermark is ``keep_days`` past the job's last
+    outcome: one row per job and micro-batch, redelivered outcomes are not counted, and ``finalize`` is true in one row of a job
+    only. A table is one batch: feed it ``first_per_key`` rows.
     """
-    if watermark and outcomes.isStreaming:
-        outcomes = outcomes.withWatermark("ts", watermark)
+    if outcomes.isStreaming:
+        rows = outcomes.withWatermark("ts", lateness).select(
+            "job_id", F.col("batch_id").cast("long").alias("batch_id"), "outcome", F.col("total").cast("int").alias("total"), "ts")
+        return rows.groupBy("job_id").transformWithStateInPandas(state.Counters(keep_days), state.Counters.SCHEMA, "update", "EventTime")
     done, failed = F.count_if(F.col("outcome") == "ok").cast("int"), F.count_if(F.col("outcome") == "failed").cast("int")
     total = F.max("total")
     return outcomes.groupBy("job_id").agg(
         done.alias("done"), failed.alias("failed"), total.alias("total"), ((total > 0) & (done + failed >= total)).alias("finalize"))
 
 
-def progress_state(updates: DataFrame, ttl_days: int = 2, watermark: str = "2 days") -> DataFrame:
-    """Monotone progress per job, one output row per update (batch twin: W7)."""
-    schema = "job_id string, event_id bigint, progress int, shown_stage string"
-
-    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pct, stage = state.get if state.exists else (0, None)
-        out = []
-        rows = pd.concat(list(rows))
-        for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
-            new = max(0, min(100, int(r.pct)))
-            reset = r.stage == "failed" and new == 0
-            stage = r.stage if reset or new >= pct or stage is None else stage
-            pct = 0 if reset else max(pct, new)
-            out.append((key[0], r.event_id, pct, stage))
-        state.update((pct, stage))
-        _expire_after(state, rows["ts"].max(), ttl_days)
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "progress", "shown_stage"])
-
-    return updates.withWatermark("ts", watermark).groupBy("job_id").applyInPandasWithState(
-        advance, schema, "pct int, stage string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def progress_state(updates: DataFrame, lateness: str = "2 days", keep_days: int = 2) -> DataFrame:
+    """Monotone progress per job, one output row per update (batch twin: W7).
+
+    Updates of a micro-batch are taken in the order of ts; a job's shown values leave when the watermark is ``keep_days`` past its last update.
+    """
+    rows = updates.withWatermark("ts", lateness).select("job_id", "event_id", "ts", F.col("pct").cast("int").alias("pct"), "stage")
+    return rows.groupBy("job_id").transformWithStateInPandas(state.Progress(keep_days), state.Progress.SCHEMA, "append", "EventTime")
 
 
-def settle_notices(profiles: DataFrame, ledger_path: str):
-    """T4: ``foreachBatch`` function: dedupe against the ledger, record what was applied.
+def subscription_changes(notices: DataFrame, profiles: DataFrame, lateness: str = "7 days", cfg: Settings = DEFAULTS) -> DataFrame:
+    """T4: payment notices to subscription states, one row per subscription that a micro-batch changes (update mode).
 
-    Every batch owns a folder named after its id, so a batch run again after a failure
-    replaces its own rows; keys of other batches are what it is checked against.
+    The first notice of a key counts; a key belongs to one subscription. The state after all notices is that of
+    ``payments.subscription_states`` over them, in whatever batches they came, as long as none is later than ``lateness``. Profiles are the initial
+    state, read when the query first starts; of several with one subscription id the smallest id owns it. Notices of unknown ids are passed over.
     """
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
-        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        ledger = spark.read.parquet(ledger_path).filter(F.col("epoch") != epoch) if known else None
-        routed = PY.route(PY.parse_notices(batch))
-        changing = routed.filter(F.col("action").isin("activate", "deactivate"))
-        fresh = PY.with_profile(PY.first_deliveries(changing, ledger), profiles)
-        fresh.select(
-            F.col("dedup_key").alias("external_id"), "user_id", "action", "received_at", "event_id",
-            "period_start", "period_end",
-        ).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}")
-
-    return apply
+    routed = PY.route(PY.parse_notices(event_time(notices, "received_at").withWatermark("received_at", lateness)))
+    own = F.concat(F.lit("row:"), F.col("event_id").cast("string"))
+    rows = routed.filter(F.col("action").isin("activate", "deactivate") & F.col("subscription_id").isNotNull()).select(
+        "subscription_id", F.coalesce("dedup_key", own).alias("key"), F.unix_micros("received_at").alias("at_us"), "event_id", "action",
+        PY.epoch_seconds(routed, "received_at").alias("at"), PY.epoch_seconds(routed, "period_end").alias("ends"),
+        PY.epoch_seconds(routed, "period_start").alias("begins"), "received_at")
+    return rows.groupBy("subscription_id").transformWithStateInPandas(
+        state.Subscriptions(cfg), state.Subscriptions.SCHEMA, "update", "EventTime",
+        initialState=PY.subscription_owners(profiles).groupBy("subscription_id"))
 
 
 def requests_per_minute(requests: DataFrame, key: str = "user_id", limit: int = DEFAULTS.requests_per_minute,
