@@ -29,6 +29,8 @@ ABBREVIATIONS = (
 )
 ABBREVIATION_MARK = "\uffff"
 SENTENCE_BREAK = rf"([.!?]){S}+"
+SENTENCE_ENDS = (".", "!", "?", "…", "।")
+CLOSERS = "'\"\u201d\u2019)]"
 COMPLETE_END = rf"""[.!?…।]['"\x{{201d}}\x{{2019}})\]]*{S}*$"""
 MULTI_SENTENCE = rf"""[.!?…]["'\x{{201d}}\x{{2019}})\]]*{S}+[A-Z\x{{c0}}-\x{{1fff}}]"""
 SENTENCE_THEN_CAPITAL = rf"[.!?]{S}+[A-Z]"
@@ -67,8 +69,10 @@ IMPRINT_NEEDLES = (
     "dostoevsky", "dostoyevsky",
 )
 DOT_LEADER = r"\.{3,}|\x{2026}"
+DOT_LEADERS = ("...", "\u2026")
 SHORT_DOT_LEADER = r"\.{2,}|\x{2026}"
 LEAF_PAGE = rf"(?i)(?:\d{{1,4}}|[ivxlcdm]{{1,12}}){S}*$"
+LEAF_CHARACTER = "[0-9ivxlcdmIVXLCDM]"
 LEAF_PAGE_SHORT_ROMAN = rf"(?i)(?:\d{{1,4}}|[ivxlcdm]{{1,10}}){S}*$"
 TRAILING_ARABIC = rf"{S}\d{{1,4}}{S}*$"
 TRAILING_ROMAN = rf"(?i){S}+[ivxlcdm]{{1,12}}{S}*$"
@@ -126,7 +130,8 @@ ALLOWED_SUFFIXES = (
 HINDI_ALIASES = ("hindi", "hi", "devanagari", "devnagari")
 UNSAFE_FILENAME_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
 
-# --- Spark-only assertions (RE2 has none) ---------------------------------
+# --- Spark-only assertions and possessive runs (RE2 has none) --------------
+TWO_LATIN_WORDS = f"[A-Za-z]{W}*+[^{WORD_CHARS}][^A-Za-z]*+[A-Za-z]"
 NOT_AFTER_WORD = f"(?<!{W})"
 NOT_BEFORE_WORD = f"(?!{W})"
 

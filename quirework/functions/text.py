@@ -54,29 +54,38 @@ class Line:
     them in helper columns first, so that many rules over one text compute them once.
     """
 
-    def __init__(self, raw: Column, stripped: Column | None = None, squashed: Column | None = None,
-                 words: Column | None = None, tokens: Column | None = None):
-        self.raw = blankless(raw)
-        self.st = strip(raw) if stripped is None else stripped
-        self.sq = squash(raw) if squashed is None else squashed
-        self.low = F.lower(self.sq)
-        self.low_st = F.lower(self.st)
-        self.n = F.length(self.st)
-        self.nq = F.length(self.sq)
-        self.words = count_of(self.st, P.WORD) if words is None else words
-        self.tokens = count_of(self.st, P.TOKEN) if tokens is None else tokens
+    HELPERS = ("_st", "_sq", "_lower", "_lower_st", "_len_st", "_len_sq", "_words", "_tokens")
 
-    HELPERS = ("_st", "_sq", "_words", "_tokens")
+    def __init__(self, raw: Column, *forms: Column):
+        self.raw = blankless(raw)
+        st, sq = forms[:2] or (strip(raw), squash(raw))
+        rest = forms[2:] or (F.lower(sq), F.lower(st), F.length(st), F.length(sq), count_of(st, P.WORD), count_of(st, P.TOKEN))
+        self.st, self.sq = st, sq
+        self.low, self.low_st, self.n, self.nq, self.words, self.tokens = rest
 
     @classmethod
     def prepare(cls, df: DataFrame, column: str = "text") -> tuple[DataFrame, Line]:
         """Add the helper columns (drop them with ``df.drop(*Line.HELPERS)``)."""
         raw = F.col(column)
-        out = df.withColumns({"_st": strip(raw), "_sq": squash(raw)}).withColumns(
-            {"_words": count_of(F.col("_st"), P.WORD), "_tokens": count_of(F.col("_st"), P.TOKEN)}
-        )
+        st, sq = F.col("_st"), F.col("_sq")
+        out = df.withColumns({"_st": strip(raw), "_sq": squash(raw)}).withColumns({
+            "_lower": F.lower(sq), "_lower_st": F.lower(st), "_len_st": F.length(st), "_len_sq": F.length(sq),
+            "_words": count_of(st, P.WORD), "_tokens": count_of(st, P.TOKEN),
+        })
         return out, cls(raw, *[F.col(h) for h in cls.HELPERS])
 
+    def count(self, pattern: str, *needed: str, lower: bool = False) -> Column:
+        """Matches in the stripped text; the pattern runs only where one of the literals that every match holds occurs.
+
+        With ``lower`` the literals are looked for in the lower-cased text.
+        """
+        return F.when(_holds(self.low_st if lower else self.st, *needed), count_of(self.st, pattern)).otherwise(F.lit(0))
+
+
+def _holds(t: Column, *literals: str) -> Column:
+    """Plain substring search, a fraction of the cost of a pattern."""
+    return _any(*[t.contains(x) for x in literals])
+
 
 Text = Column | Line
 
@@ -144,7 +153,8 @@ def split_sentences(c: Column) -> Column:
 def sentence_complete(c: Text) -> Column:
     """Blank, an ellipsis, or terminal punctuation with optional closers."""
     t = line(c).st
-    return (t == "") | t.endswith("...") | t.rlike(P.COMPLETE_END)
+    last = F.right(F.rtrim(t, F.lit(P.CLOSERS)), F.lit(1))
+    return (t == "") | t.endswith("...") | last.isin(*P.SENTENCE_ENDS)
 
 
 def is_continuation(c: Text) -> Column:
@@ -154,35 +164,31 @@ def is_continuation(c: Text) -> Column:
 
 def is_section_label(c: Text) -> Column:
     """P6."""
-    t = line(c).sq
-    return (t != "") & (F.length(t) <= 120) & t.rlike(P.SECTION_LABEL)
+    x = line(c)
+    return (x.sq != "") & (x.nq <= 120) & x.sq.rlike(P.SECTION_LABEL)
 
 
 def is_citation_heavy(c: Text) -> Column:
     """P7."""
-    t = line(c).st
-    low = F.lower(t)
-    refs = count_of(t, P.BRACKET_REF)
-    years = count_of(t, P.whole(P.YEAR))
-    n = F.length(t)
+    x = line(c)
+    t, low, n = x.st, x.low_st, x.n
+    refs = x.count(P.BRACKET_REF, "[")
+    years = x.count(P.whole(P.YEAR), "19", "20")
     return _any(
-        t.rlike(P.URL),
+        _holds(low, "http://", "https://", "www."),
         low.contains("doi:"), low.contains("arxiv:"), low.contains("isbn"),
         t.contains("©"), low.contains("(c)"),
         refs >= 2,
-        (refs >= 1) & (years >= 1) & (n < 400),
-        (years >= 3) & (n < 500),
+        (n < 400) & (refs >= 1) & (years >= 1),
+        (n < 500) & (years >= 3),
         low.contains("et al") & (years >= 1),
     )
 
 
 def is_symbol_heavy(c: Text) -> Column:
     """No tokens at all, or fewer than two words carrying a Latin letter."""
-    t = line(c).st
-    latin_words = F.size(
-        F.filter(F.regexp_extract_all(t, F.lit(P.WORD), F.lit(0)), lambda w: w.rlike("[A-Za-z]"))
-    )
-    return ~t.rlike(P.NS) | ((latin_words < 2) & (F.length(t) > 8))
+    x = line(c)
+    return ~x.st.rlike(P.NS) | ((x.n > 8) & ~x.st.rlike(P.TWO_LATIN_WORDS))
 
 
 def skip_sentence(c: Text) -> Column:
@@ -191,7 +197,7 @@ def skip_sentence(c: Text) -> Column:
     s = x.st
     return _any(
         s == "",
-        (x.words <= 1) & (F.length(s) < 30),
+        (x.n < 30) & (x.words <= 1),
         s.rlike(P.FIGURE_CAPTION),
         is_citation_heavy(x),
         is_symbol_heavy(x),
@@ -203,9 +209,8 @@ def skip_sentence(c: Text) -> Column:
 
 def is_running_header(c: Text) -> Column:
     """P10."""
-    t = line(c).sq
-    low = F.lower(t)
-    n = F.length(t)
+    x = line(c)
+    t, low, n = x.sq, x.low, x.nq
     piped = _any(
         low.startswith("contents "),
         low.startswith("table of contents"),
@@ -258,8 +263,9 @@ def is_toc_standalone(c: Text) -> Column:
 
 def is_milestone_heading(c: Text) -> Column:
     """P13."""
-    t = line(c).st
-    return (F.length(t) <= 200) & _any(
+    x = line(c)
+    t = x.st
+    return (x.n <= 200) & _any(
         t.rlike(P.MILESTONE_LABELLED),
         t.rlike(P.NUMBERED_TITLE),
         t.rlike(P.opens("prologue|epilogue|foreword|preface|introduction")),
@@ -270,23 +276,26 @@ def is_milestone_heading(c: Text) -> Column:
 def is_imprint(c: Text) -> Column:
     """Title-page and publisher boilerplate."""
     x = line(c)
-    needles = "|".join(n.replace(".", r"\.") for n in P.IMPRINT_NEEDLES)
-    return (x.n <= 180) & x.low.rlike(needles)
+    # A needle that holds another one adds nothing.
+    shortest = [n for n in P.IMPRINT_NEEDLES if not any(m != n and m in n for m in P.IMPRINT_NEEDLES)]
+    return (x.n <= 180) & _holds(x.low, *shortest)
 
 
 def is_toc_leader_row(c: Text) -> Column:
     """Dot leaders ending in a leaf page."""
-    t = line(c).sq
-    return _all(
-        ~is_imprint(c), F.length(t) <= 260, t.rlike(P.DOT_LEADER), t.rlike(P.LEAF_PAGE)
-    )
+    x = line(c)
+    return _all(x.nq <= 260, _holds(x.sq, *P.DOT_LEADERS), _ends_in_leaf(x.sq), ~is_imprint(c))
+
+
+def _ends_in_leaf(squashed: Column) -> Column:
+    """The text ends in a digit or a Roman numeral's letter, so in some page number."""
+    return F.right(squashed, F.lit(1)).rlike(P.LEAF_CHARACTER)
 
 
 def is_toc_heading_noise(c: Text) -> Column:
     """Heading text that is really a printed contents row."""
     x = line(c)
-    t = x.sq
-    n = F.length(t)
+    t, n = x.sq, x.nq
     bare_label = t.rlike(
         rf"(?i)^(?:chapter{P.S}+\d{{1,3}}|part{P.S}+(?:[ivxlcdm]{{1,8}}|\d{{1,3}}))$"
     )
@@ -297,54 +306,59 @@ def is_toc_heading_noise(c: Text) -> Column:
     return (
         F.when((t == "") | is_imprint(c), F.lit(False))
         .when(is_toc_leader_row(c), F.lit(True))
-        .otherwise((n < 200) & ~bare_label & t.rlike(P.LEAF_PAGE) & (numbered | named))
+        .otherwise((n < 200) & _ends_in_leaf(t) & (numbered | named) & ~bare_label)
     )
 
 
 def is_toc_listing_row(c: Text) -> Column:
     """A plausible contents row: leaders, a trailing page, or a short stub."""
-    t = line(c).st
-    n = F.length(t)
+    x = line(c)
+    t, n = x.st, x.n
     return _all(
         t != "",
-        ~is_imprint(c),
         n <= 240,
         _any(
-            t.rlike(P.DOT_LEADER),
-            t.rlike(P.TRAILING_ARABIC),
-            (n < 140) & t.rlike(P.TRAILING_ROMAN),
-            (n < 120) & t.rlike(r"\[\d+\]"),
+            _holds(t, *P.DOT_LEADERS),
+            _trailing_arabic(t),
+            (n < 140) & _trailing_roman(t),
+            (n < 120) & t.contains("[") & t.rlike(r"\[\d+\]"),
             (n < 96)
             & t.rlike(P.opens(rf"part{P.S}+[ivxlcdm\d]{{1,8}}|chapter{P.S}+\d{{1,3}}")),
         ),
+        ~is_imprint(c),
     )
 
 
+def _trailing_arabic(stripped: Column) -> Column:
+    return F.right(stripped, F.lit(5)).rlike(P.TRAILING_ARABIC)
+
+
+def _trailing_roman(stripped: Column) -> Column:
+    return F.right(stripped, F.lit(13)).rlike(P.TRAILING_ROMAN)
+
+
 def is_toc_row_in_contents(c: Text) -> Column:
     """Heading-shaped row that keeps an open contents region alive."""
     x = line(c)
-    t = x.st
-    n = F.length(t)
+    t, n = x.st, x.n
     number = r"(?:\d+\.\d+|\d+|[ivxlcdm]{1,8})"
     short = _any(
-        (n <= 40) & F.lower(t).rlike(rf"^(?:chapter|part){P.S}+{number}$"),
-        t.rlike(P.opens(rf"(?:chapter|part){P.S}+{number}")) & (x.words <= 12) & (n <= 95),
-        t.rlike(rf"^\d+\.\d+{P.NOT_BEFORE_WORD}") & (x.words <= 14) & (n <= 120),
+        (n <= 40) & x.low_st.rlike(rf"^(?:chapter|part){P.S}+{number}$"),
+        (n <= 95) & (x.words <= 12) & t.rlike(P.opens(rf"(?:chapter|part){P.S}+{number}")),
+        (n <= 120) & (x.words <= 14) & t.rlike(rf"^\d+\.\d+{P.NOT_BEFORE_WORD}"),
     )
     return is_toc_listing_row(c) | ((t != "") & (n <= 200) & short)
 
 
 def chapter_mentions(c: Text) -> Column:
-    return count_of(line(c).st, rf"(?i){P.NOT_AFTER_WORD}chapter{P.S}+\d+")
+    return line(c).count(rf"(?i){P.NOT_AFTER_WORD}chapter{P.S}+\d+", "chapter", lower=True)
 
 
 def is_merged_toc_blob(c: Text) -> Column:
     """A whole contents list or spine collapsed into one paragraph."""
     x = line(c)
-    t = x.st
-    low = F.lower(t)
-    n = F.length(t)
-    questions = count_of(t, r"\?")
+    low, n = x.low_st, x.n
+    questions = x.count(r"\?", "?")
     hits = chapter_mentions(x)
     cover = low.rlike(P.whole("cover"))
     title_page = low.rlike(rf"title{P.S}+page")
@@ -390,33 +404,31 @@ def starts_contents_region(c: Text) -> Column:
 def is_toc_body_opener(c: Text) -> Column:
     """P20: running prose that starts a preface or introduction."""
     x = line(c)
-    t = x.st
-    n = F.length(t)
-    leaf = (n < 260) & (t.rlike(P.TRAILING_ARABIC) | t.rlike(P.TRAILING_ROMAN))
+    t, n = x.st, x.n
+    leaf = (n < 260) & (_trailing_arabic(t) | _trailing_roman(t))
     return _all(
         n >= 24,
-        ~t.rlike(P.DOT_LEADER),
-        ~leaf,
         _any(
-            F.lower(t).startswith("preface ") & (x.words >= 10),
-            t.rlike(rf"(?i)^introduction{P.S}*[:.]?{P.S}*{P.NS}+") & (x.words >= 18),
+            x.low_st.startswith("preface ") & (x.words >= 10),
+            x.low_st.startswith("introduction") & (x.words >= 18) & t.rlike(rf"(?i)^introduction{P.S}*[:.]?{P.S}*{P.NS}+"),
         ),
+        ~_holds(t, *P.DOT_LEADERS),
+        ~leaf,
     )
 
 
 def is_toc_leader_or_leaf(c: Text) -> Column:
     """P25: page-merge guard."""
-    t = line(c).sq
-    return (F.length(t) <= 160) & t.contains("...") & t.rlike(P.LEAF_PAGE_SHORT_ROMAN)
+    x = line(c)
+    return (x.nq <= 160) & x.sq.contains("...") & _ends_in_leaf(x.sq)
 
 
 def is_toc_prose_noise(c: Text) -> Column:
     """Body prose that leaked into generated contents."""
     x = line(c)
-    t = x.st
-    stops = count_of(t, "[.?!]")
+    stops = count_of(x.st, "[.?!]")
     wc = x.words
-    return (F.length(t) >= 90) & (wc >= 20) & ((stops >= 2) | ((wc >= 48) & (stops >= 1)))
+    return (x.n >= 90) & (wc >= 20) & ((stops >= 2) | ((wc >= 48) & (stops >= 1)))
 
 
 # --- sections and headings ------------------------------------------------
@@ -424,41 +436,41 @@ def is_toc_prose_noise(c: Text) -> Column:
 
 def is_back_matter_heading(c: Text) -> Column:
     """The line is nothing but a back-matter title."""
-    n = line(c).low
-    return (F.length(n) <= 200) & n.rlike(P.BACK_MATTER_TITLE)
+    x = line(c)
+    return (F.length(x.low) <= 200) & x.low.rlike(P.BACK_MATTER_TITLE)
 
 
 def is_standalone_omit(c: Text) -> Column:
     """Short non-heading line that is only a back-matter title."""
-    t = line(c).st
-    return (F.length(t) < 120) & is_back_matter_heading(c) & ~t.rlike(P.SENTENCE_THEN_CAPITAL)
+    x = line(c)
+    return (x.n < 120) & is_back_matter_heading(c) & ~x.st.rlike(P.SENTENCE_THEN_CAPITAL)
 
 
 def is_copyright_block(c: Text) -> Column:
     """P22."""
-    t = line(c).st
-    low = F.lower(t)
-    return (F.length(t) <= 600) & _any(
-        t.contains("©"),
+    x = line(c)
+    low = x.low_st
+    return (x.n <= 600) & _any(
+        x.st.contains("©"),
         low.contains("all rights reserved"),
-        low.rlike(P.NOT_AFTER_WORD + P.ISBN_NUMBER),
+        low.contains("isbn") & low.rlike(P.NOT_AFTER_WORD + P.ISBN_NUMBER),
     )
 
 
 def is_distributor_boilerplate(c: Text) -> Column:
     """Download-site banner, unless it is the author's own site."""
-    t = line(c).st
-    low = F.lower(t)
+    x = line(c)
+    low = x.low_st
     own_site = _any(
         low.rlike(P.whole(P.AUTHOR_SITE)),
         low.rlike(P.whole(rf"visit{P.S}+me{P.S}+at")),
         low.rlike(P.whole(rf"author'?s{P.S}+website")),
     )
-    return (F.length(t) <= 260) & ~own_site & _any(
+    return (x.n <= 260) & _any(
         low.contains("manybooks.net"),
         low.contains("manybooks.org"),
-        t.rlike(P.FREE_EBOOK + P.NOT_BEFORE_WORD),
-    )
+        low.contains("ebook") & x.st.rlike(P.FREE_EBOOK + P.NOT_BEFORE_WORD),
+    ) & ~own_site
 
 
 def is_chapter_like(c: Text) -> Column:
@@ -466,7 +478,7 @@ def is_chapter_like(c: Text) -> Column:
     t = line(c).sq
     low = line(c).low
     after_section = r"(?!\.\d)(?! (?:of|in|on|for|that|which|the|a|an) )"
-    return (F.length(t) <= 220) & _any(
+    return (line(c).nq <= 220) & _any(
         low.rlike(P.opens("chapter|part|appendix|annex")),
         t.rlike(r"^\d{1,3}$"),
         low.rlike(P.opens(
@@ -480,8 +492,7 @@ def is_chapter_like(c: Text) -> Column:
 def is_caps_emphasis(c: Text) -> Column:
     """A shouted mid-paragraph line, not a heading."""
     x = line(c)
-    t, wc = x.sq, x.tokens
-    n = F.length(t)
+    t, wc, n = x.sq, x.tokens, x.nq
     return _all(
         n >= 6, n <= 130, wc >= 2, wc <= 14,
         count_of(t, P.LETTER) >= 4,
@@ -495,7 +506,7 @@ def is_typographic_heading(c: Text) -> Column:
     x = line(c)
     t, wc = x.sq, x.tokens
     return _all(
-        F.length(t) >= 3, F.length(t) <= 120, wc >= 1, wc <= 11,
+        x.nq >= 3, x.nq <= 120, wc >= 1, wc <= 11,
         ~(t.endswith(".") & (wc > 5)),
         ~t.endswith(","), ~t.endswith(";"),
         ~(t.contains(",") & (wc >= 6)),
@@ -507,10 +518,8 @@ def is_typographic_heading(c: Text) -> Column:
 def is_toc_spill(c: Text) -> Column:
     """Contents list merged into one extracted line."""
     x = line(c)
-    t = x.sq
-    n = F.length(t)
-    q = count_of(t, r"\?")
-    wc = x.tokens
+    n, wc = x.nq, x.tokens
+    q = x.count(r"\?", "?")
     return (n >= 60) & _any(
         q >= 3, (n >= 100) & (q >= 2) & (wc >= 35), (chapter_mentions(x) >= 2) & (wc >= 25)
     )
@@ -534,7 +543,7 @@ def supports_heading(c: Text) -> Column:
     t = x.st
     return F.coalesce(
         _all(
-            x.words <= 14, F.length(t) <= 140,
+            x.n <= 140, x.words <= 14,
             t.rlike(rf"^{P.UPPER}"), ~t.endswith("."),
         ),
         F.lit(False),
@@ -560,11 +569,11 @@ def ends_with_stub(c: Text) -> Column:
 
 def is_likely_truncated(c: Text) -> Column:
     """Odd straight quotes, an unclosed curly quote, or the fixed stub."""
-    t = line(c).st
-    return (F.length(t) >= 20) & _any(
-        ends_with_stub(c),
-        count_of(t, '"') % 2 == 1,
-        count_of(t, "“") > count_of(t, "”"),
+    x = line(c)
+    return (x.n >= 20) & _any(
+        x.low_st.contains("stop!") & ends_with_stub(c),
+        x.count('"', '"') % 2 == 1,
+        x.st.contains("“") & (count_of(x.st, "“") > count_of(x.st, "”")),
     )
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.functions import patterns as P
 from quirework.functions import text as T
 from quirework.plans.duck import LINES, q, squash
 from quirework.sources import corpus, tables
@@ -64,14 +65,25 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.col("pos")
-    style = F.when(pos < 2, pos + _CYCLE).otherwise((F.col("doc_id") * 31 + pos) % _CYCLE)
-    src = lines(spark, sf_dir).withColumns(
-        {"_w": F.split(T.squash(F.col("text")), " "), "_style": style.cast("int")}
-    )
+    """Blocks numbered inside the row that holds the document: no shuffle."""
+    docs = tables.documents(spark, sf_dir)
 
-    def pick(i: int) -> Column:
-        return F.element_at(F.array(*[F.lit(s[i]) for s in _STYLES]), F.col("_style") + 1)
+    def style_of(doc: Column, line: Column) -> Column:
+        return F.when(line < 2, line + _CYCLE).otherwise((doc * 31 + line) % _CYCLE).cast("int")
+
+    def pick(style: Column, values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), style + 1)
+
+    def parts(text: Column, line: Column) -> Column:
+        """A line's styled block and, where that does not show all words, the rest."""
+        more = T.count_of(text, P.TOKEN) > pick(style_of(F.col("doc_id"), line), [_shown(s[2]) for s in _STYLES])
+        each = lambda n: F.struct(line.alias("line"), F.lit(n).alias("part"), text.alias("text"))
+        return F.when(text == "", F.slice(F.array(each(0)), 1, 0)).when(more, F.array(each(0), each(1))).otherwise(F.array(each(0)))
+
+    rows = docs.select("doc_id", F.posexplode(F.flatten(F.transform(corpus.text_lines(F.col("text")), parts))).alias("pos", "_p"))
+    src = rows.select("doc_id", "pos", "_p.line", "_p.part", "_p.text").withColumns(
+        {"_w": F.split(T.squash(F.col("text")), " "), "_style": style_of(F.col("doc_id"), F.col("line"))})
+    rest = F.col("part") == 1
 
     def first(n: int) -> Column:
         return F.array_join(F.slice("_w", 1, n), " ")
@@ -79,25 +91,22 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = {
         "{1}": first(1), "{2}": first(2), "{3}": first(3), "{5}": first(5),
         "{U}": F.upper(F.regexp_replace(first(3), "[^A-Za-z ]", "")),
-        "{p}": pos.cast("string"),
+        "{p}": F.col("line").cast("string"),
         "{n}": (F.col("doc_id") % 3 + 1).cast("string"),
         "{t}": F.col("text"),
     }
-    filled = reduce(lambda t, m: F.replace(t, F.lit(m[0]), m[1]), marks.items(), pick(2))
-    shown = F.element_at(F.array(*[F.lit(_shown(s[2])) for s in _STYLES]), F.col("_style") + 1)
-    styled = F.struct(
-        F.lit(0).alias("part"), pick(0).alias("type"), filled.alias("text"), pick(1).alias("level"),
-        F.when(F.col("_style") == 9, "ordered").alias("list_kind"))
-    rest = F.struct(
-        F.lit(1).alias("part"), F.lit("paragraph").alias("type"),
-        F.array_join(F.slice("_w", shown + 1, F.greatest(F.size("_w"), F.lit(1))), " ").alias("text"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("list_kind"))
-    parts = F.when(shown < F.size("_w"), F.array(styled, rest)).otherwise(F.array(styled))
-    rows = src.select("doc_id", F.col("pos").alias("_line"), F.inline(parts))
-    order = Window.partitionBy("doc_id").orderBy("_line", "part")
-    return rows.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("pos"), "type", "text", "level", "list_kind",
-        F.expr("cast(_line div 4 as int) + 1").alias("source_page"),
-    )
+
+    def filled(template: str) -> Column:
+        return reduce(lambda t, m: F.replace(t, F.lit(m[0]), m[1]) if m[0] in template else t, marks.items(), F.lit(template))
+
+    style = F.col("_style")
+    shown = pick(style, [_shown(s[2]) for s in _STYLES])
+    styled = reduce(lambda c, k: c.when(style == k, filled(_STYLES[k][2])), range(1, len(_STYLES)), F.when(style == 0, filled(_STYLES[0][2])))
+    tail = F.array_join(F.slice("_w", shown + 1, F.greatest(F.size("_w"), F.lit(1))), " ")
+    return src.select(
+        "doc_id", "pos", F.when(rest, "paragraph").otherwise(pick(style, [s[0] for s in _STYLES])).alias("type"),
+        F.when(rest, tail).otherwise(styled).alias("text"), F.when(rest, 1).otherwise(pick(style, [s[1] for s in _STYLES])).alias("level"),
+        F.when((style == 9) & ~rest, "ordered").alias("list_kind"), F.expr("cast(line div 4 as int) + 1").alias("source_page"))
 
 
 def _first(n: int) -> str:

@@ -46,6 +46,11 @@ def text_blocks(
     )
 
 
+def text_lines(text: Column) -> Column:
+    """The texts of ``line_blocks`` by number, for texts without bulleted lines; a line without text is an empty string."""
+    return F.transform(F.split(T.strip(text), "\n"), T.strip)
+
+
 def line_blocks(docs: DataFrame) -> DataFrame:
     """S1 with every line as its own block."""
     return text_blocks(docs, sep="\n")
