@@ -27,61 +27,62 @@ def job_metrics(jobs: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
-                      width: float = 0.01) -> DataFrame:
-    """Exact percentiles by linear interpolation, without sorting a key in one task.
+#: Relative rank error of the sketches that bracket a percentile, and the ranks on each side that a bracket takes in (of all).
+_SKETCH, _MARGIN = 10_000, 1e-3
 
-    Counts per narrow value bucket locate the bucket of each needed rank; only the
-    distinct values of those buckets are then ordered.
+
+def _brackets(value: Column, probs: list[float]) -> list[Column]:
+    """Aggregates of one pass: how many values, and two values around each percentile from a mergeable sketch."""
+    marks = [m for p in probs for m in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+    return [F.count(value).alias("_n"), F.percentile_approx(value, marks, _SKETCH).alias("_marks")]
+
+
+def _selected(rows: DataFrame, heads: DataFrame, key: str, value: Column, probs: list[float]) -> DataFrame:
+    """(key, p, value): the exact percentiles, given ``_brackets`` per key.
+
+    What lies below a bracket is one count, formed where the rows are; inside, a few thousandths of the
+    rows, equal values are counted and ordered. A key with so few values that a bracket is no two ranks wide is ordered whole.
     """
-    vals = df.select(key, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
-    by_bucket = Window.partitionBy(key).orderBy("_b")
-    counts = vals.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumns({
-        "_upto": F.sum("_c").over(by_bucket),
-        "_n": F.sum("_c").over(Window.partitionBy(key)),
-    })
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    spots = counts.select(key, "_b", "_c", "_upto", "_n", ps)
+    few = F.col("_n") * _MARGIN < 2
+    at = lambda i: F.when(~few, F.get("_marks", F.lit(i)))
+    spans = F.array(*[F.struct(F.lit(float(p)).alias("p"), at(2 * i).alias("lo"), at(2 * i + 1).alias("hi")) for i, p in enumerate(probs)])
+    met = rows.select(key, value.alias("_v")).filter("_v IS NOT NULL").join(heads.select(key, "_n", spans.alias("_s")), key)
+    met = met.select(key, "_n", "_v", F.explode("_s").alias("_s")).filter(F.col("_s.hi").isNull() | (F.col("_v") <= F.col("_s.hi")))
+    inside = F.col("_s.lo").isNull() | (F.col("_v") >= F.col("_s.lo"))
+    counts = met.groupBy(key, F.col("_s.p").alias("p"), "_n", F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(key, "p").orderBy(F.asc_nulls_first("_v")))
     place = (F.col("_n") - 1) * F.col("p")
-    spots = spots.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
-    before = F.col("_upto") - F.col("_c")
-    wanted = spots.filter((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))).select(
-        key, "_b", "p", "_rank", "_n", before.alias("_before")
-    )
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_v")
-    ordered = (
-        vals.join(wanted.select(key, "_b").distinct(), [key, "_b"], "left_semi")
-        .groupBy(key, "_b", "_v").agg(F.count(F.lit(1)).alias("_k"))
-        .withColumn("_upto", F.sum("_k").over(in_bucket))
-    )
-    at = F.col("_rank") - F.col("_before")
-    hits = wanted.join(ordered, [key, "_b"]).filter(
-        (F.col("_upto") - F.col("_k") <= at) & (at < F.col("_upto"))
-    )
-    frac = (F.first("_n") - 1) * F.col("p") - F.min("_rank")
-    lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    return hits.groupBy(key, "p").agg((lo + (hi - lo) * frac).alias("value"))
+    ranked = counts.withColumns({"_upto": upto, "_place": place})
+    held = lambda rank: F.max(F.when((F.col("_upto") - F.col("_k") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+    low, high = held(F.floor("_place")), held(F.ceil("_place"))
+    frac = F.first("_place") - F.floor(F.first("_place"))
+    return ranked.groupBy(key, "p").agg((low + (high - low) * frac).alias("value"))
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, probs: list[float]) -> DataFrame:
+    """Exact percentiles by linear interpolation in two passes, without sorting a key in one task."""
+    v = F.col(value)
+    return _selected(df, df.groupBy(key).agg(*_brackets(v, probs)), key, v, probs)
 
 
 def latency_summary(requests: DataFrame, key: str = "level") -> DataFrame:
     """A5: latency of successful requests, error rate and throughput per level."""
-    good = requests.filter(F.col("ok"))
-    marks = exact_percentiles(good, key, "elapsed_s", [0.5, 0.95, 0.99]).groupBy(key).agg(
-        *[F.max(F.when(F.col("p") == p, F.round("value", 6))).alias(n)
-          for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    )
-    wall = F.sum("elapsed_s")
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    good = F.when(F.col("ok"), F.col("elapsed_s"))
     totals = requests.groupBy(key).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("ok").alias("success"),
-        F.round(F.avg(F.when(F.col("ok"), F.col("elapsed_s"))), 6).alias("avg"),
-        F.min(F.when(F.col("ok"), F.col("elapsed_s"))).alias("min"),
-        F.max(F.when(F.col("ok"), F.col("elapsed_s"))).alias("max"),
-        wall.alias("_wall"),
+        F.round(F.avg(good), 6).alias("avg"),
+        F.min(good).alias("min"),
+        F.max(good).alias("max"),
+        F.sum("elapsed_s").alias("_wall"),
         F.count_if(~F.col("ok") & is_retryable(F.col("status"))).alias("retryable"),
+        *_brackets(good, list(probs.values())),
     )
+    marks = _selected(requests, totals, key, good, list(probs.values())).groupBy(key).agg(
+        *[F.max(F.when(F.col("p") == p, F.round("value", 6))).alias(n) for n, p in probs.items()])
     return totals.join(marks, key, "left").select(
-        key, "total", "success", "retryable", "avg", "min", "max", "p50", "p95", "p99",
+        key, "total", "success", "retryable", "avg", "min", "max", *probs,
         F.round(1 - F.col("success") / F.col("total"), 6).alias("error_rate"),
         F.when(F.col("_wall") > 0, F.round(F.col("success") / F.col("_wall"), 4)).otherwise(0.0)
         .alias("throughput"),

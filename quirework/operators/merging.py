@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from quirework.functions import text as T
 
 
+#: The longest section label.
+_LABEL_CHARS = 120
+
+
 def by_doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("pos")
 
@@ -138,15 +142,16 @@ def fold_caps_emphasis(blocks: DataFrame) -> DataFrame:
         "_same_page": F.min(same).over(in_group),
     })
     joins = F.col("_shout") & F.col("_head_opens") & F.col("_same_page")
-    return fold_runs(
-        flagged.withColumn("_joins", joins), F.col("_joins"),
-        lambda cur, nxt: F.lit(True),
-        lambda cur, nxt: F.concat_ws(" ", T.rstrip(cur), T.strip(nxt)),
-    ).select(*blocks.columns)
+    return _islands(flagged.withColumn("_start", ~F.coalesce(joins, F.lit(False))), blocks.columns, T.strip)
 
 
 def merge_shards(classified: DataFrame) -> DataFrame:
-    """Q16: translate paragraphs that are shards of one logical paragraph."""
+    """Q16: translate paragraphs that are shards of one logical paragraph.
+
+    Whether the text so far is complete, its last shard tells; a label in two or three shards (a word or more each) is
+    the one thing that only the joined text shows. So flags of neighbours settle nearly all runs of linked shards; where
+    two or three shards in a row spell a label, the run's flags, not its texts, are walked in order. Texts meet once, in their cell.
+    """
     text = F.col("text")
     body = (
         (F.col("action") == "TRANSLATE") & (F.col("type") == "paragraph") & T.has_text(text)
@@ -158,21 +163,53 @@ def merge_shards(classified: DataFrame) -> DataFrame:
         "_label": T.is_section_label(text),
         "_closed": T.sentence_complete(text),
         "_cont": T.is_continuation(text),
+        "_short": F.when(F.length(T.squash(text)) <= _LABEL_CHARS, T.squash(text)),
     })
 
-    def before(c: str) -> Column:
-        return F.lag(c).over(by_doc())
+    def before(c: str, n: int = 1) -> Column:
+        return F.lag(c, n).over(by_doc())
 
-    linked = (
+    linked = F.coalesce(
         F.col("_body") & before("_body") & ~F.col("_label") & ~before("_label")
-        & (~before("_closed") | F.col("_cont"))
-    )
-    folded = fold_runs(
-        ready, linked,
-        lambda cur, nxt: ~T.is_section_label(cur) & (~T.sentence_complete(cur) | T.is_continuation(nxt)),
-        lambda cur, nxt: F.concat_ws(" ", T.rstrip(cur), T.lstrip(nxt)),
-    )
-    return folded.select(*classified.columns)
+        & (~before("_closed") | F.col("_cont")), F.lit(False))
+    ready = ready.withColumns({"_linked": linked, "_one": before("_short"), "_two": before("_short", 2)})
+    label = lambda *parts: F.coalesce(T.is_section_label(F.concat(*parts)), F.lit(False))
+    space = F.lit(" ")
+    ready = ready.withColumns({
+        "_pair": F.col("_linked") & label("_one", space, "_short"),
+        "_triple": F.col("_linked") & before("_linked") & label("_two", space, "_one", space, "_short"),
+    }).withColumn("_run", F.sum((~F.col("_linked")).cast("int")).over(by_doc()))
+    odd = F.max(F.col("_pair") | F.coalesce("_triple", F.lit(False))).over(Window.partitionBy("doc_id", "_run"))
+    cut = F.struct("pos", "_pair", F.coalesce("_triple", F.lit(False)).alias("_triple"))
+    walked = ready.withColumn("_odd", odd).filter("_odd").groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(cut)).alias("_f"))
+    zero = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).alias("n"), F.lit(False).alias("label"))
+
+    def step(acc: Column, r: Column) -> Column:
+        n = F.when(acc["label"], 1).otherwise(acc["n"] + 1)
+        starts = F.when(acc["label"], F.concat(acc["starts"], F.array(r["pos"].cast("bigint")))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), n.alias("n"), (((n == 2) & r["_pair"]) | ((n == 3) & r["_triple"])).alias("label"))
+
+    starts = walked.select("doc_id", F.aggregate("_f", zero, step, lambda a: a["starts"]).alias("s"))
+    starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("_starts"))
+    placed = ready.join(starts, "doc_id", "left")
+    start = ~F.col("_linked") | F.coalesce(F.array_contains("_starts", F.col("pos").cast("bigint")), F.lit(False))
+    return _islands(placed.withColumn("_start", start), classified.columns, lambda t: t)
+
+
+def _islands(rows: DataFrame, columns: list[str], piece: Callable[[Column], Column]) -> DataFrame:
+    """Each row with ``_start`` and those up to the next one as one row: the first one's columns, texts joined by a space.
+
+    ``piece`` makes the texts that follow the first ready to be joined; the first one loses its white space at the end.
+    """
+    numbered = rows.withColumn("_island", F.sum(F.col("_start").cast("int")).over(by_doc()))
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
+    joined = numbered.groupBy("doc_id", "_island").agg(
+        F.min_by(F.struct(*rest, F.col("text").alias("_head")), "pos").alias("_first"), F.count(F.lit(1)).alias("_n"), texts.alias("_texts"))
+    tail = F.transform(F.slice("_texts", F.lit(2), F.col("_n").cast("int") - 1), piece)
+    text = F.when(F.col("_n") == 1, F.col("_first._head")).otherwise(
+        F.concat_ws(" ", T.rstrip(F.col("_first._head")), F.array_join(tail, " ")))
+    return joined.withColumn("text", text).select("doc_id", "_first.*", "text").select(*columns)
 
 
 def drop_consecutive_duplicates(blocks: DataFrame) -> DataFrame:

@@ -74,19 +74,33 @@ def line_measures(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Beyond this, coordinates share the outermost cells of a grid.
+_EDGE = 1e15
+
+
 def outside_tables(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Drop lines whose centre lies in a table box of their page."""
-    b = boxes.select(
-        F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page"),
-        F.col("x0").alias("bx0"), F.col("y0").alias("by0"),
-        F.col("x1").alias("bx1"), F.col("y1").alias("by1"),
-    )
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = (
-        (F.col("doc_id") == F.col("b_doc")) & (F.col("page") == F.col("b_page"))
-        & cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1"))
-    )
-    return lines.join(b, inside, "left_anti")
+    """Drop lines whose centre lies in a table box of their page; a line is known by doc_id, page and line_no.
+
+    A box lies in the at most four cells that it touches of the grid whose cells are as wide as its longer side (a power
+    of two); a line asks one cell of each width that its page's boxes use. So a page with many lines and many boxes is no product of both.
+    """
+    key, cell = ["doc_id", "page"], ["doc_id", "page", "_level", "_x", "_y"]
+    tame = lambda c: F.greatest(F.lit(-_EDGE), F.least(F.lit(_EDGE), c))
+    place = lambda c, level: F.floor(tame(c) / F.pow(F.lit(2.0), level)).cast("long")
+    b = boxes.filter("x0 <= x1 AND y0 <= y1").select(
+        *key, *[F.col(c).cast("double").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = F.greatest(tame(F.col("bx1")) - tame(F.col("bx0")), tame(F.col("by1")) - tame(F.col("by0")), F.lit(1.0))
+    b = b.withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    b = b.withColumn("_x", F.explode(F.sequence(place(F.col("bx0"), F.col("_level")), place(F.col("bx1"), F.col("_level")))))
+    b = b.withColumn("_y", F.explode(F.sequence(place(F.col("by0"), F.col("_level")), place(F.col("by1"), F.col("_level")))))
+    widths = b.groupBy(*key).agg(F.collect_set("_level").alias("_levels"))
+    cx, cy = ((F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in "xy")
+    centres = lines.select(*key, "line_no", cx.alias("_cx"), cy.alias("_cy")).filter("_cx IS NOT NULL AND _cy IS NOT NULL")
+    asked = centres.join(widths, key).withColumn("_level", F.explode("_levels")).withColumns(
+        {"_x": place(F.col("_cx"), F.col("_level")), "_y": place(F.col("_cy"), F.col("_level"))})
+    met = asked.join(b.select(*cell, "bx0", "by0", "bx1", "by1"), cell)
+    hit = met.filter("_cx BETWEEN bx0 AND bx1 AND _cy BETWEEN by0 AND by1").select(*key, "line_no").distinct()
+    return lines.join(hit, [*key, "line_no"], "left_anti").select(*lines.columns)
 
 
 def line_runs(measured: DataFrame) -> DataFrame:

@@ -216,3 +216,15 @@ def test_constraint_rows(spark):
     rep = Q.constraint_report([Q.unique_violations("p", p, ["code"]), Q.check_violations("p", p, "n", F.col("n") >= 0),
                                Q.null_violations("p", p, "code"), Q.orphan_violations("p", p, "n", p, "id")])
     assert [r.violations for r in rep.collect()] == [1, 1, 1, 2]
+
+
+def test_percentiles_of_many_skewed_values(spark):
+    """Brackets by sketch, exact values inside: ties, heavy tails and a key with few rows."""
+    rows = spark.range(60_000).select(
+        (F.col("id") % 2).cast("int").alias("k"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pow(F.lit(1.0003), F.col("id") * 37 % 59_999)).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(5, 1.0), (5, 4.0), (5, None)], "k int, v double")).cache()
+    probs = [0.0, 0.25, 0.3333, 0.5, 0.95, 0.999, 1.0]
+    got = {(r.k, r.p): r.value for r in J.exact_percentiles(rows, "k", "v", probs).collect()}
+    frame = rows.toPandas().dropna()
+    want = {(k, p): float(g.quantile(p)) for k, g in frame.groupby("k")["v"] for p in probs}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 1e-9 * max(1.0, abs(want[x])) for x in want)
