@@ -17,7 +17,7 @@ from quirework.plans import derived, duck
 from quirework.plans import rules_sql as R
 from quirework.plans.registry import query
 from quirework.plans.structure_queries import classified_regions
-from quirework.sources import files, pages, tables
+from quirework.sources import corpus, files, pages, tables
 
 _STAMP = "2024-02-01"
 
@@ -360,3 +360,52 @@ def plan_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = PL.pack_by_tokens(PL.segments(items), _SMALL)
     back = files.read_manifests(files.plan_manifests(items, packed))
     return back.select("doc_id", "version", *[F.to_json(c).alias(c) for c in ("segments", "batches", "items")])
+
+
+@query(
+    "S8 N3",
+    f"""WITH {duck.LINES}
+    SELECT '/out/doc.' || doc_id || '.structure.json' AS path, any_value(text) FILTER (pos = 0) AS title, count(*) FILTER (pos > 0) AS nodes,
+      sha256(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (pos > 0), '')) AS content_sha256
+    FROM lines GROUP BY doc_id""",
+)
+def document_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as a structured document, its first line the title, written as JSON and read back."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = derived.lines(spark, sf_dir).select(
+        "doc_id", F.when(F.col("pos") == 0, "title").otherwise("content").alias("part"), "pos", F.lit("paragraph").alias("type"), none("int").alias("level"),
+        "text", F.lit("body").alias("content_tag"), none("string").alias("kind"), F.lit(False).alias("is_quote"), none("boolean").alias("ordered"),
+        none("array<string>").alias("items"), none("array<array<string>>").alias("rows"))
+    docs = A.structured_documents(rows)
+    named = docs.withColumn("path", F.concat(F.lit("/out/doc."), F.col("doc_id").cast("string"), F.lit(".docx")))
+    back = files.structured_sidecars(named).select("path", F.from_json("document", docs.schema).alias("d"))
+    texts = F.transform("d.content", lambda n: n["text"])
+    return back.select("path", "d.title", F.size("d.content").cast("long").alias("nodes"), F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("content_sha256"))
+
+
+@query(
+    "N6",
+    f"""WITH {duck.LINES}, m AS (SELECT doc_id, list(text ORDER BY pos) AS l FROM lines GROUP BY doc_id)
+    SELECT doc_id, doc_id % 4 = 0 AS use_chapters, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS chapters,
+      CASE doc_id % 4 WHEN 1 THEN array_to_string(list_transform(l, lambda x: 'paragraph|' || x), chr(10))
+        WHEN 2 THEN concat_ws(chr(10), 'heading|2|' || l[1], nullif(array_to_string(list_transform(l[2:], lambda x: 'paragraph|' || x), chr(10)), ''), 'list|' || l[1] || '|true')
+        ELSE '' END AS blocks FROM m""",
+)
+def template_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which view a template gets: chapters with content, blocks, flat fields, or nothing, by the document's number."""
+    k, none = F.col("doc_id") % 4, F.lit(None)
+    docs = tables.documents(spark, sf_dir).select("doc_id", F.filter(corpus.text_lines(F.col("text")), lambda t: t != "").alias("l")).filter(F.size("l") > 0)
+    head, rest = F.slice("l", 1, 1), F.slice("l", F.lit(2), F.size("l"))
+    listed = "array<struct<items:array<string>,ordered:boolean>>"
+    chapter = lambda h, p: F.struct(h.alias("headings"), p.alias("paragraphs"), F.array().cast(listed).alias("lists"))
+    bare = chapter(F.slice("l", 1, 0), F.slice("l", 1, 0))
+    block = lambda t: F.struct(
+        F.lit("paragraph").alias("type"), t.alias("text"), none.cast("int").alias("level"), none.cast("array<string>").alias("items"), none.cast("boolean").alias("ordered"))
+    models = docs.select(
+        "doc_id", F.when(k == 0, F.array(chapter(head, rest), bare)).when(k == 1, F.array(bare)).alias("chapters"),
+        F.when(k == 1, F.transform("l", block)).alias("blocks"),
+        F.when(k == 2, F.transform(head, lambda t: F.struct(t.alias("text"), none.cast("int").alias("level")))).alias("headings"),
+        F.when(k == 2, rest).alias("paragraphs"), F.when(k == 2, F.array(F.struct(head.alias("items"), F.lit(True).alias("ordered")))).alias("lists"))
+    shown = F.transform("blocks", lambda b: F.concat_ws("|", b["type"], b["level"].cast("string"), b["text"], F.array_join(b["items"], ","), b["ordered"].cast("string")))
+    return A.template_view(models).select(
+        "doc_id", "use_chapters", F.when(F.col("chapters").isNull(), 0).otherwise(F.size("chapters")).alias("chapters"), F.array_join(shown, "\n").alias("blocks"))

@@ -322,7 +322,7 @@ def rolling_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A15",
     """WITH o AS (SELECT DISTINCT l_orderkey AS job_id, l_linenumber AS batch_id,
-        CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'ok' END AS outcome FROM lineitem WHERE l_linestatus = 'F'),
+        CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'ok' END AS outcome FROM lineitem),
     a AS (SELECT job_id, count(*) FILTER (outcome = 'ok') AS done, count(*) FILTER (outcome = 'failed') AS failed FROM o GROUP BY 1),
     t AS (SELECT o_orderkey AS job_id, o_orderkey % 7 AS total FROM orders),
     j AS (SELECT job_id, total, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed FROM t LEFT JOIN a USING (job_id))
@@ -331,7 +331,7 @@ def rolling_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
       least(88, greatest(23, floor(done * 66 / greatest(total, 1)) + 22))::INTEGER AS progress_inline FROM j""",
 )
 def chunk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tables.table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "F")
+    li = tables.table(spark, sf_dir, "lineitem")
     outcomes = li.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("batch_id"),
                          F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok").alias("outcome"))
     totals = tables.table(spark, sf_dir, "orders").select(
@@ -446,9 +446,9 @@ def live_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J11",
-    f"""WITH {PROGRESS}, jobs AS (SELECT DISTINCT job_id AS id, ['completed', 'failed', 'processing', 'pending'][length(job_id) % 4 + 1] AS status
-        FROM progress WHERE event_id % 3 <> 1),
-    l AS (SELECT job_id AS id, arg_max(pct, (ts, event_id)) AS pct, arg_max(stage, (ts, event_id)) AS stage FROM progress WHERE event_id % 2 = 0 GROUP BY 1)
+    f"""WITH {PROGRESS}, ids AS (SELECT job_id AS id FROM progress UNION SELECT 'order-' || o_orderkey FROM orders),
+    jobs AS (SELECT id, ['completed', 'failed', 'processing', 'pending'][ascii(right(id, 1)) % 4 + 1] AS status FROM ids),
+    l AS (SELECT job_id AS id, arg_max(pct, (ts, event_id)) AS pct, arg_max(stage, (ts, event_id)) AS stage FROM progress GROUP BY 1)
     SELECT id, status, greatest(0, least(100, CASE status WHEN 'completed' THEN 100 WHEN 'failed' THEN 0
         WHEN 'processing' THEN coalesce(pct, 12) ELSE 10 END)) AS progress_percent,
       CASE status WHEN 'processing' THEN coalesce(stage, 'preparing') WHEN 'pending' THEN 'queued' END AS current_stage
@@ -457,10 +457,12 @@ def live_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.progress(spark, sf_dir)
     names = F.array(*[F.lit(s) for s in ("completed", "failed", "processing", "pending")])
-    jobs = p.filter(F.col("event_id") % 3 != 1).select(F.col("job_id").alias("id")).distinct().select(
-        "id", F.element_at(names, (F.length("id") % 4 + 1).cast("int")).alias("status"), F.lit(0).alias("tokens_used")
+    # Orders are jobs without progress.
+    orders = tables.table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"))
+    jobs = p.select(F.col("job_id").alias("id")).union(orders).distinct().select(
+        "id", F.element_at(names, (F.ascii(F.right("id", F.lit(1))) % 4 + 1).cast("int")).alias("status"), F.lit(0).alias("tokens_used")
     )
-    return J.job_details(jobs, p.filter(F.col("event_id") % 2 == 0)).drop("word_count")
+    return J.job_details(jobs, p).drop("word_count")
 
 
 @query(
@@ -667,7 +669,30 @@ def verify_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RF.verify_only_rewards(_attributions(spark, sf_dir), _reward_events(spark, sf_dir), cfg)
 
 
-@query("B11")
+@query(
+    "B11",
+    f"""WITH RECURSIVE {ATTRIBUTIONS}, {REWARD_EVENTS},
+    firsts AS (SELECT referee_id, min(at_) AS verified_at, min(at_) FILTER (kind = 'payment') AS paid_at FROM re GROUP BY 1),
+    rows_ AS (SELECT a.referrer_user_id AS referrer_id, a.referee_user_id AS referee_id, verified_at, paid_at
+              FROM attributions a LEFT JOIN firsts f ON f.referee_id = a.referee_user_id),
+    started AS (SELECT * FROM rows_ WHERE verified_at IS NOT NULL
+                QUALIFY row_number() OVER (PARTITION BY referrer_id ORDER BY verified_at, referee_id) <= {DEFAULTS.max_rewarded_referrals}),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY referrer_id ORDER BY at_, referee_id, target) AS step FROM (
+        SELECT referrer_id, referee_id, verified_at AS at_, {DEFAULTS.verify_reward_words} AS target FROM started
+        UNION ALL SELECT referrer_id, referee_id, paid_at, {DEFAULTS.verify_reward_words + DEFAULTS.payment_reward_words} FROM started WHERE paid_at IS NOT NULL)),
+    -- one event after the other; each referee's words so far in a map
+    walk AS (
+      SELECT DISTINCT referrer_id, 0::BIGINT AS step, 0::BIGINT AS earned, MAP {{-1::BIGINT: 0::BIGINT}} AS per FROM steps
+      UNION ALL
+      SELECT referrer_id, step, earned + w, map_concat(per, MAP {{referee_id: had + w}}) FROM (
+        SELECT s.referrer_id, s.step, s.referee_id, earned, per, coalesce(per[s.referee_id], 0) AS had,
+               greatest(0, least(target - coalesce(per[s.referee_id], 0), 50000 - earned))::BIGINT AS w
+        FROM walk w JOIN steps s ON s.referrer_id = w.referrer_id AND s.step = w.step + 1)),
+    last AS (SELECT referrer_id, per FROM walk QUALIFY row_number() OVER (PARTITION BY referrer_id ORDER BY step DESC) = 1)
+    SELECT r.referrer_id, r.referee_id, CASE WHEN paid_at IS NOT NULL THEN 'completed' WHEN verified_at IS NOT NULL THEN 'verified' ELSE 'pending' END AS status,
+           coalesce(per[r.referee_id], 0)::BIGINT AS words
+    FROM rows_ r LEFT JOIN last l USING (referrer_id)""",
+)
 def referrer_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = Settings(max_words_per_referrer=50_000)
     return RF.reward_events(_attributions(spark, sf_dir), _reward_events(spark, sf_dir), cfg)
@@ -769,12 +794,39 @@ def failed_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PY.failed_payments(PY.parse_notices(tables.webhooks(spark, sf_dir)))
 
 
-@query("B6 B14")
+@query(
+    "B6 B14",
+    f"""WITH RECURSIVE {PROFILES}, {NOTICES},
+    once AS (SELECT unnest(arg_min(n, (received_at, event_id))) FROM notices n GROUP BY dedup_key),
+    changes AS (SELECT p.id AS user_id, action, floor(epoch(received_at))::BIGINT AS at_, period_end AS pe, period_start AS ps,
+        row_number() OVER (PARTITION BY p.id ORDER BY received_at, event_id) AS step
+      FROM once JOIN profiles p USING (subscription_id) WHERE action IN ('activate', 'deactivate')),
+    -- one change after the other, each on what the one before left
+    states AS (
+      SELECT id AS user_id, 0::BIGINT AS step, plan, free_credits, false AS active, epoch(subscription_contract_end)::BIGINT AS contract,
+             epoch(subscription_expiry)::BIGINT AS expiry, epoch(subscription_period_start)::BIGINT AS start
+      FROM profiles WHERE id IN (SELECT user_id FROM changes)
+      UNION ALL
+      SELECT s.user_id, c.step,
+        CASE WHEN action <> 'activate' THEN CASE WHEN free_credits <= 0 THEN 'payg' ELSE 'free' END WHEN plan = 'yearly' THEN 'yearly' ELSE 'monthly' END,
+        free_credits, action = 'activate',
+        CASE WHEN action = 'activate' AND plan = 'yearly' THEN greatest(contract, coalesce(pe, at_ + 365 * 86400)) END,
+        CASE WHEN action <> 'activate' THEN expiry WHEN plan = 'yearly' THEN greatest(expiry, contract, coalesce(pe, at_ + 365 * 86400))
+             WHEN pe IS NULL THEN at_ + 30 * 86400 ELSE greatest(expiry, pe) END,
+        CASE WHEN action <> 'activate' THEN start WHEN plan = 'yearly' THEN coalesce(ps, at_) ELSE coalesce(ps, start, at_) END
+      FROM states s JOIN changes c ON c.user_id = s.user_id AND c.step = s.step + 1)
+    SELECT user_id, active AS subscription_active, plan, CASE WHEN active THEN 2000000 ELSE 0 END::INTEGER AS subscription_credits,
+      contract AS subscription_contract_end, expiry AS subscription_expiry, start AS subscription_period_start
+    FROM states WHERE step > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) = 1""",
+)
 def subscription_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times are seconds since the epoch."""
     p = tables.profiles(spark, sf_dir)
     r = PY.first_deliveries(PY.route(PY.parse_notices(tables.webhooks(spark, sf_dir))))
     changes = PY.with_profile(r.filter(F.col("action").isin("activate", "deactivate")), p)
-    return PY.subscription_states(changes, p)
+    out = PY.subscription_states(changes, p)
+    times = ("subscription_contract_end", "subscription_expiry", "subscription_period_start")
+    return out.withColumns({c: F.unix_seconds(c) for c in times})
 
 
 # --- data quality ------------------------------------------------------------

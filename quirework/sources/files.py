@@ -103,6 +103,13 @@ def read_manifests(manifests: DataFrame) -> DataFrame:
     return parsed.withColumn("m", checked).select("doc_id", "m.*")
 
 
+def structured_sidecars(docs: DataFrame, source: str = "path") -> DataFrame:
+    """(path, document): each structured document as JSON beside its source file, as ``stem.structure.json``."""
+    fields = [c for c in docs.columns if c != source]
+    stem = F.regexp_replace(source, r"\.[^./\\]*$", "")
+    return docs.select(F.concat(stem, F.lit(".structure.json")).alias("path"), F.to_json(F.struct(*fields)).alias("document"))
+
+
 def write_structured(docs: DataFrame, path: str) -> None:
     """Structured documents as JSON, a folder per document kind."""
     docs.write.mode("overwrite").partitionBy("document_type").json(path)
