@@ -103,21 +103,23 @@ def _need(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
 
 
-def _neighbours(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs along each list, in the order of set size and in that of the n-gram's place in the sets.
+def _neighbours(posts: DataFrame, num: int, den: int, orders: list[list]) -> DataFrame:
+    """Candidate pairs along each list in each of the ``orders``; with a column comp, only those of different components.
 
     A list is cut into ``_BLOCKS`` parts by the row's hash, and the first rows of the parts make a
     list again, so that no task gets a whole list of a common n-gram.
     """
-    row = F.struct("rep", "n", "at")
+    named = "comp" in posts.columns
+    row = F.struct("rep", "n", "at", *(["comp"] if named else []))
     dealt = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(_BLOCKS)))
     found = []
-    for order in (["n", "rep"], [F.col("at") / F.col("n"), "n", "rep"]):
+    for order in orders:
         near, heads = Window.partitionBy("key", "block").orderBy(*order), Window.partitionBy("key").orderBy(*order)
         marked = dealt.withColumns({"before": F.lag(row).over(near), "k": F.row_number().over(near)})
         tops = marked.filter("k = 1").withColumn("before", F.lag(row).over(heads))
         found += [marked.filter("k > 1"), tops.filter("before IS NOT NULL")]
-    pairs = reduce(DataFrame.unionByName, found).select(
+    met = reduce(DataFrame.unionByName, found)
+    pairs = (met.filter("comp <> before.comp") if named else met).select(
         F.least("rep", "before.rep").alias("a"), F.greatest("rep", "before.rep").alias("b"),
         F.col("n").alias("na"), F.col("before.n").alias("nb"),
         (F.least(F.col("n") - F.col("at"), F.col("before.n") - F.col("before.at"))).alias("room"))
@@ -126,6 +128,13 @@ def _neighbours(posts: DataFrame, num: int, den: int) -> DataFrame:
     return kept.select("a", "b").distinct()
 
 
+def _mixed(posts: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``posts`` with the row's component as comp, and (key, rows) of the lists that have rows of several components."""
+    named = posts.join(comps, posts.rep == comps.node).drop("node").withColumnRenamed("component", "comp")
+    lists = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return named, lists.select("key", "rows")
+
+
 def _across(num: int, den: int):
     def pairs(table: pa.Table) -> pa.Table:
         """Pairs of a list's rows in different components that pass all filters."""
@@ -165,8 +174,7 @@ def _crossing(posts: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den
 
     Lists within one component have none. A longer list is dealt out as pairs of its blocks.
     """
-    named = posts.join(comps, posts.rep == comps.node).drop("node").withColumnRenamed("component", "comp")
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    named, mixed = _mixed(posts, comps)
     blocks = F.ceil(F.col("rows") / _LIST_ROWS).cast("int")
     rows = named.join(mixed.select("key", blocks.alias("blocks")), "key")
     rows = rows.join(sets.select("rep", "cells"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -310,9 +318,15 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100)
     sets = with_prefix.join(reps, "_row", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n", "prefix", "at", "cells", "grams")
     posts = sets.select("rep", "n", F.inline(F.arrays_zip(F.col("prefix").alias("key"), F.col("at").alias("at"))))
 
-    first = reliable(_verified(_neighbours(posts, num, den), sets, num, den))
+    by_size, by_place = ["n", "rep"], [F.col("at") / F.col("n"), "n", "rep"]
+    first = reliable(_verified(_neighbours(posts, num, den, [by_size, by_place]), sets, num, den))
     nodes = sets.select(F.col("rep").alias("node")).distinct()
     joined = reliable(components(nodes, first))
+    # Components that similar sets still hold apart meet once more in orders drawn by hash, so that few candidates are left across them.
+    named, lists = _mixed(posts, joined)
+    drawn = [[F.xxhash64("rep", F.lit(seed))] for seed in (1, 2)]
+    again = _verified(_neighbours(named.join(lists.select("key"), "key"), num, den, drawn), sets, num, den)
+    joined = _merged(joined.withColumnRenamed("node", "rep"), again.select("a", "b")).withColumnRenamed("rep", "node")
     buckets = max(1, posts.count() // 20_000)
     second = reliable(_verified(_crossing(posts, joined, sets, num, den, buckets), sets, num, den))
 
