@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from quirework.llm.keycount import pack, unpack
 from quirework.llm.shared import partitions, reliable
 from quirework.llm.words import mix
 
-#: Groups that a worker remembers, and the most ids of one.
+#: Groups and stretches that a worker remembers, and the most ids or characters of one.
 _KEEP, _LONG = 200_000, 64
+#: Spaces and what follows them.
+_STRETCH = re.compile(r" +[^ ]*")
 #: Pairs that a bucket is meant to sum.
 _BUCKET_PAIRS = 1 << 21
 
@@ -80,6 +83,11 @@ class Pair:
         ranks = as_ranks(json.loads(byte_level))
         self.ranked = ranks and tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        # Where no piece goes on with a space after another character, and spaces are kept as they are, what lies between
+        # such places is encoded by itself.
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.apart = all("▁" not in n.lstrip("▁") for n in names) and "".join(self.b.encode("  a  b ", out_type=str)) == "▁▁▁a▁▁b▁"
+        self.known: dict[str, list[int]] = {"": [self.b.piece_to_id("▁")]}
         letters, vocab = byte_letters(), self.whole.get_vocab(True)
         self.bytes_a = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
@@ -100,6 +108,24 @@ class Pair:
     def ids_a(self, text: str) -> list[int]:
         return self.ranked.encode_ordinary(text) if self.ranked else self.whole.encode(text, add_special_tokens=False).ids
 
+    def ids_b(self, text: str) -> list[int]:
+        """Ids of the piece model; stretches of spaces and what follows them are encoded once each, their first space being the one that the model adds."""
+        if not self.apart:
+            return self.b.encode(text)
+        out: list[int] = []
+        known = self.known
+        for stretch in _STRETCH.findall(" " + text):
+            ids = known.get(stretch[1:])
+            if ids is None:
+                ids = self.b.encode(stretch[1:])
+                if len(stretch) <= _LONG:
+                    if len(known) >= _KEEP:
+                        known.clear()
+                        known[""] = [self.b.piece_to_id("▁")]
+                    known[stretch[1:]] = ids
+            out += ids
+        return out
+
     def linked(self, a: list[int], b: list[int]) -> list[int]:
         """Pair keys of the tokens of one group whose byte ranges overlap."""
         out, n, i, j, end_a, end_b = [], len(self.bytes_b), 0, 0, 0, 0
@@ -143,13 +169,12 @@ class Pair:
 
     def both(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of space+text by the first and of the text by the second; none where the bytes differ."""
-        seen = [t or "" for t in texts]
-        for text, b in zip(seen, self.b.encode(seen, num_threads=1), strict=True):
+        for text in texts:
             if not text:
                 yield [], []
                 continue
             whole = " " + text
-            a, want = self.ids_a(whole), whole.encode()
+            a, b, want = self.ids_a(whole), self.ids_b(text), whole.encode()
             same = b"".join(map(self.bytes_b.__getitem__, b)) == want and b"".join(map(self.bytes_a.__getitem__, a)) == want
             yield (a, b) if same else ([], [])
 
