@@ -78,6 +78,7 @@ class Pair:
         self.whole = Tokenizer.from_str(byte_level)
         self.whole.encode_special_tokens = True
         ranks = as_ranks(json.loads(byte_level))
+        self.lossless = bool(ranks) and all(bytes([x]) in ranks for x in range(256))
         self.ranked = ranks and tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         letters, vocab = byte_letters(), self.whole.get_vocab(True)
@@ -97,8 +98,9 @@ class Pair:
             return b""
         return self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def ids_a(self, text: str) -> list[int]:
-        return self.ranked.encode_ordinary(text) if self.ranked else self.whole.encode(text, add_special_tokens=False).ids
+    def ids_a(self, text: str) -> np.ndarray:
+        ids = self.ranked.encode_to_numpy(text) if self.ranked else self.whole.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, dtype=np.int64)
 
     def linked(self, a: list[int], b: list[int]) -> list[int]:
         """Pair keys of the tokens of one group whose byte ranges overlap."""
@@ -124,34 +126,39 @@ class Pair:
                 self.groups[key] = found
         return found
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
+    def align(self, a: np.ndarray, b: list[int]) -> tuple[list[str], np.ndarray]:
         """The groups as text and the pair keys of all links."""
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        at_a = dict(zip(np.cumsum(self.size_a[ids_a]).tolist(), range(1, len(a) + 1)))
+        ids_b = np.array(b, dtype=np.int64)
+        at_a = dict(zip(np.cumsum(self.size_a[a]).tolist(), range(1, len(a) + 1)))
         at_b = dict(zip(np.cumsum(self.size_b[ids_b]).tolist(), range(1, len(b) + 1)))
-        shared = sorted(at_a.keys() & at_b.keys())
-        cuts_a, cuts_b = (np.array([0, *map(at.__getitem__, shared)], dtype=np.int64) for at in (at_a, at_b))
+        # Both dictionaries hold their ends in rising order: so does what is in both.
+        shared = [end for end in at_b if end in at_a]
+        upto_a, upto_b = [0, *map(at_a.__getitem__, shared)], [0, *map(at_b.__getitem__, shared)]
+        cuts_a, cuts_b = np.array(upto_a, dtype=np.int64), np.array(upto_b, dtype=np.int64)
         # Groups of one token each are most of them: their one link is their pair.
         one = (np.diff(cuts_a) == 1) & (np.diff(cuts_b) == 1)
-        pairs = np.where(one, ids_a[cuts_a[:-1]] * len(self.bytes_b) + ids_b[cuts_b[:-1]], -1) if shared else np.zeros(0, np.int64)
+        pairs = np.where(one, a[cuts_a[:-1]] * len(self.bytes_b) + ids_b[cuts_b[:-1]], -1) if shared else np.zeros(0, np.int64)
         texts = list(map(self.ones.__getitem__, pairs.tolist()))
         links: list[int] = []
         for g in np.flatnonzero(~one).tolist():
-            texts[g], more = self.group(a[cuts_a[g]:cuts_a[g + 1]], b[cuts_b[g]:cuts_b[g + 1]])
+            texts[g], more = self.group(a[upto_a[g]:upto_a[g + 1]].tolist(), b[upto_b[g]:upto_b[g + 1]])
             links += more
         return texts, np.concatenate([pairs[one], np.array(links, dtype=np.int64)])
 
-    def both(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
+    def both(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
         """Ids of space+text by the first and of the text by the second; none where the bytes differ."""
-        seen = [t or "" for t in texts]
+        seen, none = [t or "" for t in texts], np.zeros(0, np.int64)
         for text, b in zip(seen, self.b.encode(seen, num_threads=1), strict=True):
             if not text:
-                yield [], []
+                yield none, []
                 continue
             whole = " " + text
             a, want = self.ids_a(whole), whole.encode()
-            same = b"".join(map(self.bytes_b.__getitem__, b)) == want and b"".join(map(self.bytes_a.__getitem__, a)) == want
-            yield (a, b) if same else ([], [])
+            same = b"".join(map(self.bytes_b.__getitem__, b)) == want
+            # Ranks that hold all single bytes give every text back.
+            if same and not self.lossless:
+                same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want
+            yield (a, b) if same else (none, [])
 
 
 class Files:
@@ -175,8 +182,8 @@ def _aligner(files, chunk_bytes: int, texts_too: bool):
         pair, first = files.value.pair(), TaskContext.get().partitionId() << 32
         chunk, held = 0, 0
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                rows = batch.slice(start, 64)
+            for start in range(0, len(batch), 8):
+                rows = batch.slice(start, 8)
                 texts, out = rows.column("text").to_pylist(), []
                 for doc, text, (a, b) in zip(rows.column("doc_id").to_pylist(), texts, pair.both(texts), strict=True):
                     if held >= chunk_bytes:
