@@ -161,6 +161,16 @@ def test_part_inventory_equals_greedy_scan(spark):
     assert got == want and want
 
 
+def test_part_inventory_is_of_rows_not_of_positions(blocks):
+    """A table far behind the last line ends an inventory; only rows belong to it, whatever lies between their positions."""
+    rows = [_h("1", pos=3), _h("Part 1. The Enemies of Thought", pos=70), _p("1.1 A 1.2 B", pos=900), _p("1.3 C", pos=5_000), {"type": "table", "pos": 1_000_000}]
+    far = [{**r, "doc_id": 2} for r in rows[:-1]] + [{"type": "table", "pos": 1_000_000_000, "doc_id": 2}]
+    got = sorted((r.doc_id, r.pos) for r in CL.part_inventory(blocks(rows)).collect())
+    assert got == [(1, p) for p in (3, 70, 900, 5_000, 1_000_000)]
+    assert sorted(r.pos for r in CL.part_inventory(blocks(far)).collect()) == [3, 70, 900, 5_000, 1_000_000_000]
+    assert column(CL.classify(blocks(far).drop("action")), "action") == ["OMIT"] * 5
+
+
 def test_enrichment_roles(blocks):
     df = blocks([
         _h("My Book", structural_tag="title"), _p("A short tale of it"), _h("Chapter 3: The Experiment", 2), _p("“Quoted body."),
