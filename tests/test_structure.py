@@ -196,3 +196,10 @@ def test_refinement_never_promotes(blocks):
 def test_document_kind(blocks):
     df = blocks([_h("Chapter 1"), _h("Chapter 2"), _h("Chapter 3"), {"doc_id": 2, "text": "Solve the worksheet now"}])
     assert {r[0]: r[1] for r in S.document_kind(df).collect()} == {1: "book", 2: "educational"}
+
+
+def test_book_is_not_repeated_in_filters(spark):
+    """A filter on a book's columns does not fill the templates again, below the blocks."""
+    kept = derived.book(spark, SF_DIR).filter((F.col("type") == "paragraph") & F.col("text").startswith("A"))
+    filters = re.findall(r"Filter .*", kept._jdf.queryExecution().optimizedPlan().toString())
+    assert filters and not any("regexp_replace" in f or "split" in f for f in filters)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import clean as C
+from quirework.functions import patterns as P
 from quirework.functions import text as T
 
 CASES = [
@@ -114,3 +115,26 @@ def test_unicode_word_count_matches_python(spark):
         "text", T.word_count(F.col("text")).alias("n"), T.token_words(F.col("text")).alias("t")).collect()
     assert all(r["n"] == len(re.findall(r"\w+", r["text"])) for r in rows)
     assert all(r["t"] == len(r["text"].split()) for r in rows)
+
+
+def test_squash_and_counts_equal_their_plain_forms(spark):
+    """Squashing by uneven white space only, token counts from squashed texts and counts outside generated code."""
+    texts = ["", " ", "a", " a  b ", "a\tb", "a \t b\n", "\t a", "a b c", "a b  c", "\x1ca \x85 b", "नमस्ते  दुनिया! Ünï_9", "..a-b..", "ABC déf GHI!", "  \n "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    t = F.coalesce("t", F.lit(""))
+    plain = F.trim(F.regexp_replace(t, f"{P.S}+", " "))
+    rows, x = T.Line.prepare(df, "t")
+    counted = {p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0))) for p in (P.TOKEN, P.WORD, P.LETTER, P.UPPER)}
+    ratio = F.when(counted[P.LETTER] > 0, counted[P.UPPER] / counted[P.LETTER]).otherwise(F.lit(0.0))
+    for r in rows.select(
+            (T.squash(F.col("t")) == plain).alias("sq"), (x.tokens == counted[P.TOKEN]).alias("tok"), (T.Line(F.col("t")).tokens == counted[P.TOKEN]).alias("raw"),
+            (x.words == counted[P.WORD]).alias("words"), (T.upper_ratio(t) == ratio).alias("ratio"), (x.low_st == F.lower(x.st)).alias("low")).collect():
+        assert all(r), r
+
+
+def test_counts_stay_out_of_generated_methods(spark):
+    """A match a letter or a word each is no loop inside a stage's generated method."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("text"))
+    for c in (T.count_of(F.col("text"), P.WORD), T.upper_ratio(F.col("text"))):
+        plan = df.select(c.alias("n"))._jdf.queryExecution().executedPlan().toString()
+        assert "transform(array(" in plan
