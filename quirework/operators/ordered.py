@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "_chunk"
+_PINNED = "_pinned"
 
 
 @dataclass(frozen=True)
@@ -130,10 +131,14 @@ def pinned(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     """Add columns computed exactly once per row.
 
     A plain projection may be substituted into every later filter and expression that
-    names its columns, which multiplies costly parsing. Generated columns are not.
+    names its columns, which multiplies costly parsing. Generated columns are not. They are
+    projected before they are generated: Spark takes a generator's output to be as large as its
+    input, and a later projection, which drops some of them, for a fraction of that. Without the
+    projection a large table is soon estimated small enough to be broadcast.
     """
-    fresh = F.struct(*[v.alias(n) for n, v in cols.items()])
-    return df.select(*[c for c in df.columns if c not in cols], F.inline(F.array(fresh)))
+    fresh = F.array(F.struct(*[v.alias(n) for n, v in cols.items()]))
+    kept = [c for c in df.columns if c not in cols]
+    return df.select("*", fresh.alias(_PINNED)).select(*kept, F.inline(_PINNED))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

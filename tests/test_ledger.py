@@ -228,3 +228,13 @@ def test_percentiles_of_many_skewed_values(spark):
     frame = rows.toPandas().dropna()
     want = {(k, p): float(g.quantile(p)) for k, g in frame.groupby("k")["v"] for p in probs}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 1e-9 * max(1.0, abs(want[x])) for x in want)
+
+
+def test_pinned_columns_keep_the_size_estimate(spark):
+    """Keys of parsed notices are estimated at a fair share of the events' size, so that a large table of them is not broadcast."""
+    from quirework.operators import payments as PY
+    from quirework.sources import tables
+
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    keys = PY.parse_notices(tables.webhooks(spark, SF_DIR)).select("event_id", "received_at", "dedup_key")
+    assert size(keys) > 0.25 * size(tables.table(spark, SF_DIR, "events"))
