@@ -5,6 +5,7 @@ import json
 import random
 
 import pandas as pd
+from conftest import SF_DIR
 
 from pyspark.sql import functions as F
 
@@ -232,9 +233,8 @@ def test_percentiles_of_many_skewed_values(spark):
 
 def test_pinned_columns_keep_the_size_estimate(spark):
     """Keys of parsed notices are estimated at a fair share of the events' size, so that a large table of them is not broadcast."""
-    from quirework.operators import payments as PY
     from quirework.sources import tables
 
-    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     keys = PY.parse_notices(tables.webhooks(spark, SF_DIR)).select("event_id", "received_at", "dedup_key")
     assert size(keys) > 0.25 * size(tables.table(spark, SF_DIR, "events"))
