@@ -19,6 +19,9 @@ from quirework.llm.queries import encoded
 from quirework.llm.shared import light, partitions, shared_folder
 from quirework.plans.registry import Query
 
+#: Where the mixture's weights by source stand in the metadata of the column ``source``.
+MIXTURE = "mixture_weights"
+
 
 def _carried(docs: DataFrame, *names: str) -> DataFrame:
     """The input's columns as one struct ``row``, so that no name of theirs meets one of an operator's, and the named ones beside it."""
@@ -71,18 +74,24 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: rows in the order of the mixture, sources to the square root of their rows.
 
     Every row stays, repeated ones too; a null source is the source "", null doc_ids are ordered by their texts. An empty table gives
-    an empty one; columns pass through whatever their names.
+    an empty one; columns pass through whatever their names. The weights that the mixture was made with go on as metadata of ``source``,
+    which Parquet keeps.
     """
-    return in_mixed_order(mix_sources(_carried(docs, "doc_id", "source", "text"))).select("row.*")
+    mixed = mix_sources(_carried(docs, "doc_id", "source", "text"))
+    weights = mixed.schema["_position"].metadata["weights"]
+    out = in_mixed_order(mixed).select("row.*")
+    return out.withMetadata("source", out.schema["source"].metadata | {MIXTURE: weights})
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: token counts and digests of the ids and of what they decode to, and the row's position in the mixture.
 
-    A position follows from the rows alone, not from their order in files, so it is worked out again. Null and empty texts have
+    A position follows from the rows and the weights that the mixture handed on, not from the order in files. Rows that come from no
+    mixture are weighed as it would; a source that it did not know is an error. Null and empty texts have
     no ids, a null doc_id stays null, repeated rows have a row each. An empty table gives an empty one; other columns are ignored.
     """
-    placed = mix_sources(docs.select("doc_id", "source", "text")).withColumn("position", F.col("_position").cast("long"))
+    weights = docs.schema["source"].metadata.get(MIXTURE)
+    placed = mix_sources(docs.select("doc_id", "source", "text"), weights).withColumn("position", F.col("_position").cast("long"))
     return encoded(placed, carry=("position",))
 
 

@@ -90,6 +90,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, *, bl
     identical rows get places of their own in any order. Other columns pass through; those with one of the five names are replaced.
     An empty table gives an empty one. The driver sees one count per source; a source's rows are
     numbered in ranges of the hash, so a source with most of the rows is not one task's work.
+    The weights that were taken are the metadata of _position.
     """
     made = ("_block", "_release", "_deadline", "_slot", "_position")
     docs = docs.drop(*[c for c in docs.columns if c in made])
@@ -145,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, *, bl
     base = F.col("_start") + F.col("_turn") * F.col("_q")
     out = placed.withColumns({"_slot": base + F.col("_at"), "_release": base + F.col("_r"), "_deadline": base + F.col("_d")})
     out = out.withColumn("_position", F.col("_slot") * block_rows - gaps + F.col("_row") % block_rows)
-    return out.select("_in.*", *made)
+    taken_weights = {s: weights[s] for s in names}
+    return out.select("_in.*", *made[:-1], F.col("_position").alias("_position", metadata={"weights": taken_weights}))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quirework.llm import bpe, quality
-from quirework.llm.mixing import tempered
+from quirework.llm.mixing import mix_sources, tempered
 
 EDGE = " \t\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -129,6 +129,17 @@ def test_position_is_the_order_of_the_mixture(spark):
     assert sorted(kept, key=kept.get) == mixed(spark, {i: source[i] for i in kept})
 
 
+def test_encoding_follows_the_mixture(spark, tmp_path):
+    """The weights are decided by the mixture: rows that go afterwards don't change them, and Parquet keeps them."""
+    rows = [(i, f"text {i}", "en", "abc"[(i % 7 > 3) + (i % 7 > 5)], 6) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.mix(spark, df, SF_DIR).write.parquet(str(tmp_path / "mixed"))
+    left = spark.read.parquet(str(tmp_path / "mixed")).filter("source <> 'a' OR doc_id % 5 = 0")
+    want = {r.doc_id: r._position for r in mix_sources(left, tempered({"a": 400, "b": 200, "c": 100})).collect()}
+    assert {r.doc_id: r.position for r in corpus_pipeline.encode(spark, left, SF_DIR).collect()} == want
+    assert want != {r.doc_id: r._position for r in mix_sources(left).collect()}
+
+
 def test_near_copies_go_by_row(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = [(5, a), (5, b), (3, a), (7, "one two"), (7, "one two"), (7, "One  Two"), (8, b + " more"), (9, ""), (None, a), (None, a)]
