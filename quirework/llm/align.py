@@ -129,20 +129,23 @@ class Pair:
     def align(self, a: np.ndarray, b: list[int]) -> tuple[list[str], np.ndarray]:
         """The groups as text and the pair keys of all links."""
         ids_b = np.array(b, dtype=np.int64)
-        at_a = dict(zip(np.cumsum(self.size_a[a]).tolist(), range(1, len(a) + 1)))
-        at_b = dict(zip(np.cumsum(self.size_b[ids_b]).tolist(), range(1, len(b) + 1)))
-        # Both dictionaries hold their ends in rising order: so does what is in both.
-        shared = [end for end in at_b if end in at_a]
-        upto_a, upto_b = [0, *map(at_a.__getitem__, shared)], [0, *map(at_b.__getitem__, shared)]
-        cuts_a, cuts_b = np.array(upto_a, dtype=np.int64), np.array(upto_b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[ids_b])
+        # From end to index as arrays with a place for every byte; of tokens with one end the last counts, 0 is no token's end.
+        at_a, at_b = np.zeros((2, max([0, *ends_a[-1:], *ends_b[-1:]]) + 1), dtype=np.int32)
+        at_a[ends_a], at_b[ends_b] = np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)
+        shared = np.flatnonzero((at_a > 0) & (at_b > 0))
+        cuts_a, cuts_b = (np.concatenate([[0], at[shared]]) for at in (at_a, at_b))
         # Groups of one token each are most of them: their one link is their pair.
         one = (np.diff(cuts_a) == 1) & (np.diff(cuts_b) == 1)
-        pairs = np.where(one, a[cuts_a[:-1]] * len(self.bytes_b) + ids_b[cuts_b[:-1]], -1) if shared else np.zeros(0, np.int64)
+        pairs = np.where(one, a[cuts_a[:-1]] * len(self.bytes_b) + ids_b[cuts_b[:-1]], -1) if len(shared) else np.zeros(0, np.int64)
         texts = list(map(self.ones.__getitem__, pairs.tolist()))
         links: list[int] = []
-        for g in np.flatnonzero(~one).tolist():
-            texts[g], more = self.group(a[upto_a[g]:upto_a[g + 1]].tolist(), b[upto_b[g]:upto_b[g + 1]])
-            links += more
+        more = np.flatnonzero(~one)
+        if len(more):
+            all_a, known = a.tolist(), self.groups.get
+            for g, i, j, k, m in zip(more.tolist(), *(x.tolist() for x in (cuts_a[more], cuts_a[more + 1], cuts_b[more], cuts_b[more + 1]))):
+                texts[g], found = known((*all_a[i:j], -1, *b[k:m])) or self.group(all_a[i:j], b[k:m])
+                links += found
         return texts, np.concatenate([pairs[one], np.array(links, dtype=np.int64)])
 
     def both(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
