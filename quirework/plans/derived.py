@@ -60,16 +60,25 @@ def _shown(template: str) -> int:
     return max([n for mark, n in (("{1}", 1), ("{2}", 2), ("{3}", 3), ("{5}", 5), ("{U}", 3), ("{t}", 1 << 30)) if mark in template], default=0)
 
 
+def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in as many partitions as shuffles have.
+
+    The rules cost far more than moving the texts once, and a file of one row group, or a split with long documents, would be one task's work.
+    """
+    tasks = spark.conf.get("quirework.scan.tasks", spark.conf.get("spark.sql.shuffle.partitions"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(tasks))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.line_blocks(tables.documents(spark, sf_dir)).select("doc_id", "pos", "text")
+    return corpus.line_blocks(balanced(spark, sf_dir)).select("doc_id", "pos", "text")
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks numbered inside the row that holds the document: no shuffle.
+    """Blocks numbered inside the row that holds the document.
 
     A line is squashed once, and the templates are filled once: pinned, so that no later filter repeats them.
     """
-    docs = tables.documents(spark, sf_dir)
+    docs = balanced(spark, sf_dir)
 
     def style_of(doc: Column, line: Column) -> Column:
         return F.when(line < 2, line + _CYCLE).otherwise((doc * 31 + line) % _CYCLE).cast("int")
@@ -87,33 +96,38 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.transform(corpus.text_lines(F.col("text")), lambda t: F.struct(t.alias("text"), T.squash(t).alias("sq")))
     rows = docs.select("doc_id", F.posexplode(F.flatten(F.transform(pairs, parts))).alias("pos", "_p"))
     src = pinned(rows.select("doc_id", "pos", "_p.*"), {"_w": F.split("sq", " "), "_style": style_of(F.col("doc_id"), F.col("line"))})
-    rest = F.col("part") == 1
-
-    def first(n: int) -> Column:
-        return F.array_join(F.slice("_w", 1, n), " ")
-
-    marks = {
-        "{1}": first(1), "{2}": first(2), "{3}": first(3), "{5}": first(5),
-        "{U}": F.upper(F.regexp_replace(first(3), "[^A-Za-z ]", "")),
-        "{p}": F.col("line").cast("string"),
-        "{n}": (F.col("doc_id") % 3 + 1).cast("string"),
-        "{t}": F.col("text"),
-    }
-
-    def filled(template: str) -> Column:
-        return reduce(lambda t, m: F.replace(t, F.lit(m[0]), m[1]) if m[0] in template else t, marks.items(), F.lit(template))
-
-    style = F.col("_style")
-    shown = pick(style, [_shown(s[2]) for s in _STYLES])
-    styled = reduce(lambda c, k: c.when(style == k, filled(_STYLES[k][2])), range(1, len(_STYLES)), F.when(style == 0, filled(_STYLES[0][2])))
-    tail = F.array_join(F.slice("_w", shown + 1, F.greatest(F.size("_w"), F.lit(1))), " ")
-    return pinned(src, {
-        "type": F.when(rest, "paragraph").otherwise(pick(style, [s[0] for s in _STYLES])),
-        "text": F.when(rest, tail).otherwise(styled),
-        "level": F.when(rest, 1).otherwise(pick(style, [s[1] for s in _STYLES])),
-        "list_kind": F.when((style == 9) & ~rest, "ordered"),
-        "source_page": F.expr("cast(line div 4 as int) + 1"),
-    }).select("doc_id", "pos", "type", "text", "level", "list_kind", "source_page")
+
+    def block(r: Column) -> Column:
+        """One template filled mark by mark, or the words that it does not show."""
+        style, words, rest = r["_style"], r["_w"], r["part"] == 1
+
+        def first(n: int) -> Column:
+            return F.array_join(F.slice(words, 1, n), " ")
+
+        marks = {
+            "{1}": first(1), "{2}": first(2), "{3}": first(3), "{5}": first(5),
+            "{U}": F.upper(F.regexp_replace(first(3), "[^A-Za-z ]", "")),
+            "{p}": r["line"].cast("string"),
+            "{n}": (r["doc_id"] % 3 + 1).cast("string"),
+            "{t}": r["text"],
+        }
+
+        def used(mark: str) -> Column:
+            """What stands for a mark, worked out only for the styles that have it."""
+            return F.when(pick(style, [mark in s[2] for s in _STYLES]), marks[mark]).otherwise("")
+
+        styled = reduce(lambda t, m: F.replace(t, F.lit(m), used(m)), marks, pick(style, [s[2] for s in _STYLES]))
+        tail = F.array_join(F.slice(words, pick(style, [_shown(s[2]) for s in _STYLES]) + 1, F.greatest(F.size(words), F.lit(1))), " ")
+        return F.struct(
+            F.when(rest, "paragraph").otherwise(pick(style, [s[0] for s in _STYLES])).alias("type"),
+            F.when(rest, tail).otherwise(styled).alias("text"),
+            F.when(rest, 1).otherwise(pick(style, [s[1] for s in _STYLES])).alias("level"),
+            F.when((style == 9) & ~rest, "ordered").alias("list_kind"),
+        )
+
+    # Outside generated code: loops over words in a method too long for the JIT compiler are interpreted.
+    made = pinned(src, {"_made": T.apart(F.struct("doc_id", "line", "part", "text", "_w", "_style"), block), "source_page": F.expr("cast(line div 4 as int) + 1")})
+    return made.select("doc_id", "pos", "_made.*", "source_page")
 
 
 def _first(n: int) -> str:

@@ -203,3 +203,17 @@ def test_book_is_not_repeated_in_filters(spark):
     kept = derived.book(spark, SF_DIR).filter((F.col("type") == "paragraph") & F.col("text").startswith("A"))
     filters = re.findall(r"Filter .*", kept._jdf.queryExecution().optimizedPlan().toString())
     assert filters and not any("regexp_replace" in f or "split" in f for f in filters)
+
+
+def test_book_blocks_are_dealt_and_their_code_is_compiled(spark, capsys):
+    """One file of one row group is many tasks' work; HotSpot interprets methods of more than 8 000 bytes."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        book = derived.book(spark, SF_DIR)
+        assert book.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        book.explain(mode="codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
