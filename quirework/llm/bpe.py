@@ -81,7 +81,8 @@ class Encoder:
             self.trie.add_word(t.decode("latin-1"), i)
             self.shorter[i] = next((made[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in made), -1)
         self.trie.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By a * number of tokens + b: an integer takes less than half the memory of a pair.
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -105,7 +106,7 @@ class Encoder:
                 break
         if len(self.fits) >= _KEEP:
             self.fits.clear()
-        self.fits[a, b] = answer
+        self.fits[a * len(self.tokens) + b] = answer
         return answer
 
     def ids(self, piece: bytes) -> list[int]:
@@ -113,7 +114,7 @@ class Encoder:
         if (one := self.whole.get(piece)) is not None:
             return [one]
         end = len(piece)
-        longest, sizes, shorter, fits = [0] * end, self.sizes, self.shorter, self.fits
+        longest, sizes, shorter, fits, n = [0] * end, self.sizes, self.shorter, self.fits, len(self.tokens)
         for last, token in self.trie.iter(piece.decode("latin-1")):
             longest[last - sizes[token] + 1] = token
         dead: set[int] = set()
@@ -122,7 +123,7 @@ class Encoder:
         while True:
             stop = at + sizes[token]
             if stop not in dead:
-                if before < 0 or (fit := fits.get((before, token))) or fit is None and self.compatible(before, token):
+                if before < 0 or (fit := fits.get(before * n + token)) or fit is None and self.compatible(before, token):
                     out.append(token)
                     if stop == end:
                         return out

@@ -39,6 +39,8 @@ _SHAPES = 512
 WIDTH = 3 * _DIM + 3
 #: Ranges of slots that are added up apart.
 _RANGES = 64
+#: Words whose vectors are held at once.
+_POOL = 1 << 14
 
 
 def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def context_sums(sample: Iterable[Words]) -> np.ndarray:
             inside = text[abs(step):] == text[: -abs(step)] if len(text) > abs(step) else np.zeros(0, bool)
             a, b = a[: len(inside)][inside], b[: len(inside)][inside]
             for k in range(_NONZERO):
-                total += np.bincount(a * _DIM + places[b, k], weights=signs[b, k], minlength=len(total))
+                np.add.at(total, a * _DIM + places[b, k], signs[b, k])
     return total.reshape(_SLOTS, _DIM)
 
 
@@ -126,20 +128,29 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(w: Words, vectors: np.ndarray) -> np.ndarray:
-    """Per text: mean word vector, mean and spread of shape vectors, size and share of repeated neighbours."""
+    """Per text: mean word vector, mean and spread of shape vectors, size and share of repeated neighbours.
+
+    Only the vectors of a run of texts of about ``_POOL`` words, or of one text if that is longer, are held at once.
+    """
     n = np.diff(w.cuts)
     out = np.zeros((len(n), WIDTH), dtype=np.float32)
-    full = np.flatnonzero(n)
-    if len(full):
-        at = w.cuts[:-1][full]
-        words, shapes = vectors[w.slot], _SHAPE_VECTORS[w.shape]
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(w.cuts, w.cuts[first] + _POOL, "right")) - 1)
+        lo, hi = w.cuts[first], w.cuts[last]
+        full = first + np.flatnonzero(n[first:last])
+        first = last
+        if not len(full):
+            continue
+        at = w.cuts[full] - lo
+        words, shapes = vectors[w.slot[lo:hi]], _SHAPE_VECTORS[w.shape[lo:hi]]
         size = n[full, None].astype(np.float32)
         out[full, :_DIM] = np.add.reduceat(words, at) / size
         mean = np.add.reduceat(shapes, at) / size
         out[full, _DIM: 2 * _DIM] = mean
         out[full, 2 * _DIM: 3 * _DIM] = np.sqrt(np.maximum(np.add.reduceat(shapes * shapes, at) / size - mean * mean, 0))
         out[full, -3] = np.log1p(n[full]) / 10
-        out[full, -2] = np.add.reduceat((w.shape >> 8).astype(np.float32), at) / n[full]
+        out[full, -2] = np.add.reduceat((w.shape[lo:hi] >> 8).astype(np.float32), at) / n[full]
     out[:, -1] = n == 0
     return out
 

@@ -14,7 +14,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are turned into arrays at once.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -154,3 +156,22 @@ def test_a_labelled_row_many_times_weighs_nothing(spark):
     network = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int"))
     good, bad = network.scores(pa.array(["fine words here", "bad ### junk"]))
     assert good > 0.7 > 0.3 > bad
+
+
+def test_memory_of_reading_and_pooling_is_bounded():
+    """A megabyte of short texts takes some megabytes at once, not the vectors of all its words; texts pool alike alone and together."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, int(size))) for size in rng.integers(0, 700, 600)] + ["", "x " * 40_000, ""]
+    vectors = quality._dense(quality._SLOTS, 1)
+    alone = np.concatenate([quality.pooled(w, vectors) for t in texts[::40] + texts[-3:] for w in quality.read_words(pa.array([t]))])
+    array = pa.array(texts)
+    tracemalloc.start()
+    together = np.concatenate([quality.pooled(w, vectors) for w in quality.read_words(array)])
+    pooling = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    sums = quality.context_sums(quality.read_words(array))
+    summing = tracemalloc.get_traced_memory()[1] - before - sums.nbytes
+    tracemalloc.stop()
+    assert np.array_equal(alone, np.concatenate([together[::40][: len(texts[::40])], together[-3:]]))
+    assert pooling < 60 << 20 and summing < 40 << 20, (pooling >> 20, summing >> 20)
