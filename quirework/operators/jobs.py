@@ -103,23 +103,46 @@ def slow_requests(requests: DataFrame, threshold: float = DEFAULTS.slow_request_
 _PARALLEL_STAGES = ("translation_api_per_batch_wall_sum_s",)
 
 
-def stage_report(stages: DataFrame, top: int = 2, digits: int = 2) -> DataFrame:
-    """Seconds and share of wall time per (job, stage); ``rank`` marks the bottlenecks."""
+def _is_parallel(stage: Column) -> Column:
+    return stage.isin(*_PARALLEL_STAGES) | (stage.startswith("chunk_") & stage.contains("_sum_s"))
+
+
+def _long_rows(stages: DataFrame) -> DataFrame:
+    """(job_id, stage, seconds, parallel, _denom, _rank), summed by job and stage and ranked in a window."""
     flat = stages.select("job_id", "e2e_wall_s", F.explode("stages").alias("stage", "s"))
     summed = flat.groupBy("job_id", "stage").agg(
         F.sum("s").alias("seconds"), F.max("e2e_wall_s").alias("e2e")
     )
-    parallel = F.col("stage").isin(*_PARALLEL_STAGES) | (
-        F.col("stage").startswith("chunk_") & F.col("stage").contains("_sum_s")
-    )
     job = Window.partitionBy("job_id")
-    own = summed.withColumn("parallel", parallel)
+    own = summed.withColumn("parallel", _is_parallel(F.col("stage")))
     wall = F.sum(F.when(~F.col("parallel"), F.col("seconds"))).over(job)
-    denom = F.when(F.col("e2e") > 0, F.col("e2e")).otherwise(wall)
-    ranked = own.withColumns({
-        "_denom": denom,
+    return own.withColumns({
+        "_denom": F.when(F.col("e2e") > 0, F.col("e2e")).otherwise(wall),
         "_rank": F.row_number().over(job.orderBy("parallel", F.desc("seconds"), "stage")),
     })
+
+
+def _wide_rows(stages: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """What ``_long_rows`` gives, from one row of sums per job: only these are shuffled, once, and a job's stages are ranked in its row."""
+    each = {f"s{i}": name for i, name in enumerate(names)}
+    flat = stages.select("job_id", "e2e_wall_s", *[F.col("stages")[name].alias(c) for c, name in each.items()])
+    wide = flat.groupBy("job_id").agg(F.max("e2e_wall_s").alias("e2e"), *[F.sum(c).alias(c) for c in each])
+    nothing = F.lit(0.0)
+    wall = sum((F.when(~_is_parallel(F.lit(name)), F.coalesce(c, nothing)).otherwise(nothing) for c, name in each.items()), nothing)
+    # In the order of the window: largest seconds first, not-a-number before all, null after all.
+    rows = F.sort_array(F.array(*[F.struct(
+        _is_parallel(F.lit(name)).alias("parallel"), F.col(c).isNull().alias("none"), (~F.isnan(c)).alias("number"), (-F.col(c)).alias("down"),
+        F.lit(name).alias("stage"), F.col(c).alias("seconds")) for c, name in each.items()]))
+    ranked = wide.select("job_id", F.when(F.col("e2e") > 0, F.col("e2e")).otherwise(wall).alias("_denom"), F.posexplode(rows).alias("_at", "_row"))
+    return ranked.select("job_id", "_row.stage", "_row.seconds", "_row.parallel", "_denom", (F.col("_at") + 1).alias("_rank"))
+
+
+def stage_report(stages: DataFrame, top: int = 2, digits: int = 2, names: tuple[str, ...] = ()) -> DataFrame:
+    """Seconds and share of wall time per (job, stage); ``rank`` marks the bottlenecks.
+
+    ``names`` are the stages where every row has the same ones; without them each row of a map is shuffled by job and stage, and again by job.
+    """
+    ranked = _wide_rows(stages, names) if names else _long_rows(stages)
     pct = F.when(F.col("_denom") > 0, 100.0 * F.col("seconds") / F.col("_denom")).otherwise(0.0)
     return ranked.select(
         "job_id", "stage", "parallel", F.round("seconds", 4).alias("seconds"),

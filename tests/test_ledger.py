@@ -238,3 +238,27 @@ def test_pinned_columns_keep_the_size_estimate(spark):
     size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     keys = PY.parse_notices(tables.webhooks(spark, SF_DIR)).select("event_id", "received_at", "dedup_key")
     assert size(keys) > 0.25 * size(tables.table(spark, SF_DIR, "events"))
+
+
+def test_stage_report_shuffles_a_job_once(spark):
+    """With the stages' names one row of sums per job is shuffled; the report is that of the maps taken apart."""
+    rng = random.Random(3)
+    names = ("b_s", "a_s", "chunk_x_sum_s", "translation_api_per_batch_wall_sum_s", "c_s")
+    values = (0.0, 1.5, 1.5, 2.25, 40.0, None, float("nan"), -1.0)
+    rows = [(j, rng.choice((None, 0.0, 12.5)), {n: rng.choice(values) for n in names}) for j in [*range(300), None] for _ in range(rng.randint(1, 4))]
+    rows += [(7, 200.0, dict.fromkeys(names, 0.25))] * 500 + [(-1, None, dict.fromkeys(names))] * 2
+    df = spark.createDataFrame(rows, "job_id bigint, e2e_wall_s double, stages map<string,double>").repartition(6)
+    want, got = J.stage_report(df, digits=4), J.stage_report(df, digits=4, names=names)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    table = spark.createDataFrame([(1, 2.0, 3.0)], "job_id bigint, x double, e2e_wall_s double")
+    plan = J.stage_report(table.select("job_id", "e2e_wall_s", F.create_map(F.lit("a_s"), "x", F.lit("b_s"), F.col("x") * 2).alias("stages")), names=("a_s", "b_s"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Window" not in text and "map(" not in text
+
+
+def test_stage_report_query_shuffles_once(spark):
+    import __spark_entry__ as entry
+
+    text = entry.queries()["stage_report"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Window" not in text
