@@ -13,6 +13,7 @@ from quirework.operators import dedupe as D
 from quirework.operators import pages as PG
 from quirework.operators import planning as PL
 from quirework.operators import preview as PV
+from quirework.operators.ordered import cut_lineage
 from quirework.plans import derived, duck
 from quirework.plans import rules_sql as R
 from quirework.plans.registry import query
@@ -409,7 +410,8 @@ def _with_truncated_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("D3 D4")
 def near_duplicates_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dedupe_paragraphs(_with_truncated_copies(spark, sf_dir)).select("doc_id", "pos", "text")
+    # Read by the interiors, the rounds and the result.
+    return D.dedupe_paragraphs(cut_lineage(_with_truncated_copies(spark, sf_dir))).select("doc_id", "pos", "text")
 
 
 @query(

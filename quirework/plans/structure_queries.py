@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quirework.functions import patterns as P
 from quirework.functions import text as T
 from quirework.operators import classify as CL
+from quirework.operators import marks as MK
 from quirework.operators import merging as M
 from quirework.operators import structure as S
+from quirework.operators.ordered import cut_lineage
 from quirework.plans import derived, duck
 from quirework.plans import rules_sql as R
 from quirework.plans.registry import query
@@ -35,9 +37,9 @@ regions AS (SELECT f.*, (CASE WHEN was = 1 THEN f1 = 1 OR ({_prose} AND blob AND
             FROM flags f JOIN before USING (doc_id, pos))"""
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks with contents regions only, the part the SQL checks restate."""
-    regions = S.contents_region(derived.book(spark, sf_dir))
+def _tagged(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Blocks with contents regions only, the part the SQL checks restate, and with marks."""
+    regions = S.contents_region(MK.marked(derived.book(spark, sf_dir), *MK.REGION, *names))
     return regions.withColumn("structural_tag", F.when(F.col("_toc"), "toc")).drop("_toc")
 
 
@@ -66,9 +68,11 @@ classified AS (SELECT doc_id, pos, type, text, level, st, sq,
    FROM heads JOIN levels USING (doc_id, pos))"""
 
 
-def classified_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified_regions(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Classified blocks; with the marks ``names``, if any are asked for, from the same look at the texts."""
     none = spark.createDataFrame([], "doc_id bigint, pos int")
-    return CL.classify(_tagged(spark, sf_dir), inventory=none)
+    rows = CL.classify(_tagged(spark, sf_dir, *MK.SECTIONS, *names), inventory=none)
+    return rows if names else MK.unmarked(rows)
 
 
 @query("Q12 P21 P22", f"WITH {ACTIONS} SELECT doc_id, pos, action, structural_tag FROM classified")
@@ -79,8 +83,10 @@ def section_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("Q7 Q8 Q11 Q12")
 def book_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full tagging and classification; checked against brute force in the tests."""
-    tagged = S.tag_book_structure(derived.book(spark, sf_dir))
-    return CL.classify(tagged).select("doc_id", "pos", "structural_tag", "action")
+    tagged = S.tag_book_structure(MK.marked(
+        derived.book(spark, sf_dir), *MK.REGION, *MK.ORPHANS, *MK.TITLES, *MK.INVENTORY, *MK.SECTIONS))
+    # The inventories and what joins them read the same rows, which hold marks and no text from here on.
+    return CL.classify(cut_lineage(tagged.select("doc_id", "pos", "type", "level", "structural_tag", *MK.COLUMNS))).select("doc_id", "pos", "structural_tag", "action")
 
 
 @query("Q11")
@@ -332,7 +338,7 @@ def stitched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
        "CASE WHEN first(body ORDER BY pos) THEN string_agg(st, ' ' ORDER BY pos) ELSE first(text ORDER BY pos) END")}""",
 )
 def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.merge_shards(classified_regions(spark, sf_dir)).select("doc_id", "pos", "type", "text")
+    return M.merge_shards(classified_regions(spark, sf_dir, *MK.SHARDS)).select("doc_id", "pos", "type", "text")
 
 
 @query(
